@@ -50,7 +50,7 @@ def psi_trajectory(parameters: DataFrame, years: range, n_sites: Column | None =
     before = F.when(F.col("i") > 0, F.get("path", F.col("i") - 1))
     rows = (
         parameters.withColumn("path", path)
-        .select("*", F.posexplode("path").alias("i", "psi"))
+        .select("*", F.posexplode_outer("path").alias("i", "psi"))
         .withColumn("before", before)
     )
     return rows.select(
@@ -240,7 +240,7 @@ def smoothed_occupancy(histories: DataFrame, parameters: DataFrame, years: range
     """P(z = 1 given all data) per species, site and year."""
     chain = count_chain(len(years))
     rows = histories.join(checked_broadcast(parameters), "species").withColumn("fwd", chain.forward())
-    return rows.select(site, "species", F.posexplode(chain.backward()).alias("__i", "__s")).select(
+    return rows.select(site, "species", F.posexplode_outer(chain.backward()).alias("__i", "__s")).select(
         site, "species", (F.col("__i") + years.start).alias("year"), F.col("__s")["s"].alias("z_prob")
     )
 
@@ -259,7 +259,7 @@ def em_sums(grouped: DataFrame, parameters: DataFrame, n: int) -> DataFrame:
         grouped.join(checked_broadcast(parameters, settled=True), "species")
         .withColumn("fwd", chain.forward())
         .withColumn("bwd", chain.backward())
-        .select("species", "w", "h", F.col("fwd")["ll"].alias("ll"), F.posexplode("bwd").alias("i", "b"))
+        .select("species", "w", "h", F.col("fwd")["ll"].alias("ll"), F.posexplode_outer("bwd").alias("i", "b"))
     )
     s, w = F.col("b")["s"], F.col("w")
     t, k = F.get("h", F.col("i"))["t"], F.get("h", F.col("i"))["k"]
@@ -372,7 +372,7 @@ def fit_single_season(counts: DataFrame, iterations: int = 50, psi: float = 0.5,
     """
     packed = counts.groupBy("species").agg(
         F.array_sort(
-            F.collect_list(F.struct(F.col("k").cast("double"), F.col("t").cast("double"), F.col("w").cast("double")))
+            F.collect_list(F.struct(*[F.col(n).cast("double").alias(n) for n in ("k", "t", "w")]))
         ).alias("c")
     )
 

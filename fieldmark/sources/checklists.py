@@ -13,7 +13,8 @@ from fieldmark import schemas
 from fieldmark.functions.columns import presence, sentinel_number, tokens_to_null
 from fieldmark.operators.relational import to_long, union_all
 
-YEAR_FOLDER = r"/(\d{4})/[^/]*$"
+# A folder named by the year, or by a partition column and the year.
+YEAR_FOLDER = r"/(?:[^/=]+=)?(\d{4})/[^/]*$"
 
 
 def folder_year(path: Column | str = "_metadata.file_path") -> Column:

@@ -52,13 +52,14 @@ def ingest_available(
     species: Sequence[str],
     table: str,
     checkpoint: str,
-    release: int = 19,
+    schema: T.StructType | None = None,
+    file: str = "checklists.csv",
 ) -> None:
     """Process every folder that has arrived since the last call, then stop.
 
     ``checkpoint`` and ``table`` must be on storage that the cluster shares.
     """
-    stream = checklist_stream(spark, root, schemas.wide_checklist(species, release))
+    stream = checklist_stream(spark, root, schema or schemas.wide_checklist(species), file)
     rows = detections(stream, list(species), ["SAMPLING_EVENT_ID", "folder_year"]).select(
         F.col("folder_year").alias("year"), F.col("SAMPLING_EVENT_ID").alias("sampling_event_id"), "species"
     )

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from fieldmark.functions import columns as C
 from fieldmark.operators import pruning, relational, replicates
@@ -366,9 +367,8 @@ def _yearly_files(spark: SparkSession, sf: str) -> tuple[str, list[str]]:
     root = scratch_path(spark, "yearly")
     info = S.checklists(spark, sf).select(F.col("event_id").alias("SAMPLING_EVENT_ID"), "year", "day", "count_type")
     wide = info.join(wide_counts(spark, sf), "SAMPLING_EVENT_ID")
-    wide.withColumn("folder", F.col("year")).write.partitionBy("folder").option("header", True).option(
-        "nullValue", "?"
-    ).csv(root)
+    by_year = wide.withColumn("folder", F.col("year"))
+    by_year.write.partitionBy("folder").option("header", True).option("nullValue", "?").csv(root)
     return root, wide.columns
 
 
@@ -383,8 +383,17 @@ PRESENT_BY_YEAR = S.sql(
 def union_years(spark: SparkSession, sf: str) -> DataFrame:
     """Yearly wide files written, scanned as one table, melted and counted."""
     root, columns = _yearly_files(spark, sf)
-    wide = files.read_text_csv(spark, f"{root}/folder=*/*.csv", columns).withColumn(
-        "folder_year", files.folder_year(F.replace(F.col("_metadata.file_path"), F.lit("folder="), F.lit("")))
-    )
+    wide = files.scan_checklists(spark, root, columns, "*.csv")
     long = files.detections(wide, BRANDS, ["SAMPLING_EVENT_ID", "folder_year"])
     return long.groupBy(F.col("folder_year").alias("year"), "species").agg(F.count("*").alias("n_present"))
+
+
+@query(PRESENT_BY_YEAR)
+def stream_ingest(spark: SparkSession, sf: str) -> DataFrame:
+    """The same files through the incremental ingest, run twice: the second run adds nothing."""
+    root, columns = _yearly_files(spark, sf)
+    target, log = scratch_path(spark, "detections"), scratch_path(spark, "ingest-log")
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
+    for _ in range(2):
+        ingest_available(spark, root, BRANDS, target, log, schema, "*.csv")
+    return tables.read_table(spark, target).groupBy("year", "species").agg(F.count("*").alias("n_present"))
