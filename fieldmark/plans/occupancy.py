@@ -8,9 +8,6 @@ length), so a history is short whatever the number of visits behind it.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from dataclasses import dataclass
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,7 +15,7 @@ from fieldmark.functions.columns import ratio
 from fieldmark.operators.pruning import visit_days
 from fieldmark.operators.replicates import site_day_species
 from fieldmark.plans.scores import per_species
-from fieldmark.session import checked_broadcast, settle
+from fieldmark.session import checked_broadcast, settle, spread
 
 EDGE = 1e-6
 
@@ -92,35 +89,44 @@ def site_histories(
 ) -> DataFrame:
     """(site, species, h): ``h`` has one struct (t, k) per year of ``years``.
 
-    Both sides are first reduced to counts of distinct visit days; the species
-    are expanded after the join on site, so undetected species cost no shuffle.
+    Both sides are first reduced to counts of distinct visit days and then
+    partitioned by site once, which serves the packing and the join.  The
+    species are expanded after it, so undetected species cost no shuffle.
     """
     lists = checklists.where(F.col("year").between(years.start, years.stop - 1))
     index = (F.col("year") - F.lit(years.start)).cast("int")
+    days = visit_days(lists, site).groupBy(site, "year").agg(F.count("*").alias("t"))
     effort = (
-        visit_days(lists, site)
-        .groupBy(site, "year")
-        .agg(F.count("*").alias("t"))
+        spread(days, site)
         .groupBy(site)
         .agg(F.map_from_entries(F.collect_list(F.struct(index, F.col("t").cast("int")))).alias("__t"))
     )
-    hits = (
+    names = species.select("species").distinct().agg(F.sort_array(F.collect_list("species")).alias("s")).scalar()
+    found = (
         site_day_species(lists, detections, site, event)
         .groupBy(site, "species", "year")
         .agg(F.count("*").alias("k"))
+        .where(F.array_contains(names, F.col("species")))
+    )
+    hits = (
+        spread(found, site)
         .groupBy(site, "species")
-        .agg(F.map_from_entries(F.collect_list(F.struct(index, F.col("k").cast("int")))).alias("__k"))
+        .agg(F.map_from_entries(F.collect_list(F.struct(index, F.col("k").cast("int")))).alias("k"))
         .groupBy(site)
-        .agg(F.map_from_entries(F.collect_list(F.struct("species", "__k"))).alias("__hits"))
+        .agg(F.collect_list(F.struct("species", "k")).alias("__hits"))
+    )
+    known = F.coalesce("__hits", F.array().cast("array<struct<species:string,k:map<int,int>>>"))
+    sites = effort.join(hits, site, "left").select(
+        site, "__t", known.alias("__hits"), F.array_except(names, F.transform(known, lambda x: x["species"])).alias("__unseen")
     )
-    rows = per_species(effort.join(hits, site, "left"), species.select("species").distinct())
-    own = F.try_element_at("__hits", F.col("species"))
+    blank = F.transform("__unseen", lambda s: F.struct(s.alias("species"), F.create_map().cast("map<int,int>").alias("k")))
+    rows = sites.select(site, "__t", F.inline(F.concat("__hits", blank)))
     zero = F.lit(0)
     h = F.transform(
         F.sequence(F.lit(0), F.lit(len(years) - 1)),
         lambda i: F.struct(
             F.coalesce(F.try_element_at("__t", i), zero).alias("t"),
-            F.coalesce(F.try_element_at(own, i), zero).alias("k"),
+            F.coalesce(F.try_element_at("k", i), zero).alias("k"),
         ),
     )
     return rows.select(site, "species", h.alias("h"))
@@ -134,90 +140,98 @@ def grouped_histories(histories: DataFrame) -> DataFrame:
 # -- the chain ----------------------------------------------------------------
 
 
-@dataclass(frozen=True)
-class Chain:
-    """Columns of a two-state chain over ``n`` years.
+def forward(n: int) -> Column:
+    """Struct of arrays ``pred``, ``filt`` and the log-likelihood ``ll``.
 
-    ``phi``, ``gamma``: arrays, entry i for the step from year i to i + 1.
-    ``seen``: any detection in year i.  ``log_hit``: log-probability of year
-    i's record if the site is occupied (0 in a year without a visit).
+    Reads ``psi1``, the arrays ``phi`` and ``gamma`` (entry i is the step from
+    year i to i + 1) and ``e``, one struct per year: ``seen`` (any detection),
+    ``log_hit`` (log-probability of the year's record at an occupied site, 0
+    without a visit) and its exponential ``hit``.  A year with a detection is
+    occupied for sure; otherwise ``pred * hit + 1 - pred`` is the probability
+    of seeing nothing, which cannot underflow.
     """
+    empty = F.array().cast("array<double>")
+    start = F.struct(
+        F.col("psi1").cast("double").alias("next"), empty.alias("pred"), empty.alias("filt"), F.lit(0.0).alias("ll")
+    )
 
-    n: int
-    psi1: Column
-    phi: Column
-    gamma: Column
-    seen: Callable[[Column], Column]
-    log_hit: Callable[[Column], Column]
-
-    def forward(self) -> Column:
-        """Struct of arrays ``pred``, ``filt`` and the log-likelihood ``ll``.
-
-        A year with a detection is occupied for sure; otherwise
-        ``pred * exp(log_hit) + 1 - pred`` is the probability of seeing
-        nothing, which cannot underflow.
-        """
-        empty = F.array().cast("array<double>")
-        start = F.struct(
-            self.psi1.cast("double").alias("next"),
-            empty.alias("pred"),
-            empty.alias("filt"),
-            F.lit(0.0).alias("ll"),
+    def step(acc: Column, i: Column) -> Column:
+        pred, e = acc["next"], F.get("e", i)
+        quiet = pred * e["hit"] + 1 - pred
+        filt = F.when(e["seen"], F.lit(1.0)).otherwise(pred * e["hit"] / quiet)
+        ll = F.when(e["seen"], F.ln(pred) + e["log_hit"]).otherwise(F.ln(quiet))
+        phi, gamma = F.coalesce(F.get("phi", i), F.lit(0.0)), F.coalesce(F.get("gamma", i), F.lit(0.0))
+        return F.struct(
+            (gamma + filt * (phi - gamma)).alias("next"),
+            F.concat(acc["pred"], F.array(pred)).alias("pred"),
+            F.concat(acc["filt"], F.array(filt)).alias("filt"),
+            (acc["ll"] + ll).alias("ll"),
         )
 
-        def step(acc: Column, i: Column) -> Column:
-            pred, hit = acc["next"], self.log_hit(i)
-            quiet = pred * F.exp(hit) + 1 - pred
-            filt = F.when(self.seen(i), F.lit(1.0)).otherwise(pred * F.exp(hit) / quiet)
-            ll = F.when(self.seen(i), F.ln(pred) + hit).otherwise(F.ln(quiet))
-            phi, gamma = F.coalesce(F.get(self.phi, i), F.lit(0.0)), F.coalesce(F.get(self.gamma, i), F.lit(0.0))
-            return F.struct(
-                (filt * phi + (1 - filt) * gamma).alias("next"),
-                F.concat(acc["pred"], F.array(pred)).alias("pred"),
-                F.concat(acc["filt"], F.array(filt)).alias("filt"),
-                (acc["ll"] + ll).alias("ll"),
-            )
-
-        return F.aggregate(F.sequence(F.lit(0), F.lit(self.n - 1)), start, step)
-
-    def backward(self, fwd: str = "fwd") -> Column:
-        """Array of structs per year: smoothed ``s`` and the pair terms ``x11``, ``x01``."""
-        pair = "array<struct<s:double,x11:double,x01:double>>"
-        last = F.array(
-            F.struct(
-                F.get(F.col(fwd)["filt"], F.lit(self.n - 1)).alias("s"),
-                F.lit(None).cast("double").alias("x11"),
-                F.lit(None).cast("double").alias("x01"),
-            )
-        ).cast(pair)
-        if self.n == 1:
-            return last
-
-        def step(acc: Column, i: Column) -> Column:
-            after = F.get(acc, F.lit(0))["s"]
-            filt, pred = F.get(F.col(fwd)["filt"], i), F.get(F.col(fwd)["pred"], i + 1)
-            phi, gamma = F.get(self.phi, i), F.get(self.gamma, i)
-            stay = filt * phi * after / pred
-            leave = filt * (1 - phi) * (1 - after) / (1 - pred)
-            arrive = (1 - filt) * gamma * after / pred
-            here = F.struct((stay + leave).alias("s"), stay.alias("x11"), arrive.alias("x01"))
-            return F.concat(F.array(here), acc).cast(pair)
-
-        return F.aggregate(F.sequence(F.lit(self.n - 2), F.lit(0), F.lit(-1)), last, step)
-
-
-def count_chain(n: int) -> Chain:
-    """Chain of a history ``h`` with a detection probability array ``p``."""
-    h = lambda i: F.get("h", i)
-    p = lambda i: F.get("p", i)
-    return Chain(
-        n,
-        F.col("psi1"),
-        F.col("phi"),
-        F.col("gamma"),
-        lambda i: h(i)["k"] > 0,
-        lambda i: h(i)["k"] * F.ln(p(i)) + (h(i)["t"] - h(i)["k"]) * F.ln(1 - p(i)),
+    return F.aggregate(F.sequence(F.lit(0), F.lit(n - 1)), start, step)
+
+
+def backward(n: int) -> Column:
+    """Array of structs per year from ``fwd``: smoothed ``s`` and the pair terms ``x11``, ``x01``."""
+    pair = "array<struct<s:double,x11:double,x01:double>>"
+    none = F.lit(None).cast("double")
+    last = F.array(
+        F.struct(F.get(F.col("fwd")["filt"], F.lit(n - 1)).alias("s"), none.alias("x11"), none.alias("x01"))
+    ).cast(pair)
+    if n == 1:
+        return last
+
+    def step(acc: Column, i: Column) -> Column:
+        after = F.get(acc, F.lit(0))["s"]
+        filt, pred = F.get(F.col("fwd")["filt"], i), F.get(F.col("fwd")["pred"], i + 1)
+        phi, gamma = F.get("phi", i), F.get("gamma", i)
+        stay = filt * phi * after / pred
+        leave = filt * (1 - phi) * (1 - after) / (1 - pred)
+        arrive = (1 - filt) * gamma * after / pred
+        here = F.struct((stay + leave).alias("s"), stay.alias("x11"), arrive.alias("x01"))
+        return F.concat(F.array(here), acc).cast(pair)
+
+    return F.aggregate(F.sequence(F.lit(n - 2), F.lit(0), F.lit(-1)), last, step)
+
+
+def emissions() -> Column:
+    """``e`` from the counts ``h`` and the detection probabilities ``p`` by year."""
+    logs = F.transform(
+        "h",
+        lambda x, i: F.struct(
+            (x["k"] > 0).alias("seen"),
+            (x["k"] * F.ln(F.get("p", i)) + (x["t"] - x["k"]) * F.ln(1 - F.get("p", i))).alias("log_hit"),
+        ),
+    )
+    return F.transform(logs, lambda x: F.struct(x["seen"].alias("seen"), x["log_hit"].alias("log_hit"), F.exp(x["log_hit"]).alias("hit")))
+
+
+def visit_emissions(scored: DataFrame, site: str = "site", p: str = "p", y: str = "y") -> DataFrame:
+    """Yearly evidence from visits with their own detection probability.
+
+    (species, site, year) with ``seen`` and ``log_hit``, the sum of
+    ``y ln p + (1 - y) ln(1 - p)`` over the year's visits.
+    """
+    term = F.when(F.col(y) == 1, F.ln(p)).otherwise(F.ln(1 - F.col(p)))
+    return scored.groupBy("species", site, "year").agg((F.max(y) == 1).alias("seen"), F.sum(term).alias("log_hit"))
+
+
+def pack_emissions(yearly: DataFrame, years: range, site: str = "site") -> DataFrame:
+    """``e`` per (species, site) over all ``years``; a year without visits says nothing."""
+    index = (F.col("year") - F.lit(years.start)).cast("int")
+    packed = yearly.groupBy("species", site).agg(
+        F.map_from_entries(F.collect_list(F.struct(index, F.struct("seen", "log_hit")))).alias("__y")
+    )
+    at = lambda i: F.try_element_at("__y", i)
+    e = F.transform(
+        F.sequence(F.lit(0), F.lit(len(years) - 1)),
+        lambda i: F.struct(
+            F.coalesce(at(i)["seen"], F.lit(False)).alias("seen"),
+            F.coalesce(at(i)["log_hit"], F.lit(0.0)).alias("log_hit"),
+            F.exp(F.coalesce(at(i)["log_hit"], F.lit(0.0))).alias("hit"),
+        ),
     )
+    return packed.select("species", site, e.alias("e"))
 
 
 def constant_parameters(table: DataFrame, n: int) -> DataFrame:
@@ -228,19 +242,29 @@ def constant_parameters(table: DataFrame, n: int) -> DataFrame:
     )
 
 
+def chained(rows: DataFrame, n: int, smooth: bool = True) -> DataFrame:
+    """Add ``fwd`` (and ``bwd``) to rows that hold ``e``, ``psi1``, ``phi``, ``gamma``."""
+    out = rows.withColumn("fwd", forward(n))
+    return out.withColumn("bwd", backward(n)) if smooth else out
+
+
 def history_loglik(histories: DataFrame, parameters: DataFrame, n: int, site: str = "site") -> DataFrame:
     """Log-likelihood and filtered last-year occupancy per species and site."""
-    rows = histories.join(checked_broadcast(parameters), "species")
-    return rows.withColumn("fwd", count_chain(n).forward()).select(
+    rows = histories.join(checked_broadcast(parameters), "species").withColumn("e", emissions())
+    return loglik_of(rows, n, site)
+
+
+def loglik_of(rows: DataFrame, n: int, site: str = "site") -> DataFrame:
+    """The same from rows that hold ``e`` and their own (site-specific) ``psi1``, ``phi``, ``gamma``."""
+    return chained(rows, n, smooth=False).select(
         site, "species", F.col("fwd")["ll"].alias("loglik"), F.element_at(F.col("fwd")["filt"], -1).alias("filtered")
     )
 
 
 def smoothed_occupancy(histories: DataFrame, parameters: DataFrame, years: range, site: str = "site") -> DataFrame:
     """P(z = 1 given all data) per species, site and year."""
-    chain = count_chain(len(years))
-    rows = histories.join(checked_broadcast(parameters), "species").withColumn("fwd", chain.forward())
-    return rows.select(site, "species", F.posexplode_outer(chain.backward()).alias("__i", "__s")).select(
+    rows = histories.join(checked_broadcast(parameters), "species").withColumn("e", emissions())
+    return chained(rows, len(years)).select(site, "species", F.posexplode_outer("bwd").alias("__i", "__s")).select(
         site, "species", (F.col("__i") + years.start).alias("year"), F.col("__s")["s"].alias("z_prob")
     )
 
@@ -254,11 +278,9 @@ def em_sums(grouped: DataFrame, parameters: DataFrame, n: int) -> DataFrame:
     ``parameters`` is settled already.  Histories are expanded over years inside the task and combined map-side, so
     a hot species sends one partial row per year and task.
     """
-    chain = count_chain(n)
+    joined = grouped.join(checked_broadcast(parameters, settled=True), "species").withColumn("e", emissions())
     rows = (
-        grouped.join(checked_broadcast(parameters, settled=True), "species")
-        .withColumn("fwd", chain.forward())
-        .withColumn("bwd", chain.backward())
+        chained(joined, n)
         .select("species", "w", "h", F.col("fwd")["ll"].alias("ll"), F.posexplode_outer("bwd").alias("i", "b"))
     )
     s, w = F.col("b")["s"], F.col("w")
@@ -284,12 +306,10 @@ def em_maximise(sums: DataFrame, n: int, by_year: bool) -> DataFrame:
     psi1 = clamp(F.max(F.when(first, F.col("s") / F.col("n")))).alias("psi1")
     loglik = F.sum("ll").alias("loglik")
     if not by_year:
-        wide = sums.groupBy("species").agg(
-            psi1,
-            *[clamp(F.coalesce(F.try_divide(F.sum(a), F.sum(b)), F.lit(0.5))).alias(c) for c, (a, b) in parts.items()],
-            loglik,
-        )
-        return constant_parameters(wide, n).join(wide.select("species", "loglik"), "species")
+        pooled = {c: clamp(F.coalesce(F.try_divide(F.sum(a), F.sum(b)), F.lit(0.5))) for c, (a, b) in parts.items()}
+        return sums.groupBy("species").agg(
+            psi1, *[F.array_repeat(v, n).alias(c) for c, v in pooled.items()], loglik
+        ).select("species", "psi1", "phi", "gamma", "p", "loglik")
     yearly = sums.groupBy("species").agg(
         psi1,
         *[
@@ -326,7 +346,7 @@ def fit_dynamic(
     the plan does not grow and only one number (the total log-likelihood)
     reaches the driver.  Stops when that number no longer moves.
     """
-    grouped = settle(grouped_histories(histories))
+    grouped = settle(spread(grouped_histories(histories), "species", "h"))
     parameters = settle(start if start is not None else start_parameters(grouped, n))
     before = None
     for _ in range(iterations):

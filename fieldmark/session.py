@@ -57,6 +57,15 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash-partition by ``keys`` into the session's full number of partitions.
+
+    For rows that are small in bytes but costly to compute: a stated number is
+    not merged into few large partitions at run time.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path for an intermediate table in the shared folder."""
     return os.path.join(_checkpoint_root(spark), f"{name}-{uuid.uuid4().hex}")
