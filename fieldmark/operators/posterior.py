@@ -227,7 +227,9 @@ def kernel_density(
         *keys, "__n", "__bw", "__x0", "__step", F.floor((F.col("__v") - F.col("__x0")) / F.col("__step") + 0.5).alias("__k")
     ).agg(F.count("*").alias("__c"))
     packed = cells.groupBy(*keys, "__n", "__bw", "__x0", "__step").agg(
-        F.collect_list(F.struct(F.col("__k").cast("double").alias("k"), F.col("__c").cast("double").alias("c"))).alias("__cells")
+        F.array_sort(
+            F.collect_list(F.struct(F.col("__k").cast("double").alias("k"), F.col("__c").cast("double").alias("c")))
+        ).alias("__cells")
     )
     ratio = F.col("__step") / F.col("__bw")
     height = F.aggregate(

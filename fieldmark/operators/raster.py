@@ -122,15 +122,16 @@ def region_spans(edges: DataFrame, grid: Grid) -> DataFrame:
 
 def region_cells(edges: DataFrame, grid: Grid) -> DataFrame:
     """Distinct (prow, pcol) whose centre lies in any of the polygons."""
-    spans = region_spans(edges, grid)
-    return (
-        spans.select("prow", F.explode(F.sequence("first_col", "last_col")).alias("pcol")).distinct()
-    )
+    return _covered(edges, grid).distinct()
+
+
+def _covered(edges: DataFrame, grid: Grid) -> DataFrame:
+    return region_spans(edges, grid).select("prow", F.explode(F.sequence("first_col", "last_col")).alias("pcol"))
 
 
 def mask(pixels: DataFrame, edges: DataFrame, grid: Grid) -> DataFrame:
     """Pixels whose cell centre is in the region: an equi semi-join on the cell."""
-    return pixels.join(region_cells(edges, grid), ["prow", "pcol"], "left_semi")
+    return pixels.join(_covered(edges, grid), ["prow", "pcol"], "left_semi")
 
 
 def grid_shape(pixels: DataFrame) -> tuple[int, int]:

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldmark.operators.pruning import visit_days
+from fieldmark.session import BROADCAST_ROWS, settle
 
 
 def replicate_numbers(checklists: DataFrame, site: str = "site", across_years: bool = False) -> DataFrame:
@@ -105,33 +106,33 @@ def naive_occupancy(checklists: DataFrame, detections: DataFrame, site: str = "s
     )
 
 
-def _with_species(df: DataFrame, species: DataFrame) -> DataFrame:
-    """Every row once per study species, expanded in place without a join.
+def study_list(species: DataFrame, max_species: int = BROADCAST_ROWS) -> Column:
+    """The distinct study species as one sorted array, to be expanded beside other rows.
 
-    ``species`` is the study list, which is small by design (a survey's
-    taxonomy); it travels as one array value.
+    A survey's taxonomy is small; a longer list is refused rather than
+    gathered, and can be run in parts as species do not depend on each other.
     """
-    names = species.select("species").distinct().agg(F.sort_array(F.collect_list("species")).alias("s"))
-    return df.withColumn("species", F.explode(names.select("s").scalar()))
+    names = settle(species.select("species").distinct())
+    if names.count() > max_species:
+        raise ValueError(f"more than {max_species} study species: run the list in parts")
+    return names.agg(F.sort_array(F.collect_list("species")).alias("s")).scalar()
 
 
 def naive_state(checklists: DataFrame, detections: DataFrame, species: DataFrame, site: str = "site", event: str = "event_id") -> DataFrame:
     """Maximum detection over a site-year's replicates for every species: 0 or 1.
 
-    Site-years without a visit have no row, which means unknown.
+    Site-years without a visit have no row, which means unknown.  A site-year
+    is reduced to its set of species, map-side first, and only then expanded
+    to all species, so the zeros are never shuffled.
     """
-    surveyed = checklists.select(site, "year").distinct()
     seen = (
         checklists.select(event, site, "year")
-        .join(detections.select(event, "species"), event)
-        .select(site, "year", "species")
-        .distinct()
-        .withColumn("__z", F.lit(1))
+        .join(detections.select(event, "species"), event, "left")
+        .groupBy(site, "year")
+        .agg(F.collect_set("species").alias("__seen"))
     )
-    return (
-        _with_species(surveyed, species)
-        .join(seen, [site, "year", "species"], "left")
-        .select(site, "year", "species", F.coalesce("__z", F.lit(0)).alias("z0"))
+    return seen.select(site, "year", "__seen", F.explode(study_list(species)).alias("species")).select(
+        site, "year", "species", F.array_contains("__seen", F.col("species")).cast("int").alias("z0")
     )
 
 
@@ -140,7 +141,7 @@ def dense_panel(sites: DataFrame, years: range, species: DataFrame, site: str =
     grid = sites.select(site).distinct().withColumn(
         "year", F.explode(F.sequence(F.lit(years.start), F.lit(years.stop - 1)))
     )
-    return _with_species(grid, species)
+    return grid.select(site, "year", F.explode(study_list(species)).alias("species"))
 
 
 def replicate_matrix(
@@ -171,24 +172,23 @@ def packed_histories(
 ) -> DataFrame:
     """``history`` array per (site, year, species): 0/1 by replicate, NULL-padded to ``width``.
 
-    Rows are reduced to distinct site-days and site-day-species first, so an
-    array has at most one entry per day of the year.
+    A site-year becomes one row with its days in order and the species of each
+    day (at most the days of a year times the species list); the position of a
+    day is its replicate number.  The species are expanded last.
     """
-    numbered = replicate_numbers(checklists, site)
-    counts = numbered.groupBy(site, "year").agg(F.max("replicate").alias("n_rep"))
-    seen = (
-        site_day_species(checklists, detections, site, event)
-        .join(numbered, [site, "year", "obs_date"])
-        .groupBy(site, "year", "species")
-        .agg(F.collect_set("replicate").alias("hits"))
+    days = (
+        checklists.select(event, site, "year", "obs_date")
+        .join(detections.select(event, "species"), event, "left")
+        .groupBy(site, "year", "obs_date")
+        .agg(F.collect_set("species").alias("seen"))
+        .groupBy(site, "year")
+        .agg(F.array_sort(F.collect_list(F.struct("obs_date", "seen"))).alias("__days"))
     )
-    grid = _with_species(counts, species).join(seen, [site, "year", "species"], "left")
-    surveyed = F.transform(
-        F.sequence(F.lit(1), "n_rep"),
-        lambda r: F.coalesce(F.array_contains("hits", r), F.lit(False)).cast("int"),
+    surveyed = F.transform("__days", lambda d: F.array_contains(d["seen"], F.col("species")).cast("int"))
+    padding = F.array_repeat(F.lit(None).cast("int"), F.lit(width) - F.size("__days"))
+    return days.select(site, "year", "__days", F.explode(study_list(species)).alias("species")).select(
+        site, "year", "species", F.concat(surveyed, padding).alias("history")
     )
-    padding = F.array_repeat(F.lit(None).cast("int"), F.lit(width) - F.col("n_rep"))
-    return grid.select(site, "year", "species", F.concat(surveyed, padding).alias("history"))
 
 
 def species_totals(detected: DataFrame, key: str, value: str = "detected") -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from fieldmark.functions.columns import ratio
 from fieldmark.operators.pruning import visit_days
-from fieldmark.operators.replicates import site_day_species
+from fieldmark.operators.replicates import site_day_species, study_list
 from fieldmark.plans.scores import per_species
 from fieldmark.session import checked_broadcast, settle, spread
 
@@ -101,7 +101,7 @@ def site_histories(
         .groupBy(site)
         .agg(F.map_from_entries(F.collect_list(F.struct(index, F.col("t").cast("int")))).alias("__t"))
     )
-    names = species.select("species").distinct().agg(F.sort_array(F.collect_list("species")).alias("s")).scalar()
+    names = study_list(species)
     found = (
         site_day_species(lists, detections, site, event)
         .groupBy(site, "species", "year")

@@ -8,13 +8,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 
+def balanced(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Rows of one output folder together, in files of a sensible size.
+
+    Run-time rebalancing splits the folder that holds most of the rows over
+    many tasks and merges small ones, so neither one huge task nor a file per
+    task and folder results.
+    """
+    return df.hint("rebalance", *columns) if columns else df
+
+
 def replace_table(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
     """Write a table anew."""
-    df.write.mode("overwrite").partitionBy(*partition_by).parquet(path)
+    balanced(df, partition_by).write.mode("overwrite").partitionBy(*partition_by).parquet(path)
 
 
 def append_table(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
-    df.write.mode("append").partitionBy(*partition_by).parquet(path)
+    balanced(df, partition_by).write.mode("append").partitionBy(*partition_by).parquet(path)
 
 
 def read_table(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
@@ -23,12 +33,8 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType | None = Non
 
 
 def write_yearly_csv(df: DataFrame, path: str, year: str = "YEAR") -> None:
-    """CSV with a header, one folder per year.
-
-    Rows stay where they are: each task writes its own part of each year, so a
-    year with most of the rows is not gathered in one task.
-    """
-    df.write.mode("overwrite").partitionBy(year).option("header", True).csv(path)
+    """CSV with a header, one folder per year."""
+    balanced(df, [year]).write.mode("overwrite").partitionBy(year).option("header", True).csv(path)
 
 
 def read_yearly_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
@@ -38,7 +44,7 @@ def read_yearly_csv(spark: SparkSession, path: str, schema: T.StructType) -> Dat
 
 def write_layers(pixels: DataFrame, path: str) -> None:
     """Pixel table with one folder per layer."""
-    pixels.write.mode("overwrite").partitionBy("layer").parquet(path)
+    balanced(pixels, ["layer"]).write.mode("overwrite").partitionBy("layer").parquet(path)
 
 
 def read_layers(spark: SparkSession, path: str, layers: Sequence[str] | None = None) -> DataFrame:

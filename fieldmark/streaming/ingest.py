@@ -11,6 +11,7 @@ from pyspark.sql.utils import AnalysisException
 
 from fieldmark import schemas
 from fieldmark.sources.checklists import detections, folder_year
+from fieldmark.sources.tables import append_table
 
 KEYS = ["year", "sampling_event_id", "species"]
 
@@ -29,21 +30,24 @@ def append_new(batch: DataFrame, table: str) -> None:
     """Append the detections whose key the table does not hold yet.
 
     The table is partitioned by year, and only the partitions of the batch's
-    years are read for the check.  A batch that is run again after a failure
-    finds its own rows and adds none.
+    years are read for the check; the first batch has nothing to check.  A
+    batch that is run again after a failure finds its own rows and adds none.
     """
-    spark = batch.sparkSession
     fresh = batch.dropDuplicates(KEYS)
-    years = [r[0] for r in batch.select("year").distinct().collect()]
-    if not years:
-        return
+    known = _existing(batch.sparkSession, table)
+    if known is not None:
+        years = [r[0] for r in batch.select("year").distinct().collect()]  # one per folder
+        fresh = fresh.join(known.where(F.col("year").isin(*years)).select(*KEYS), KEYS, "left_anti")
+    append_table(fresh.select(*KEYS), table, ["year"])
+
+
+def _existing(spark: SparkSession, table: str) -> DataFrame | None:
     try:
-        known = spark.read.parquet(table).where(F.col("year").isin(*years)).select(*KEYS)
-        fresh = fresh.join(known, KEYS, "left_anti")
+        return spark.read.parquet(table)
     except AnalysisException as missing:
-        if "PATH_NOT_FOUND" not in str(missing) and "UNABLE_TO_INFER_SCHEMA" not in str(missing):
-            raise
-    fresh.select(*KEYS).write.mode("append").partitionBy("year").parquet(table)
+        if "PATH_NOT_FOUND" in str(missing) or "UNABLE_TO_INFER_SCHEMA" in str(missing):
+            return None
+        raise
 
 
 def ingest_available(

@@ -368,7 +368,7 @@ def _yearly_files(spark: SparkSession, sf: str) -> tuple[str, list[str]]:
     info = S.checklists(spark, sf).select(F.col("event_id").alias("SAMPLING_EVENT_ID"), "year", "day", "count_type")
     wide = info.join(wide_counts(spark, sf), "SAMPLING_EVENT_ID")
     by_year = wide.withColumn("folder", F.col("year"))
-    by_year.write.partitionBy("folder").option("header", True).option("nullValue", "?").csv(root)
+    tables.balanced(by_year, ["folder"]).write.partitionBy("folder").option("header", True).option("nullValue", "?").csv(root)
     return root, wide.columns
 
 
