@@ -98,7 +98,7 @@ def fortnight_effort(spark: SparkSession, sf: str) -> DataFrame:
 def fortnight_detections(spark: SparkSession, sf: str) -> DataFrame:
     """Species per cell and fortnight, in cell-years with more than two fortnights."""
     lists = periods(spark, sf)
-    found = replicates.period_detections(lists, S.detections(spark, sf))
+    found = replicates.period_detections(lists, S.records(spark, sf))
     return replicates.keep_replicated(found, replicates.period_effort(lists, []), more_than=2)
 
 
@@ -159,7 +159,7 @@ def presence_totals(spark: SparkSession, sf: str) -> DataFrame:
     )
 )
 def naive_z(spark: SparkSession, sf: str) -> DataFrame:
-    return replicates.naive_state(S.season(spark, sf), S.detections(spark, sf), S.species(spark, sf))
+    return replicates.naive_state(S.season(spark, sf), S.records(spark, sf), S.species(spark, sf))
 
 
 @query(
@@ -179,7 +179,7 @@ def dense_panel(spark: SparkSession, sf: str) -> DataFrame:
     """The full array: unsurveyed site-years stay missing."""
     lists, species = S.season(spark, sf), S.species(spark, sf)
     grid = replicates.dense_panel(lists, S.YEARS, species)
-    known = replicates.naive_state(lists, S.detections(spark, sf), species)
+    known = replicates.naive_state(lists, S.records(spark, sf), species)
     return grid.join(known, ["site", "year", "species"], "left")
 
 
@@ -202,5 +202,5 @@ def dense_panel(spark: SparkSession, sf: str) -> DataFrame:
 )
 def replicate_matrix(spark: SparkSession, sf: str) -> DataFrame:
     return replicates.replicate_matrix(
-        S.season(spark, sf), S.detections(spark, sf), S.species(spark, sf), WIDTH
+        S.season(spark, sf), S.records(spark, sf), S.species(spark, sf), WIDTH
     )

@@ -40,7 +40,7 @@ def _visits(spark: SparkSession, sf: str) -> DataFrame:
 def _year_intercepts(spark: SparkSession, sf: str) -> DataFrame:
     """Logit of the share of (visit, species) pairs with a record, by year."""
     lists = S.season(spark, sf).select("event_id", "year")
-    records = lists.join(S.detections(spark, sf), "event_id").groupBy("year").agg(F.count("*").alias("n"))
+    records = lists.join(S.detections(spark, sf, lists), "event_id").groupBy("year").agg(F.count("*").alias("n"))
     visits = lists.groupBy("year").agg(F.count("*").alias("v"))
     return visits.join(records, "year").select("year", C.logit(F.col("n") / (F.col("v") * 25.0)).alias("palpha"))
 
@@ -242,7 +242,7 @@ NAIVE = """naive as (
 
 
 def _naive(spark: SparkSession, sf: str) -> DataFrame:
-    return replicates.naive_occupancy(S.season(spark, sf), S.detections(spark, sf)).select(
+    return replicates.naive_occupancy(S.season(spark, sf), S.records(spark, sf)).select(
         "species", "year", F.col("naive_psi").alias("psi")
     )
 
@@ -273,7 +273,7 @@ def occupied_share(spark: SparkSession, sf: str) -> DataFrame:
     """Occupied sites from 0/1 states, as a share of all sites."""
     lists = S.season(spark, sf)
     n_sites = lists.select("site").distinct().agg(F.count("*")).scalar()
-    states = replicates.naive_state(lists, S.detections(spark, sf), S.species(spark, sf))
+    states = replicates.naive_state(lists, S.records(spark, sf), S.species(spark, sf))
     return rounded(O.occupied_share(states.where("z0 = 1"), n_sites, "z0"), "percent")
 
 
@@ -350,7 +350,7 @@ def _sum(prefix: str, n: int, factor: str = "") -> str:
 
 
 def histories(spark: SparkSession, sf: str) -> DataFrame:
-    return O.site_histories(S.season(spark, sf), S.detections(spark, sf), S.species(spark, sf), S.YEARS)
+    return O.site_histories(S.season(spark, sf), S.records(spark, sf), S.species(spark, sf), S.YEARS)
 
 
 @query(
@@ -438,5 +438,5 @@ SINGLE_ITERATIONS = 25
 def fit_single_season(spark: SparkSession, sf: str) -> DataFrame:
     """Each site-year as one closed season of its own."""
     lists = S.season(spark, sf).withColumn("site", F.col("site") * 10000 + F.col("year"))
-    counts = O.season_counts(lists, S.detections(spark, sf), S.species(spark, sf))
+    counts = O.season_counts(lists, S.records(spark, sf), S.species(spark, sf))
     return rounded(O.fit_single_season(counts, SINGLE_ITERATIONS), "psi", "p", "n_occ")

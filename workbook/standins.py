@@ -77,15 +77,22 @@ def season(spark: SparkSession, sf: str) -> DataFrame:
     return checklists(spark, sf).where(in_season(protocols=PROTOCOLS, primary=1, flag="primary_flag"))
 
 
-def detections(spark: SparkSession, sf: str) -> DataFrame:
+def records(spark: SparkSession, sf: str) -> DataFrame:
+    """(event_id, species) as recorded, repeats included: for jobs that reduce to sets themselves."""
     line, part = table(spark, sf, "lineitem"), table(spark, sf, "part")
-    return (
-        line.join(part, F.col("l_partkey") == F.col("p_partkey"))
-        .select(F.col("l_orderkey").alias("event_id"), F.col("p_brand").alias("species"))
-        .distinct()
+    return line.join(part, F.col("l_partkey") == F.col("p_partkey")).select(
+        F.col("l_orderkey").alias("event_id"), F.col("p_brand").alias("species")
     )
 
 
+def detections(spark: SparkSession, sf: str, lists: DataFrame | None = None) -> DataFrame:
+    """The detection table without repeats; with ``lists`` only theirs, cut before the repeats are removed."""
+    rows = records(spark, sf)
+    if lists is not None:
+        rows = rows.join(lists.select("event_id"), "event_id", "left_semi")
+    return rows.distinct()
+
+
 def species_info(spark: SparkSession, sf: str) -> DataFrame:
     code = F.substring("p_brand", 7, 10).cast("int") % 3
     status = F.when(code == 0, "Resident").when(code == 1, "Neotropical").otherwise("Temperate")

@@ -37,7 +37,7 @@ good_sites as (
 def naive_occupancy(spark: SparkSession, sf: str) -> DataFrame:
     lists = S.season(spark, sf)
     kept = relational.keep_matching(lists, pruning.well_surveyed_sites(lists), "site")
-    return rounded(replicates.naive_occupancy(kept, S.detections(spark, sf)), "naive_psi")
+    return rounded(replicates.naive_occupancy(kept, S.records(spark, sf)), "naive_psi")
 
 
 @query(
@@ -60,7 +60,7 @@ def season_extract(spark: SparkSession, sf: str) -> DataFrame:
     lists = S.checklists(spark, sf).join(people, "o_custkey").where(keep)
     study = S.species_info(spark, sf).where(F.col("mig_status").isin("Neotropical", "Temperate"))
     return (
-        lists.join(S.detections(spark, sf), "event_id")
+        lists.join(S.detections(spark, sf, lists), "event_id")
         .join(study, "species", "left_semi")
         .withColumns(
             {"latitude": C.rounded_coordinate("raw_latitude"), "longitude": C.rounded_coordinate("raw_longitude")}
@@ -102,7 +102,7 @@ def sites_by_years(spark: SparkSession, sf: str) -> DataFrame:
 )
 def species_min_records(spark: SparkSession, sf: str) -> DataFrame:
     lists = S.season(spark, sf)
-    records = lists.select("event_id").join(S.detections(spark, sf), "event_id")
+    records = S.detections(spark, sf, lists)
     floor = lists.agg((F.count("*") * F.lit(0.15)).alias("n")).scalar()
     return records.groupBy("species").agg(F.count("*").alias("n_records")).where(F.col("n_records") >= floor)
 
@@ -117,7 +117,7 @@ def species_min_records(spark: SparkSession, sf: str) -> DataFrame:
     )
 )
 def species_lost(spark: SparkSession, sf: str) -> DataFrame:
-    return relational.lost_keys(S.detections(spark, sf), species_min_records(spark, sf), "species")
+    return relational.lost_keys(S.records(spark, sf), species_min_records(spark, sf), "species")
 
 
 @query(
