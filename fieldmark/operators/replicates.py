@@ -174,7 +174,8 @@ def packed_histories(
 
     A site-year becomes one row with its days in order and the species of each
     day (at most the days of a year times the species list); the position of a
-    day is its replicate number.  The species are expanded last.
+    day is its replicate number.  The species are expanded last.  A site-year
+    with more than ``width`` replicates is an error: none is cut off.
     """
     days = (
         checklists.select(event, site, "year", "obs_date")
@@ -185,7 +186,10 @@ def packed_histories(
         .agg(F.array_sort(F.collect_list(F.struct("obs_date", "seen"))).alias("__days"))
     )
     surveyed = F.transform("__days", lambda d: F.array_contains(d["seen"], F.col("species")).cast("int"))
-    padding = F.array_repeat(F.lit(None).cast("int"), F.lit(width) - F.size("__days"))
+    missing = F.when(F.size("__days") <= width, F.lit(width) - F.size("__days")).otherwise(
+        F.raise_error(F.lit(f"a site-year has more than {width} replicates")).cast("int")
+    )
+    padding = F.array_repeat(F.lit(None).cast("int"), missing)
     return days.select(site, "year", "__days", F.explode(study_list(species)).alias("species")).select(
         site, "year", "species", F.concat(surveyed, padding).alias("history")
     )
