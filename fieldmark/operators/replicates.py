@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldmark.operators.pruning import visit_days
-from fieldmark.session import BROADCAST_ROWS, settle
+from fieldmark.session import BROADCAST_ROWS, settle, spread
 
 
 def replicate_numbers(checklists: DataFrame, site: str = "site", across_years: bool = False) -> DataFrame:
@@ -177,11 +177,15 @@ def packed_histories(
     day is its replicate number.  The species are expanded last.  A site-year
     with more than ``width`` replicates is an error: none is cut off.
     """
-    days = (
+    visits = (
         checklists.select(event, site, "year", "obs_date")
         .join(detections.select(event, "species"), event, "left")
         .groupBy(site, "year", "obs_date")
         .agg(F.collect_set("species").alias("seen"))
+    )
+    # One stated partitioning: the rows are few in bytes, but each grows by the species list.
+    days = (
+        spread(visits, site, "year")
         .groupBy(site, "year")
         .agg(F.array_sort(F.collect_list(F.struct("obs_date", "seen"))).alias("__days"))
     )

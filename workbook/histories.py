@@ -13,7 +13,8 @@ from workbook.registry import query
 VISITS = """visits as (select distinct site, year, obs_date from season),
 numbered as (select *, row_number() over (partition by site, year order by obs_date) as replicate from visits)"""
 
-WIDTH = 92  # days of the season: no site-year can have more replicates
+# Columns of the matrix; a site-year with more replicates stops the query instead of losing some.
+WIDTH = 31
 
 
 @query(S.sql(S.CHECKLISTS, S.SEASON, VISITS, "select site, year, obs_date, replicate from numbered"))
