@@ -3,33 +3,36 @@
 import pytest
 
 import __spark_entry__ as entry
+from workbook.registry import ORACLES, QUERIES
 from tests.compare import compare, oracle_connection
 
-ORACLES = entry.oracle_sql()
-
 
 @pytest.fixture(scope="module")
 def con(small):
     return oracle_connection(small)
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_matches_sql(spark, small, con, name):
-    problem, _, _ = compare(spark, con, name, entry.queries()[name], ORACLES.get(name), small)
+    problem, _, _ = compare(spark, con, name, QUERIES[name], ORACLES.get(name), small)
     assert problem is None
 
 
 def test_every_query_has_sql():
-    assert set(entry.queries()) == set(ORACLES)
+    assert set(QUERIES) == set(ORACLES)
+
+
+def test_entry_registers_all():
+    assert set(QUERIES) <= set(entry.queries()) and set(ORACLES) <= set(entry.oracle_sql())
 
 
 def test_flagship(spark):
     assert entry.entry(spark).count() > 0
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_plan_has_no_python_rows_and_no_pairs(spark, small, name, capsys):
-    df = entry.queries()[name](spark, small)
+    df = QUERIES[name](spark, small)
     plan = df._jdf.queryExecution().executedPlan().toString()
     for node in ("BatchEvalPython", "ArrowEvalPython", "CartesianProduct", "BroadcastNestedLoopJoin"):
         assert node not in plan
