@@ -4,3 +4,4 @@ import fieldmark.llm.byte_bpe  # noqa: F401
 import fieldmark.llm.packing  # noqa: F401
 import fieldmark.llm.token_files  # noqa: F401
 from fieldmark.llm.common import ORACLES, QUERIES  # noqa: F401
+import fieldmark.llm.simhash  # noqa: F401
