@@ -6,8 +6,10 @@ import functools
 import os
 import tempfile
 import zipfile
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -71,3 +73,28 @@ def held_out(doc_id: Column) -> Column:
 def text_key(text: Column) -> Column:
     """Two 64-bit hashes of a text; with the row's id they stand for the row in joins."""
     return F.struct(F.xxhash64(text).alias("a"), F.xxhash64(F.lit("key"), text, F.length(text)).alias("b"))
+
+
+def changes(rows: pa.Table | pa.RecordBatch, columns: list[str]) -> np.ndarray:
+    """Places, counted from 1, where a row's integer ``columns`` differ from those of the row before."""
+    if len(rows) < 2:
+        return np.zeros(0, np.int64)
+    values = [rows.column(c).to_numpy() for c in columns]
+    return np.flatnonzero(np.any([v[1:] != v[:-1] for v in values], axis=0)) + 1
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], columns: list[str], rows: int) -> Iterator[pa.Table]:
+    """Tables of about ``rows`` rows that never part rows with equal ``columns``; the input is sorted by these."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += len(batch)
+        if size >= rows:
+            whole = pa.Table.from_batches(held)
+            cut = changes(whole, columns)
+            if len(cut):
+                yield whole.slice(0, int(cut[-1]))
+                held = whole.slice(int(cut[-1])).to_batches()
+                size = sum(map(len, held))
+    if size:
+        yield pa.Table.from_batches(held)

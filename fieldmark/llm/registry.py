@@ -6,3 +6,4 @@ import fieldmark.llm.token_files  # noqa: F401
 from fieldmark.llm.common import ORACLES, QUERIES  # noqa: F401
 import fieldmark.llm.simhash  # noqa: F401
 import fieldmark.llm.near_vectors  # noqa: F401
+import fieldmark.llm.neighbours  # noqa: F401

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldmark.llm.common import query, table
+from fieldmark.llm.common import query, table, whole_groups
 from fieldmark.llm.components import Forest, components
 from fieldmark.session import settle
 
@@ -183,21 +183,8 @@ def links(prints: DataFrame, ring: Ring) -> DataFrame:
         return found.links()
 
     def run(batches):
-        held, size = [], 0
-        for batch in batches:
-            held.append(batch)
-            size += len(batch)
-            if size >= 200_000:
-                whole = pa.Table.from_batches(held)
-                # what belongs to the last bucket waits for the rest of it
-                last = np.flatnonzero(np.any([whole.column(c).to_numpy()[1:] != whole.column(c).to_numpy()[:-1] for c in ("bucket", "i", "j")], axis=0))
-                if len(last):
-                    a, b = compare(whole.slice(0, int(last[-1]) + 1))
-                    held = whole.slice(int(last[-1]) + 1).to_batches()
-                    size = sum(map(len, held))
-                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
-        if held:
-            a, b = compare(pa.Table.from_batches(held))
+        for whole in whole_groups(batches, ["bucket", "i", "j"], 200_000):
+            a, b = compare(whole)
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
     return dealt.select("bucket", "ring", "node", *named, "own", "i", "j").mapInArrow(run, "a long, b long")
