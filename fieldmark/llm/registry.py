@@ -7,3 +7,5 @@ from fieldmark.llm.common import ORACLES, QUERIES  # noqa: F401
 import fieldmark.llm.simhash  # noqa: F401
 import fieldmark.llm.near_vectors  # noqa: F401
 import fieldmark.llm.neighbours  # noqa: F401
+import fieldmark.llm.language  # noqa: F401
+import fieldmark.llm.quality  # noqa: F401
