@@ -21,6 +21,9 @@ CUT_CHARS = 65_536
 #: a visible character before a space or newline, a plain letter before a plain digit, a digit before a letter.
 SAFE = re.compile(r"\S(?=[ \n])|[A-Za-z](?=[0-9])|[0-9](?=[A-Za-z])")
 
+#: Rows that are decoded, and bytes of text that are encoded, into one batch.
+ROWS, BATCH_BYTES = 256, 1_000_000
+
 _CODECS: dict[int, object] = {}
 
 
@@ -67,10 +70,10 @@ def encode(df: DataFrame, ranks: bytes, pattern: str, text: str = "text", ids: s
     def run(batches):
         encoding = codec(ranks, pattern)
         for batch in batches:
-            for cut in slices(batch, text):
-                found = [encode_text(encoding, t) for t in cut.column(text).to_pylist()]
+            for cut in slices(batch, text, BATCH_BYTES):
+                found = [np.array(encode_text(encoding, t), np.int32) for t in cut.column(text).to_pylist()]
                 offsets = np.concatenate(([0], np.cumsum([len(x) for x in found]))).astype(np.int32)
-                flat = np.fromiter((i for x in found for i in x), np.int32, int(offsets[-1]))
+                flat = np.concatenate(found)
                 kept = [cut.column(f.name) for f in schema[:-1]]
                 values = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
                 yield pa.RecordBatch.from_arrays([*kept, values], names=schema.names)
@@ -85,10 +88,13 @@ def decode(df: DataFrame, ranks: bytes, pattern: str, ids: str = "ids", content:
     def run(batches):
         encoding = codec(ranks, pattern)
         for batch in batches:
-            column = batch.column(ids)
-            bytes_of = [None if x is None else encoding.decode_bytes(x) for x in column.to_pylist()]
-            kept = [batch.column(f.name) for f in schema[:-1]]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(bytes_of, pa.binary())], names=schema.names)
+            for start in range(0, len(batch), ROWS):
+                cut = batch.slice(start, ROWS)
+                column = cut.column(ids)
+                # one row's ids at a time become Python numbers
+                bytes_of = [encoding.decode_bytes(x.values.to_pylist()) if x.is_valid else None for x in column]
+                kept = [cut.column(f.name) for f in schema[:-1]]
+                yield pa.RecordBatch.from_arrays([*kept, pa.array(bytes_of, pa.binary())], names=schema.names)
 
     return df.mapInArrow(run, schema)
 
