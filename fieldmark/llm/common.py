@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import gc
 import os
 import tempfile
 import zipfile
@@ -13,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fieldmark.session import scratch_path
+
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
@@ -75,6 +78,19 @@ def text_key(text: Column) -> Column:
     return F.struct(F.xxhash64(text).alias("a"), F.xxhash64(F.lit("key"), text, F.length(text)).alias("b"))
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Written as Parquet to the shared folder and read back: cuts the lineage, survives lost executors."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner find plans that are no longer used, so that their shuffle files leave the disks."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def changes(rows: pa.Table | pa.RecordBatch, columns: list[str]) -> np.ndarray:
     """Places, counted from 1, where a row's integer ``columns`` differ from those of the row before."""
     if len(rows) < 2:

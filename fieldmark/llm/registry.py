@@ -10,3 +10,4 @@ import fieldmark.llm.neighbours  # noqa: F401
 import fieldmark.llm.language  # noqa: F401
 import fieldmark.llm.quality  # noqa: F401
 import fieldmark.llm.line_dedup  # noqa: F401
+import fieldmark.llm.repeats  # noqa: F401
