@@ -209,16 +209,24 @@ def near_duplicates(docs: DataFrame, words: int = 5, bits: int = 64, segments: i
     return prints.join(labelled, named)
 
 
-#: Bits, segments and distance for a shingle similarity of 0.8 or more: fingerprints of 256 bits
-#: differ in about acos(2 s / (1 + s)) / pi of them, with a deviation of sqrt(256 p (1 - p)).
+#: Bits and segments of the fingerprints that stand for a shingle similarity.
 WIDE_BITS, WIDE_SEGMENTS = 256, 21
 
 
-def distance_for(similarity: float, bits: int, deviations: float = 1.5) -> int:
+def distance_for(similarity: float, bits: int, deviations: float) -> int:
+    """Differing bits that nearly all pairs of this shingle similarity stay below.
+
+    A share acos(2 s / (1 + s)) / pi of the bits differs on average.
+    """
     p = math.acos(2 * similarity / (1 + similarity)) / math.pi
     return math.floor(bits * p + deviations * math.sqrt(bits * p * (1 - p)))
 
 
+def similar_documents(docs: DataFrame, words: int, similarity: float, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """As near_duplicates, for documents whose sets of ``words``-word shingles agree in ``similarity`` (Jaccard) or more."""
+    return near_duplicates(docs, words, WIDE_BITS, WIDE_SEGMENTS, distance_for(similarity, WIDE_BITS, 1.5), key, text)
+
+
 @query()
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"), words=4, bits=64, segments=5, distance=4)
