@@ -270,8 +270,9 @@ def _resolved(around: DataFrame, least: int, gram: int) -> DataFrame:
     one = few.select("gram", "around", "n", "left", "bytes").repartition("gram").sortWithinPartitions("gram").mapInArrow(sort, kind)
     # a k-gram with very many different surroundings: equal strings meet by their hashes, in any number of tasks
     every = many.dropDuplicates(["gram", "around"]).mapInArrow(strings, "gram long, around long, low long, string binary")
-    again = every.groupBy("string").agg(F.count("*").alias("n")).where("n > 1").select("string")
-    two = every.join(again, "string").select("gram", "around", "low", F.col("low").alias("high"))
+    # (a string that holds two anchors is looked at from both, so the place of the k-gram counts as well)
+    again = every.groupBy("gram", "low", "string").agg(F.count("*").alias("n")).where("n > 1").select("gram", "low", "string")
+    two = every.join(again, ["gram", "low", "string"]).select("gram", "around", "low", F.col("low").alias("high"))
     return one.unionAll(two)
 
 
