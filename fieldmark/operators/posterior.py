@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from fieldmark import fixed_values as V
 from fieldmark.operators.numbering import grouped_row_number
+from fieldmark.operators.relational import null_safe_join
 from fieldmark.session import BROADCAST_ROWS, checked_broadcast, settle
 
 QUANTILES = (0.025, 0.25, 0.5, 0.75, 0.975)
@@ -139,7 +140,7 @@ def posterior_summary(draws: DataFrame, keys: Sequence[str] = ("parameter",), va
     moments = draws.groupBy(*keys).agg(F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"))
     q = exact_quantiles(draws, keys, value)
     names = ("q2_5", "q25", "q50", "q75", "q97_5")
-    return moments.join(q, keys).select(
+    return null_safe_join(moments, q, keys).select(
         *keys, "mean", "sd", *[F.col("quantiles")[i].alias(n) for i, n in enumerate(names)]
     )
 
@@ -170,7 +171,7 @@ def histogram_bins(draws: DataFrame, keys: Sequence[str], bins: int = 50, value:
     """Counts and densities in ``bins`` bins over each group's own range."""
     keys = list(keys)
     ranges = draws.groupBy(*keys).agg(((F.max(value) - F.min(value)) / (bins - 1)).alias("__w"))
-    return _binned(draws.join(checked_broadcast(ranges), keys), keys, F.col("__w"), value)
+    return _binned(null_safe_join(draws, checked_broadcast(ranges), keys), keys, F.col("__w"), value)
 
 
 def _binned(df: DataFrame, keys: list[str], width: Column, value: str) -> DataFrame:
@@ -182,7 +183,7 @@ def _binned(df: DataFrame, keys: list[str], width: Column, value: str) -> DataFr
         .agg(F.count("*").alias("n"))
     )
     totals = counts.groupBy(*keys).agg(F.sum("n").alias("__total"))
-    return counts.join(totals, keys).select(
+    return null_safe_join(counts, totals, keys).select(
         *keys,
         "bin",
         (F.col("bin") * F.col("width")).alias("centre"),
@@ -199,8 +200,9 @@ def kernel_density(
     Draws are first counted in the ``points`` grid cells, so that whatever the
     number of draws a group is one array of at most ``points`` counts; the
     weights are then summed inside that row.  The bandwidth is the usual rule
-    of thumb 0.9 min(sd, IQR / 1.34) n^(-1/5); the grid reaches ``cut``
-    bandwidths past the data.
+    of thumb 0.9 min(sd, IQR / 1.34) n^(-1/5); where that is zero the scale is
+    the sd, else the size of the values, else 1, so a group without spread has a
+    density too.  The grid reaches ``cut`` bandwidths past the data.
     """
     keys = list(keys)
     given = draws.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("__v"))
@@ -210,11 +212,16 @@ def kernel_density(
     quartiles = exact_quantiles(given, keys, "__v", (0.25, 0.75)).withColumn(
         "__iqr", (F.col("quantiles")[1] - F.col("quantiles")[0]) / 1.34
     )
-    narrow = F.when(F.col("__iqr") > 0, F.least("__sd", "__iqr")).otherwise(F.col("__sd"))
+    positive = lambda c: F.when(c > 0, c)
+    narrow = F.coalesce(
+        positive(F.when(F.col("__iqr") > 0, F.least("__sd", "__iqr"))),
+        positive(F.col("__sd")),
+        positive(F.abs("__lo")),
+        F.lit(1.0),
+    )
     scale = (
-        spread.join(quartiles, keys)
+        null_safe_join(spread, quartiles, keys)
         .withColumn("__bw", 0.9 * narrow * F.pow(F.col("n").cast("double"), F.lit(-0.2)))
-        .where("__bw > 0")
         .select(
             *keys,
             F.col("n").alias("__n"),
@@ -223,7 +230,7 @@ def kernel_density(
             ((F.col("__hi") - F.col("__lo") + 2 * cut * F.col("__bw")) / (points - 1)).alias("__step"),
         )
     )
-    cells = given.join(checked_broadcast(scale), keys).groupBy(
+    cells = null_safe_join(given, checked_broadcast(scale), keys).groupBy(
         *keys, "__n", "__bw", "__x0", "__step", F.floor((F.col("__v") - F.col("__x0")) / F.col("__step") + 0.5).alias("__k")
     ).agg(F.count("*").alias("__c"))
     packed = cells.groupBy(*keys, "__n", "__bw", "__x0", "__step").agg(

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldmark import fixed_values as V
+from fieldmark.session import checked_broadcast, settle
 
 
 def in_season(
@@ -95,13 +96,12 @@ def detected_keys(detected: DataFrame, key: str, value: str = "detected") -> Dat
 def drop_unseen(detected: DataFrame, site: str = "site", value: str = "detected") -> DataFrame:
     """Drop species never detected anywhere and sites where no study species was.
 
-    One pass over the facts reduces them to (site, species); both key lists
-    come from that smaller table.
+    The facts are reduced to the (site, species) pairs seen, which are settled and
+    give both key lists; the facts are then read once more, and move by site only.
     """
-    seen = detected.groupBy(site, "species").agg(F.max(value).alias(value)).where(F.col(value) > 0)
-    species = seen.select("species").distinct()
-    sites = seen.select(site).distinct()
-    return detected.join(species, "species", "left_semi").join(sites, site, "left_semi")
+    seen = settle(detected.where(F.col(value) > 0).select(site, "species").distinct())
+    species = checked_broadcast(seen.select("species").distinct())
+    return detected.join(species, "species", "left_semi").join(seen.select(site).distinct(), site, "left_semi").select(*detected.columns)
 
 
 def dimension_sizes(df: DataFrame, **dims: str) -> DataFrame:

@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fieldmark.operators.pruning import visit_days
+from fieldmark.operators.pruning import max_replicates, visit_days
 from fieldmark.session import BROADCAST_ROWS, settle, spread
 
 
@@ -90,8 +90,29 @@ def site_day_species(checklists: DataFrame, detections: DataFrame, site: str = "
     )
 
 
-def naive_occupancy(checklists: DataFrame, detections: DataFrame, site: str = "site", event: str = "event_id") -> DataFrame:
-    """Occupied and surveyed sites per species and year, and their ratio."""
+def species_shares(rows: DataFrame, species: DataFrame, share_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Each row beside the study species, as sorted arrays ``__names`` of at most about ``share_rows`` names.
+
+    Any taxonomy of usual size is one share, so a row meets one array; a longer
+    list is dealt into more shares by a hash, with an equi-join on the share.
+    """
+    names = species.select("species").where(F.col("species").isNotNull()).distinct()
+    shares = max(1, -(-names.count() // share_rows))
+    packs = (
+        names.groupBy(F.pmod(F.xxhash64("species"), F.lit(shares)).alias("__share"))
+        .agg(F.sort_array(F.collect_list("species")).alias("__names"))
+    )
+    dealt = rows.withColumn("__share", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shares - 1).cast("long"))))
+    return dealt.join(packs, "__share").drop("__share")
+
+
+def naive_occupancy(
+    checklists: DataFrame, detections: DataFrame, species: DataFrame, site: str = "site", event: str = "event_id"
+) -> DataFrame:
+    """Occupied and surveyed sites per study species and surveyed year, and their ratio.
+
+    A species without a record in a surveyed year has 0 occupied sites there.
+    """
     seen = (
         checklists.select(event, site, "year")
         .join(detections.select(event, "species"), event)
@@ -101,23 +122,16 @@ def naive_occupancy(checklists: DataFrame, detections: DataFrame, site: str = "s
         .agg(F.count("*").alias("occupied"))
     )
     surveyed = checklists.select(site, "year").distinct().groupBy("year").agg(F.count("*").alias("surveyed"))
-    return seen.join(surveyed, "year").select(
-        "species", "year", "occupied", "surveyed", (F.col("occupied") / F.col("surveyed")).alias("naive_psi")
+    grid = species_shares(surveyed, species).select("year", "surveyed", F.explode("__names").alias("species"))
+    return grid.join(seen, ["species", "year"], "left").select(
+        "species",
+        "year",
+        F.coalesce("occupied", F.lit(0)).alias("occupied"),
+        "surveyed",
+        (F.coalesce("occupied", F.lit(0)) / F.col("surveyed")).alias("naive_psi"),
     )
 
 
-def study_list(species: DataFrame, max_species: int = BROADCAST_ROWS) -> Column:
-    """The distinct study species as one sorted array, to be expanded beside other rows.
-
-    A survey's taxonomy is small; a longer list is refused rather than
-    gathered, and can be run in parts as species do not depend on each other.
-    """
-    names = settle(species.select("species").distinct())
-    if names.count() > max_species:
-        raise ValueError(f"more than {max_species} study species: run the list in parts")
-    return names.agg(F.sort_array(F.collect_list("species")).alias("s")).scalar()
-
-
 def naive_state(checklists: DataFrame, detections: DataFrame, species: DataFrame, site: str = "site", event: str = "event_id") -> DataFrame:
     """Maximum detection over a site-year's replicates for every species: 0 or 1.
 
@@ -131,31 +145,33 @@ def naive_state(checklists: DataFrame, detections: DataFrame, species: DataFrame
         .groupBy(site, "year")
         .agg(F.collect_set("species").alias("__seen"))
     )
-    return seen.select(site, "year", "__seen", F.explode(study_list(species)).alias("species")).select(
-        site, "year", "species", F.array_contains("__seen", F.col("species")).cast("int").alias("z0")
-    )
+    marked = lambda names, z: F.transform(names, lambda s: F.struct(s.alias("species"), F.lit(z).alias("z0")))
+    every = F.concat(marked(F.array_intersect("__names", "__seen"), 1), marked(F.array_except("__names", "__seen"), 0))
+    return species_shares(seen, species).select(site, "year", F.inline(every))
 
 
 def dense_panel(sites: DataFrame, years: range, species: DataFrame, site: str = "site") -> DataFrame:
     """Every site x year x species, for callers that need the full array."""
-    grid = sites.select(site).distinct().withColumn(
+    grid = species_shares(sites.select(site).distinct(), species).withColumn(
         "year", F.explode(F.sequence(F.lit(years.start), F.lit(years.stop - 1)))
     )
-    return grid.select(site, "year", F.explode(study_list(species)).alias("species"))
+    return grid.select(site, "year", F.explode("__names").alias("species"))
 
 
 def replicate_matrix(
     checklists: DataFrame,
     detections: DataFrame,
     species: DataFrame,
-    width: int,
+    width: int | None = None,
     site: str = "site",
     event: str = "event_id",
 ) -> DataFrame:
     """Species x replicate presence per site-year, one column per replicate.
 
-    Replicates that took place hold 0 or 1, later columns stay NULL.
+    Replicates that took place hold 0 or 1, later columns stay NULL.  Without
+    ``width`` there are as many columns as the busiest site-year has replicates.
     """
+    width = width or max_replicates(checklists, site).first()[0] or 0
     history = packed_histories(checklists, detections, species, width, site, event)
     return history.select(
         site, "year", "species", *[F.col("history")[i].alias(f"r{i + 1}") for i in range(width)]
@@ -172,34 +188,49 @@ def packed_histories(
 ) -> DataFrame:
     """``history`` array per (site, year, species): 0/1 by replicate, NULL-padded to ``width``.
 
-    A site-year becomes one row with its days in order and the species of each
-    day (at most the days of a year times the species list); the position of a
-    day is its replicate number.  The species are expanded last.  A site-year
-    with more than ``width`` replicates is an error: none is cut off.
+    A site-year is one row with its days in order (the position of a day is its
+    replicate number) and the days of each species seen there; a species that was not seen is the
+    same row of zeros.  The species are expanded last.  A site-year with more
+    than ``width`` replicates is an error: none is cut off.
     """
-    visits = (
-        checklists.select(event, site, "year", "obs_date")
-        .join(detections.select(event, "species"), event, "left")
-        .groupBy(site, "year", "obs_date")
-        .agg(F.collect_set("species").alias("seen"))
-    )
-    # One stated partitioning: the rows are few in bytes, but each grows by the species list.
     days = (
-        spread(visits, site, "year")
+        spread(visit_days(checklists, site), site, "year")
         .groupBy(site, "year")
-        .agg(F.array_sort(F.collect_list(F.struct("obs_date", "seen"))).alias("__days"))
+        .agg(F.sort_array(F.collect_set("obs_date")).alias("__days"))
     )
-    surveyed = F.transform("__days", lambda d: F.array_contains(d["seen"], F.col("species")).cast("int"))
+    found = site_day_species(checklists, detections, site, event).where(F.col("species").isNotNull())
+    hits = (
+        spread(found, site, "year")
+        .groupBy(site, "year", "species")
+        .agg(F.collect_set("obs_date").alias("on"))
+        .groupBy(site, "year")
+        .agg(F.map_from_entries(F.collect_list(F.struct("species", "on"))).alias("__on"))
+    )
+    none = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<array<date>>"))
+    rows = species_shares(days.join(hits, [site, "year"], "left").withColumn("__on", F.coalesce("__on", none)), species)
     missing = F.when(F.size("__days") <= width, F.lit(width) - F.size("__days")).otherwise(
         F.raise_error(F.lit(f"a site-year has more than {width} replicates")).cast("int")
     )
     padding = F.array_repeat(F.lit(None).cast("int"), missing)
-    return days.select(site, "year", "__days", F.explode(study_list(species)).alias("species")).select(
-        site, "year", "species", F.concat(surveyed, padding).alias("history")
+    seen = F.map_entries(F.map_filter("__on", lambda s, _: F.array_contains("__names", s)))
+    history = lambda on: F.concat(F.transform("__days", lambda d: F.array_contains(on, d).cast("int")), padding)
+    some = F.transform(seen, lambda e: F.struct(e["key"].alias("species"), history(e["value"]).alias("history")))
+    blank = F.concat(F.array_repeat(F.lit(0), F.size("__days")), padding)
+    rest = F.transform(
+        F.array_except("__names", F.map_keys("__on")), lambda s: F.struct(s.alias("species"), blank.alias("history"))
     )
+    return rows.select(site, "year", F.inline(F.concat(some, rest)))
 
 
 def species_totals(detected: DataFrame, key: str, value: str = "detected") -> DataFrame:
     """Sum over a key of each (site, species) maximum: row or column sums of the presence matrix."""
-    peak = detected.groupBy("site", "species").agg(F.max(value).alias("__m"))
-    return peak.groupBy(key).agg(F.sum("__m").alias("n_detected"))
+    return peak_totals(presence_peaks(detected, value), key)
+
+
+def presence_peaks(detected: DataFrame, value: str = "detected") -> DataFrame:
+    """The presence matrix, (site, species) maxima, settled: several sums read it."""
+    return settle(detected.groupBy("site", "species").agg(F.max(value).alias("__m")))
+
+
+def peak_totals(peaks: DataFrame, key: str) -> DataFrame:
+    return peaks.groupBy(key).agg(F.sum("__m").alias("n_detected"))

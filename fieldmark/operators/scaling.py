@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldmark.functions.columns import finite
+from fieldmark.operators.relational import null_safe_join
 from fieldmark.session import checked_broadcast
 
 
@@ -43,7 +44,8 @@ def zscore_by(df: DataFrame, keys: Sequence[str], columns: Sequence[str], suffix
         *[F.avg(finite(F.col(c).cast("double"))).alias(f"__{c}_m") for c in columns],
         *[F.stddev_samp(finite(F.col(c).cast("double"))).alias(f"__{c}_s") for c in columns],
     )
-    joined = df.join(checked_broadcast(stats), list(keys))
+    # rows without a key are a group of their own
+    joined = null_safe_join(df, checked_broadcast(stats), list(keys))
     scored = joined.withColumns(
         {
             f"{c}{suffix}": _score(finite(F.col(c).cast("double")), F.col(f"__{c}_m"), F.col(f"__{c}_s"))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from fieldmark.functions.columns import ratio
 from fieldmark.operators.pruning import visit_days
-from fieldmark.operators.replicates import site_day_species, study_list
+from fieldmark.operators.replicates import site_day_species, species_shares
 from fieldmark.plans.scores import per_species
 from fieldmark.session import checked_broadcast, settle, spread
 
@@ -92,6 +92,7 @@ def site_histories(
     Both sides are first reduced to counts of distinct visit days and then
     partitioned by site once, which serves the packing and the join.  The
     species are expanded after it, so undetected species cost no shuffle.
+    Visits outside ``years`` take no part; ``visits_outside`` counts them.
     """
     lists = checklists.where(F.col("year").between(years.start, years.stop - 1))
     index = (F.col("year") - F.lit(years.start)).cast("int")
@@ -101,12 +102,11 @@ def site_histories(
         .groupBy(site)
         .agg(F.map_from_entries(F.collect_list(F.struct(index, F.col("t").cast("int")))).alias("__t"))
     )
-    names = study_list(species)
     found = (
         site_day_species(lists, detections, site, event)
+        .where(F.col("species").isNotNull())
         .groupBy(site, "species", "year")
         .agg(F.count("*").alias("k"))
-        .where(F.array_contains(names, F.col("species")))
     )
     hits = (
         spread(found, site)
@@ -116,8 +116,12 @@ def site_histories(
         .agg(F.collect_list(F.struct("species", "k")).alias("__hits"))
     )
     known = F.coalesce("__hits", F.array().cast("array<struct<species:string,k:map<int,int>>>"))
-    sites = effort.join(hits, site, "left").select(
-        site, "__t", known.alias("__hits"), F.array_except(names, F.transform(known, lambda x: x["species"])).alias("__unseen")
+    dealt = species_shares(effort.join(hits, site, "left").withColumn("__hits", known), species)
+    sites = dealt.select(
+        site,
+        "__t",
+        F.filter("__hits", lambda x: F.array_contains("__names", x["species"])).alias("__hits"),
+        F.array_except("__names", F.transform("__hits", lambda x: x["species"])).alias("__unseen"),
     )
     blank = F.transform("__unseen", lambda s: F.struct(s.alias("species"), F.create_map().cast("map<int,int>").alias("k")))
     rows = sites.select(site, "__t", F.inline(F.concat("__hits", blank)))
@@ -132,6 +136,12 @@ def site_histories(
     return rows.select(site, "species", h.alias("h"))
 
 
+def visits_outside(checklists: DataFrame, years: range) -> DataFrame:
+    """Lists by year (or without one) that histories over ``years`` leave out."""
+    outside = F.col("year").isNull() | ~F.col("year").between(years.start, years.stop - 1)
+    return checklists.where(outside).groupBy("year").agg(F.count("*").alias("n_lists"))
+
+
 def grouped_histories(histories: DataFrame) -> DataFrame:
     """Equal histories of a species merged into one weighted row (exact)."""
     return histories.groupBy("species", "h").agg(F.count("*").alias("w"))
@@ -335,28 +345,48 @@ def fit_dynamic(
     histories: DataFrame,
     n: int,
     start: DataFrame | None = None,
-    iterations: int = 50,
+    iterations: int = 500,
     tolerance: float = 1e-8,
     by_year: bool = False,
 ) -> DataFrame:
     """Maximum likelihood (the posterior mode under uniform priors) by EM.
 
     Histories are merged and settled once.  Each iteration is one job over
-    them; its result, one row per species, is settled in the shared folder, so
-    the plan does not grow and only one number (the total log-likelihood)
-    reaches the driver.  Stops when that number no longer moves.
+    those of the species that still move; its result, one row per species, is
+    settled in the shared folder, so the plan does not grow and only the number of
+    species left reaches the driver.  A species stops when its own
+    log-likelihood moves by no more than ``tolerance`` of itself.  Every row
+    says how many ``iterations`` it took and whether it ``converged``; a species
+    that still moves after ``iterations`` is returned as not converged.
+    ``loglik`` belongs to the returned parameters.
     """
     grouped = settle(spread(grouped_histories(histories), "species", "h"))
-    parameters = settle(start if start is not None else start_parameters(grouped, n))
-    before = None
-    for _ in range(iterations):
-        parameters = settle(em_maximise(em_sums(grouped, parameters.drop("loglik"), n), n, by_year))
-        if tolerance > 0:
-            total = parameters.agg(F.sum("loglik")).first()[0]
-            if before is not None and abs(total - before) <= tolerance * abs(before):
-                break
-            before = total
-    return parameters
+    names = ["species", "psi1", "phi", "gamma", "p"]
+    first = (start if start is not None else start_parameters(grouped, n)).select(*names)
+    none = F.lit(None).cast("double")
+    state = settle(first.withColumns({"loglik": none, "iterations": F.lit(0), "converged": F.lit(False), "done": F.lit(False)}))
+    for k in range(iterations + 1):
+        moving = settle(state.where("not done"))
+        if moving.isEmpty():
+            break
+        new = em_maximise(em_sums(grouped, moving.select(*names), n), n, by_year)
+        stepped = new.select("species", F.struct(*names[1:], "loglik").alias("new"))
+        ended = F.coalesce(F.abs(F.col("new.loglik") - F.col("loglik")) <= F.lit(tolerance) * F.abs("loglik"), F.lit(False))
+        stay = F.lit(True) if k == iterations else F.col("ended")
+        after = (
+            moving.join(stepped, "species")
+            .withColumn("ended", ended)
+            .select(
+                "species",
+                *[F.when(stay, F.col(c)).otherwise(F.col(f"new.{c}")).alias(c) for c in names[1:]],
+                F.col("new.loglik").alias("loglik"),
+                F.when(stay, F.col("iterations")).otherwise(F.col("iterations") + 1).alias("iterations"),
+                F.col("ended").alias("converged"),
+                stay.alias("done"),
+            )
+        )
+        state = settle(state.where("done").unionByName(after))
+    return state.drop("done")
 
 
 def season_counts(checklists: DataFrame, detections: DataFrame, species: DataFrame, site: str = "site", event: str = "event_id") -> DataFrame:
@@ -365,8 +395,8 @@ def season_counts(checklists: DataFrame, detections: DataFrame, species: DataFra
     Sites without a detection follow from the totals: sites with t replicates
     minus those where the species was seen.
     """
-    reps = visit_days(checklists, site).groupBy(site).agg(F.count("*").cast("int").alias("t"))
-    hits = (
+    reps = settle(visit_days(checklists, site).groupBy(site).agg(F.count("*").cast("int").alias("t")))
+    hits = settle(
         site_day_species(checklists, detections, site, event)
         .groupBy(site, "species")
         .agg(F.count("*").cast("int").alias("k"))
@@ -384,11 +414,15 @@ def season_counts(checklists: DataFrame, detections: DataFrame, species: DataFra
     return hits.unionByName(unseen)
 
 
-def fit_single_season(counts: DataFrame, iterations: int = 50, psi: float = 0.5, p: float = 0.5) -> DataFrame:
+def fit_single_season(
+    counts: DataFrame, iterations: int = 500, psi: float = 0.5, p: float = 0.5, tolerance: float = 1e-8
+) -> DataFrame:
     """Constant psi and p per species, and the expected number of occupied sites.
 
     The counts of a species are at most one per (k, t) pair of a season's
-    days, so they fit in one array and all iterations fold inside the row.
+    days, so they fit in one array and all iterations fold inside the row.  A
+    species stops when neither parameter moves by more than ``tolerance``;
+    ``converged`` says whether it did within ``iterations``.
     """
     packed = counts.groupBy("species").agg(
         F.array_sort(
@@ -414,18 +448,25 @@ def fit_single_season(counts: DataFrame, iterations: int = 50, psi: float = 0.5,
                 ),
             )[0],
         )
-        return F.transform(
+        moved = lambda v: F.greatest(F.abs(v["psi"] - acc["psi"]), F.abs(v["p"] - acc["p"]))
+        new = F.transform(
             F.array(sums),
             lambda x: F.struct(clamp(x["s"] / x["n"]).alias("psi"), clamp(x["sk"] / x["st"]).alias("p")),
-        )[0]
+        )
+        step = F.transform(new, lambda v: F.struct(v["psi"].alias("psi"), v["p"].alias("p"), (moved(v) <= tolerance).alias("ended")))[0]
+        return F.when(acc["ended"], acc).otherwise(step)
 
-    start = F.struct(F.lit(psi).alias("psi"), F.lit(p).alias("p"))
+    start = F.struct(F.lit(psi).cast("double").alias("psi"), F.lit(p).cast("double").alias("p"), F.lit(False).alias("ended"))
     fitted = packed.withColumn("f", F.aggregate(F.sequence(F.lit(1), F.lit(iterations)), start, iterate))
     total = F.aggregate(
         "c", F.lit(0.0), lambda a, c: a + c["w"] * occupied(c, F.col("f")["psi"], F.col("f")["p"])
     )
     return fitted.select(
-        "species", F.col("f")["psi"].alias("psi"), F.col("f")["p"].alias("p"), total.alias("n_occ")
+        "species",
+        F.col("f")["psi"].alias("psi"),
+        F.col("f")["p"].alias("p"),
+        total.alias("n_occ"),
+        F.col("f")["ended"].alias("converged"),
     )
 
 

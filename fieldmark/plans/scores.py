@@ -58,12 +58,18 @@ def detection_score(
 
 
 def weighted_detection_score(
-    visits: DataFrame, coefficients: DataFrame, covariates: Sequence[str], ids: Sequence[str] = ("event_id",)
+    visits: DataFrame,
+    coefficients: DataFrame,
+    covariates: Sequence[str],
+    ids: Sequence[str] = ("event_id",),
+    intercepts: DataFrame | None = None,
 ) -> DataFrame:
     """Detection probability with 0/1 covariate weights.
 
     ``coefficients`` is long: (species, covariate, weight, beta).  It is turned
     to one row per species, so that a visit's sum is one expression.
+    ``intercepts`` (species, alpha) adds each species' own level; without it, or for a
+    species that it lacks, the level is 0.
     """
     wide = coefficients.groupBy("species").agg(
         *[
@@ -71,9 +77,14 @@ def weighted_detection_score(
             for c in covariates
         ]
     )
+    alpha = F.coalesce(F.col("alpha").cast("double"), F.lit(0.0)).alias("__alpha")
+    if intercepts is None:
+        wide = wide.withColumn("__alpha", F.lit(0.0))
+    else:
+        wide = wide.join(intercepts.select("species", alpha), "species", "left").fillna(0.0, ["__alpha"])
     rows = per_species(visits.select(*ids, *[F.col(c).cast("double").alias(c) for c in covariates]), wide)
     return rows.select(
-        *ids, "species", inv_logit(linear(F.lit(0.0), {f"__b_{c}": F.col(c) for c in covariates})).alias("p")
+        *ids, "species", inv_logit(linear(F.col("__alpha"), {f"__b_{c}": F.col(c) for c in covariates})).alias("p")
     )
 
 
@@ -122,9 +133,12 @@ def transition_scores(
     )
 
 
-def trait_coefficients(species_traits: DataFrame, trait_table: DataFrame, key: str = "trait") -> DataFrame:
-    """Species rows with the coefficients of their trait group."""
-    return species_traits.join(trait_table, key)
+def trait_coefficients(
+    species_traits: DataFrame, trait_table: DataFrame, key: str = "trait", own: DataFrame | None = None
+) -> DataFrame:
+    """Species rows with the slopes of their trait group and, from ``own``, what stays per species (intercepts)."""
+    rows = species_traits.join(trait_table, key)
+    return rows if own is None else rows.join(own, "species")
 
 
 def trait_means(coefficients: DataFrame, species_traits: DataFrame, columns: Sequence[str], key: str = "trait") -> DataFrame:

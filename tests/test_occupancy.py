@@ -92,6 +92,7 @@ def test_em_climbs_and_its_last_step_hardly_moves(spark):
         path.append(q.first().loglik)
     assert all(b >= a - 1e-9 for a, b in zip(path, path[1:]))
     fit = O.fit_dynamic(df, 4, iterations=60, tolerance=1e-7).first()
+    assert fit.converged and fit.iterations < 60
     assert fit.loglik >= path[-1]
     assert (fit.phi[0], fit.gamma[0], fit.p[0]) == (pytest.approx(0.85, abs=0.1), pytest.approx(0.2, abs=0.1), pytest.approx(0.5, abs=0.06))
 
@@ -105,7 +106,27 @@ def test_em_step_matches_enumeration(spark):
     hit = sum(s[i] * h[i][1] for (_, s), h in zip(smooth, CASES) for i in range(4))
     tried = sum(s[i] * h[i][0] for (_, s), h in zip(smooth, CASES) for i in range(4))
     assert got.p[0] == pytest.approx(hit / tried)
-    assert got.loglik == pytest.approx(sum(v for v, _ in smooth))
+    here = [enumerate_chain(h, got.psi1, got.phi[0], got.gamma[0], got.p[0])[0] for h in CASES]
+    assert got.loglik == pytest.approx(sum(here))
+    assert (got.iterations, got.converged) == (1, False)
+
+
+def test_each_species_stops_by_itself(spark):
+    """One species that is settled after a step beside one that moves for long; an empty table ends at once."""
+    slow = [(i, "slow", h) for i, _, h in simulated(60)]
+    quick = [(i, "quick", [(1, 1)] * 4) for i in range(40)]
+    df = spark.createDataFrame(slow + quick, HIST)
+    got = {r.species: r for r in O.fit_dynamic(df, 4, iterations=12, tolerance=1e-9).collect()}
+    assert got["quick"].converged and got["quick"].iterations < got["slow"].iterations == 12 and not got["slow"].converged
+    alone = O.fit_dynamic(spark.createDataFrame(slow, HIST), 4, iterations=12, tolerance=1e-9).first()
+    assert got["slow"].loglik == pytest.approx(alone.loglik) and got["slow"].p == pytest.approx(alone.p)
+    assert O.fit_dynamic(df.limit(0), 4).count() == 0
+
+
+def test_visits_outside_the_years_are_counted(spark):
+    lists = spark.createDataFrame([(1, 1999), (2, 2000), (3, None), (4, 2003)], "event_id int, year int")
+    got = {r.year: r.n_lists for r in O.visits_outside(lists, range(2000, 2003)).collect()}
+    assert got == {1999: 1, None: 1, 2003: 1}
 
 
 def test_yearly_parameters_fit_at_least_as_well(spark):
@@ -124,7 +145,9 @@ def test_single_season_against_a_grid(spark):
         k = sum(z and r.random() < 0.6 for _ in range(t))
         counts[k, t] = counts.get((k, t), 0) + 1
     df = spark.createDataFrame([("a", k, t, w) for (k, t), w in counts.items()], "species string, k int, t int, w long")
-    fit = O.fit_single_season(df, iterations=200).first()
+    assert not O.fit_single_season(df, iterations=2).first().converged
+    fit = O.fit_single_season(df, iterations=500, tolerance=1e-10).first()
+    assert fit.converged
 
     def loglik(psi, p):
         return sum(

@@ -61,9 +61,13 @@ def test_kernel_density_integrates_to_one_and_follows_the_draws(spark):
         assert g.density == pytest.approx(direct, abs=2e-3)
 
 
-def test_kernel_density_of_a_point_mass_has_no_rows(spark):
-    df = spark.createDataFrame([("flat", 1.0)] * 5, "parameter string, value double")
-    assert D.kernel_density(df, ["parameter"]).count() == 0
+def test_kernel_density_of_groups_without_spread(spark):
+    """A point mass has a bandwidth from its size, else from 1; a missing key is a group."""
+    rows = [("flat", 2.0)] * 5 + [("nought", 0.0)] * 5 + [(None, 1.0), (None, 3.0), ("one", 4.0)]
+    got = D.kernel_density(spark.createDataFrame(rows, "parameter string, value double"), ["parameter"], points=201)
+    areas = {r[0]: r for r in got.groupBy("parameter").agg(F.count("*"), F.sum("density") * (F.max("x") - F.min("x")) / 200, F.max("x") - F.min("x")).collect()}
+    assert set(areas) == {"flat", "nought", None, "one"} and all(r[1] == 201 and r[2] == pytest.approx(1.0, abs=0.01) for r in areas.values())
+    assert areas["flat"][3] == pytest.approx(6 * 0.9 * 2 * 5**-0.2) and areas["nought"][3] == pytest.approx(6 * 0.9 * 5**-0.2)
 
 
 def test_rhat_against_its_formula(spark):

@@ -84,9 +84,27 @@ def test_a_species_outside_the_study_list_is_left_out(frames):
     assert {r.species for r in occupancy.site_histories(lists, found, only, range(2000, 2003)).collect()} == {"b", "c"}
 
 
-def test_too_long_a_study_list_is_refused(frames):
-    with pytest.raises(ValueError, match="in parts"):
-        replicates.study_list(frames[2], max_species=2)
+def test_a_long_study_list_is_dealt_in_shares(frames):
+    dates = frames[0].select("obs_date").distinct()
+    got = replicates.species_shares(dates, frames[2], share_rows=1)
+    pairs = got.selectExpr("obs_date", "explode(__names) as species")
+    assert pairs.count() == pairs.distinct().count() == dates.count() * 3
+
+
+def test_a_surveyed_year_without_a_record_is_zero(spark):
+    lists = spark.createDataFrame([(1, 1, 2000), (2, 1, 2001), (3, 2, 2001)], "event_id int, site int, year int")
+    found = spark.createDataFrame([(1, "a"), (3, "b")], "event_id int, species string")
+    species = spark.createDataFrame([("a",), ("b",), ("c",)], "species string")
+    got = {(r.species, r.year): (r.occupied, r.surveyed, r.naive_psi) for r in replicates.naive_occupancy(lists, found, species).collect()}
+    assert got == {
+        ("a", 2000): (1, 1, 1.0), ("a", 2001): (0, 2, 0.0), ("b", 2000): (0, 1, 0.0), ("b", 2001): (1, 2, 0.5), ("c", 2000): (0, 1, 0.0), ("c", 2001): (0, 2, 0.0)
+    }
+
+
+def test_width_follows_from_the_data(frames):
+    lists, found, species, days, _ = frames
+    wide = replicates.replicate_matrix(lists, found, species)
+    assert wide.columns[-1] == f"r{max(len(d) for d in days.values())}"
 
 
 def test_season_counts_cover_every_site_once_per_species(frames):

@@ -13,8 +13,8 @@ from workbook.registry import query
 VISITS = """visits as (select distinct site, year, obs_date from season),
 numbered as (select *, row_number() over (partition by site, year order by obs_date) as replicate from visits)"""
 
-# Columns of the matrix; a site-year with more replicates stops the query instead of losing some.
-WIDTH = 31
+# Columns of the matrix: one for each day of the season, May to July.
+WIDTH = 31 + 30 + 31
 
 
 @query(S.sql(S.CHECKLISTS, S.SEASON, VISITS, "select site, year, obs_date, replicate from numbered"))
@@ -140,9 +140,9 @@ def drop_unseen(spark: SparkSession, sf: str) -> DataFrame:
     )
 )
 def presence_totals(spark: SparkSession, sf: str) -> DataFrame:
-    rows = detected(spark, sf)
+    peaks = replicates.presence_peaks(detected(spark, sf))
     by = [
-        replicates.species_totals(rows, k).select(
+        replicates.peak_totals(peaks, k).select(
             F.lit(k).alias("margin"), F.col(k).cast("string").alias("name"), "n_detected"
         )
         for k in ("species", "site")

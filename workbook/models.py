@@ -87,7 +87,7 @@ _SEVEN = {
 
 @query(
     S.sql(
-        S.CHECKLISTS, S.SEASON, S.DRAWS, S.SUMMARY, R.COVARIATE_NAMES, R.SPECIES_NAMES,
+        S.CHECKLISTS, S.SEASON, S.DRAWS, S.SUMMARY, R.COVARIATE_NAMES, R.SPECIES_NAMES, S.COEFFICIENTS,
         f"""weights as (select covariate_no, species_no, case when mean > 0.5 then 1.0 else 0.0 end as weight
           from {R._indexed('summary', 'wp', 'covariate_no', 'species_no')}),
         betas as (select species, covariate, weight * mean as b
@@ -98,11 +98,12 @@ _SEVEN = {
             f"select event_id, '{c}' as covariate, {e.replace('.0', '.0::double')} as x from season" for c, e in _SEVEN.items()
         )
         + ")",
-        f"select event_id, species, round({INV.format('sum(b * x)')}, 6) as p from long join betas using (covariate) group by 1, 2",
+        f"""select event_id, species, round({INV.format('any_value(c.a) + sum(betas.b * x)')}, 6) as p
+        from long join betas using (covariate) join coefs c using (species) group by 1, 2""",
     )
 )
 def weighted_detection_score(spark: SparkSession, sf: str) -> DataFrame:
-    """Seven covariates, switched on by their posterior indicators."""
+    """A level per species and seven covariates, switched on by their posterior indicators."""
     means = S.draws(spark, sf).groupBy("parameter").agg(F.avg("value").alias("mean"))
     weights = P.indexed(means, "wp", "covariate_no", "species_no").select(
         "covariate_no", "species_no", F.coalesce(C.important("mean"), F.lit(0)).cast("double").alias("weight")
@@ -115,7 +116,8 @@ def weighted_detection_score(spark: SparkSession, sf: str) -> DataFrame:
         .select("species", "covariate", "weight", F.col("mean").alias("beta"))
     )
     visits = S.season(spark, sf).select("event_id", *[F.expr(e.replace(".0", ".0D")).alias(c) for c, e in _SEVEN.items()])
-    return rounded(scores.weighted_detection_score(visits, betas, V.DETECTION_COVARIATES), "p")
+    levels = S.coefficients(spark, sf).select("species", F.col("a").alias("alpha"))
+    return rounded(scores.weighted_detection_score(visits, betas, V.DETECTION_COVARIATES, intercepts=levels), "p")
 
 
 # -- persistence and colonisation ---------------------------------------------
@@ -177,28 +179,51 @@ def interaction_score(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(out, "phi", "gamma")
 
 
+TRAITS = """groups as (select mig_status, avg(a) as a, avg(b) as b from coefs join species_info using (species) group by 1),
+by_trait as (select species, g.a, g.b, c.a as own from species_info join groups g using (mig_status) join coefs c using (species))"""
+
+
+def _trait_sql(prefix: str, values: tuple[str, ...]) -> str:
+    """As for species, with the intercept from the species' own number."""
+    return _transition_sql(prefix, values).replace("-(a + ", "-(own + ")
+
+
+def _trait_scores(spark: SparkSession, sf: str, constant_gamma: bool) -> DataFrame:
+    info, species = S.species_info(spark, sf), _transition_coefficients(S.coefficients(spark, sf), MAIN)
+    own = species.select("species", "phi_0", "gamma_0")
+    groups = scores.trait_means(S.coefficients(spark, sf), info, ["a", "b"], "mig_status")
+    slopes = _transition_coefficients(groups, MAIN, "mig_status").drop("phi_0", "gamma_0")
+    table = scores.trait_coefficients(info, slopes, "mig_status", own)
+    out = scores.transition_scores(
+        S.panel(spark, sf), table, ["forest", "agri", "urban"], ["ppt", "temp"], constant_gamma=constant_gamma
+    )
+    return rounded(out, "phi", "gamma")
+
+
 @query(
     S.sql(
         S.CLIMATE, S.COEFFICIENTS, S.SPECIES_INFO, LAGGED,
-        """groups as (select mig_status, avg(a) as a, avg(b) as b from coefs join species_info using (species) group by 1),
-        by_trait as (select species, g.a, g.b from species_info join groups g using (mig_status))""",
-        f"""select site, year, species, round({_transition_sql('phi', ('forest', 'agri', 'urban', 'ppt_prev', 'temp_prev'))}, 6) as phi,
-          round({INV.format('a - 0.5')}, 6) as gamma from lagged, by_trait""",
+        TRAITS,
+        f"""select site, year, species, round({_trait_sql('phi', ('forest', 'agri', 'urban', 'ppt_prev', 'temp_prev'))}, 6) as phi,
+          round({INV.format('own - 0.5')}, 6) as gamma from lagged, by_trait""",
     )
 )
 def trait_score(spark: SparkSession, sf: str) -> DataFrame:
-    """Slopes shared by a trait group; constant colonisation."""
-    info = S.species_info(spark, sf)
-    groups = scores.trait_means(S.coefficients(spark, sf), info, ["a", "b"], "mig_status")
-    table = scores.trait_coefficients(info, groups, "mig_status")
-    out = scores.transition_scores(
-        S.panel(spark, sf),
-        _transition_coefficients(table, MAIN),
-        ["forest", "agri", "urban"],
-        ["ppt", "temp"],
-        constant_gamma=True,
+    """Slopes of persistence by trait group, its intercept and constant colonisation by species."""
+    return _trait_scores(spark, sf, constant_gamma=True)
+
+
+@query(
+    S.sql(
+        S.CLIMATE, S.COEFFICIENTS, S.SPECIES_INFO, LAGGED,
+        TRAITS,
+        f"""select site, year, species, round({_trait_sql('phi', ('forest', 'agri', 'urban', 'ppt_prev', 'temp_prev'))}, 6) as phi,
+          round({_trait_sql('gamma', MAIN)}, 6) as gamma from lagged, by_trait""",
     )
-    return rounded(out, "phi", "gamma")
+)
+def trait_score_both(spark: SparkSession, sf: str) -> DataFrame:
+    """Slopes of both rates by trait group, intercepts by species."""
+    return _trait_scores(spark, sf, constant_gamma=False)
 
 
 # -- trajectories -------------------------------------------------------------
@@ -236,13 +261,15 @@ def psi_trajectory(spark: SparkSession, sf: str) -> DataFrame:
 
 
 NAIVE = """naive as (
-  select species, year, occupied / surveyed::double as psi from (
-    select species, year, count(distinct site) as occupied from season join detections using (event_id) group by 1, 2)
-  join (select year, count(distinct site) as surveyed from season group by 1) using (year))"""
+  select s.species, y.year, coalesce(occupied, 0) / surveyed::double as psi
+  from (select distinct p_brand as species from part) s
+    join (select year, count(distinct site) as surveyed from season group by 1) y on true
+    left join (select species, year, count(distinct site) as occupied from season join detections using (event_id) group by 1, 2) d
+      on d.species = s.species and d.year = y.year)"""
 
 
 def _naive(spark: SparkSession, sf: str) -> DataFrame:
-    return replicates.naive_occupancy(S.season(spark, sf), S.records(spark, sf)).select(
+    return replicates.naive_occupancy(S.season(spark, sf), S.records(spark, sf), S.species(spark, sf)).select(
         "species", "year", F.col("naive_psi").alias("psi")
     )
 
@@ -250,8 +277,8 @@ def _naive(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     S.sql(
         S.CHECKLISTS, S.SEASON, S.DETECTIONS, S.COEFFICIENTS, PARAMETERS, NAIVE,
-        """select a.species, a.year, round(a.psi, 6) as psi, round(a.psi / b.psi, 6) as growth,
-          round((1 - b.psi) * gamma / a.psi, 6) as turnover
+        """select a.species, a.year, round(a.psi, 6) as psi, round(a.psi / nullif(b.psi, 0), 6) as growth,
+          round((1 - b.psi) * gamma / nullif(a.psi, 0), 6) as turnover
         from naive a join parameters using (species) left join naive b on b.species = a.species and b.year = a.year - 1""",
     )
 )
@@ -264,9 +291,11 @@ def growth_turnover(spark: SparkSession, sf: str) -> DataFrame:
     S.sql(
         S.CHECKLISTS, S.SEASON, S.DETECTIONS,
         "n as (select count(distinct site) as n_sites from season)",
-        """select species, year, count(distinct site) as n_occ,
-          round(count(distinct site) * 100.0::double / (select n_sites from n), 6) as percent
-        from season join detections using (event_id) group by 1, 2""",
+        """select s.species, y.year, coalesce(n_occ, 0) as n_occ,
+          round(coalesce(n_occ, 0) * 100.0::double / (select n_sites from n), 6) as percent
+        from (select distinct p_brand as species from part) s join (select distinct year from season) y on true
+          left join (select species, year, count(distinct site) as n_occ from season join detections using (event_id) group by 1, 2) d
+            on d.species = s.species and d.year = y.year""",
     )
 )
 def occupied_share(spark: SparkSession, sf: str) -> DataFrame:
@@ -274,7 +303,7 @@ def occupied_share(spark: SparkSession, sf: str) -> DataFrame:
     lists = S.season(spark, sf)
     n_sites = lists.select("site").distinct().agg(F.count("*")).scalar()
     states = replicates.naive_state(lists, S.records(spark, sf), S.species(spark, sf))
-    return rounded(O.occupied_share(states.where("z0 = 1"), n_sites, "z0"), "percent")
+    return rounded(O.occupied_share(states, n_sites, "z0"), "percent")
 
 
 @query(
@@ -307,9 +336,10 @@ hist as (select e.*, s.species, {', '.join(f'coalesce(k{i}, 0) as k{i}' for i in
     left join hits h on h.site = e.site and h.species = s.species)"""
 
 
-def _chain(name: str, source: str) -> str:
+def _chain(name: str, source: str, by_year: bool = False) -> str:
     """The two-state chain written out year by year, each year a table of its own; the last is ``name``."""
     tables, current = [], source
+    y = (lambda i: str(i)) if by_year else (lambda i: "")
 
     def add(label: str, steps: list[str]) -> None:
         nonlocal current
@@ -325,10 +355,10 @@ def _chain(name: str, source: str) -> str:
             f"{name}_f{i}",
             start
             + [
-                f"exp(k{i} * ln(p) + (t{i} - k{i}) * ln(1 - p)) as hit{i}",
+                f"exp(k{i} * ln(p{y(i)}) + (t{i} - k{i}) * ln(1 - p{y(i)})) as hit{i}",
                 f"pr{i} * hit{i} + case when k{i} > 0 then 0 else 1 - pr{i} end as like{i}",
                 f"pr{i} * hit{i} / like{i} as f{i}",
-                f"f{i} * phi + (1 - f{i}) * gamma as pr{i + 1}",
+                *([] if i == N - 1 else [f"f{i} * phi{y(i)} + (1 - f{i}) * gamma{y(i)} as pr{i + 1}"]),
             ],
         )
     loglik = " + ".join(f"ln(like{i})" for i in range(N)) + " as loglik"
@@ -337,9 +367,9 @@ def _chain(name: str, source: str) -> str:
         add(
             name if i == 0 else f"{name}_b{i}",
             [
-                f"f{i} * phi * s{i + 1} / pr{i + 1} as x{i}",
-                f"(1 - f{i}) * gamma * s{i + 1} / pr{i + 1} as c{i}",
-                f"x{i} + f{i} * (1 - phi) * (1 - s{i + 1}) / (1 - pr{i + 1}) as s{i}",
+                f"f{i} * phi{y(i)} * s{i + 1} / pr{i + 1} as x{i}",
+                f"(1 - f{i}) * gamma{y(i)} * s{i + 1} / pr{i + 1} as c{i}",
+                f"x{i} + f{i} * (1 - phi{y(i)}) * (1 - s{i + 1}) / (1 - pr{i + 1}) as s{i}",
             ],
         )
     return ",\n".join(tables)
@@ -399,19 +429,66 @@ def _em_step(i: int) -> str:
         S.CHECKLISTS, S.SEASON, S.DETECTIONS, HISTORIES,
         """em0 as (select distinct p_brand as species, 0.5::double as psi1, 0.8::double as phi, 0.2::double as gamma,
           0.3::double as p from part)""",
-        *[_em_step(i) for i in range(1, ITERATIONS + 1)],
-        f"""select species, round(psi1, 6) as psi1, round(phi, 6) as phi, round(gamma, 6) as gamma, round(p, 6) as p,
-          round(total, 6) as loglik from em{ITERATIONS}""",
+        *[_em_step(i) for i in range(1, ITERATIONS + 2)],
+        f"""select e.species, round(e.psi1, 6) as psi1, round(e.phi, 6) as phi, round(e.gamma, 6) as gamma, round(e.p, 6) as p,
+          round(f.total, 6) as loglik, {ITERATIONS} as iterations, abs(f.total - e.total) <= 0 as converged
+        from em{ITERATIONS} e join em{ITERATIONS + 1} f using (species)""",
     )
 )
 def fit_dynamic(spark: SparkSession, sf: str) -> DataFrame:
-    """A stated number of EM iterations, so that the oracle can repeat them."""
+    """A stated number of EM iterations, so that the oracle can repeat them; the rows say that they did not end."""
     fit = O.fit_dynamic(histories(spark, sf), N, iterations=ITERATIONS, tolerance=0)
-    first = fit.select("species", "psi1", *[F.col(c)[0].alias(c) for c in ("phi", "gamma", "p")], "loglik")
+    first = fit.select("species", "psi1", *[F.col(c)[0].alias(c) for c in ("phi", "gamma", "p")], "loglik", "iterations", "converged")
     return rounded(first, "psi1", "phi", "gamma", "p", "loglik")
 
 
-SINGLE_ITERATIONS = 25
+YEARLY_ITERATIONS = 2
+
+
+def _em_year_step(i: int) -> str:
+    """One iteration with parameters of every year; a rate without a denominator is a half."""
+    source = f"(select * from ey{i - 1} join hist using (species))"
+    rate = lambda a, b: _CLAMP.format(f"coalesce(sum({a}) / nullif(sum({b}), 0), 0.5)")
+    steps = [f"{rate(f'x{t}', f's{t}')} as phi{t}, {rate(f'c{t}', f'1 - s{t}')} as gamma{t}" for t in range(N - 1)]
+    seen = [f"{rate(f's{t} * k{t}', f's{t} * t{t}')} as p{t}" for t in range(N)]
+    return f"""{_chain(f"cy{i}", source, by_year=True)},
+  ey{i} as materialized (select species, {_CLAMP.format('sum(s0) / count(*)')} as psi1, {', '.join(steps + seen)}, sum(loglik) as total
+  from cy{i} group by species)"""
+
+
+_START_BY_YEAR = ", ".join(
+    [f"0.8::double as phi{t}, 0.2::double as gamma{t}" for t in range(N - 1)] + [f"0.3::double as p{t}" for t in range(N)]
+)
+
+
+@query(
+    S.sql(
+        S.CHECKLISTS, S.SEASON, S.DETECTIONS, HISTORIES,
+        f"ey0 as (select distinct p_brand as species, 0.5::double as psi1, {_START_BY_YEAR} from part)",
+        *[_em_year_step(i) for i in range(1, YEARLY_ITERATIONS + 2)],
+        " union all ".join(
+            f"""select e.species, {year} as year, round(e.psi1, 6) as psi1,
+              {f'round(e.phi{t}, 6)' if t < N - 1 else 'null::double'} as phi,
+              {f'round(e.gamma{t}, 6)' if t < N - 1 else 'null::double'} as gamma,
+              round(e.p{t}, 6) as p, round(f.total, 6) as loglik, false as converged
+            from ey{YEARLY_ITERATIONS} e join ey{YEARLY_ITERATIONS + 1} f using (species)"""
+            for t, year in enumerate(S.YEARS)
+        ),
+    )
+)
+def fit_dynamic_by_year(spark: SparkSession, sf: str) -> DataFrame:
+    """Persistence, colonisation and detection of every year; the last year has no step after it."""
+    fit = O.fit_dynamic(histories(spark, sf), N, iterations=YEARLY_ITERATIONS, tolerance=0, by_year=True)
+    rows = fit.select("species", "psi1", "phi", "gamma", F.posexplode("p").alias("i", "prob"), "loglik", "converged")
+    step = lambda c: F.when(F.col("i") < N - 1, F.get(c, F.col("i")))
+    out = rows.select(
+        "species", (F.col("i") + S.YEARS.start).alias("year"), "psi1", step("phi").alias("phi"), step("gamma").alias("gamma"),
+        F.col("prob").alias("p"), "loglik", "converged",
+    )
+    return rounded(out, "psi1", "phi", "gamma", "p", "loglik")
+
+
+SINGLE_ITERATIONS, SINGLE_TOLERANCE = 100, 1e-5
 
 
 @query(
@@ -424,19 +501,22 @@ SINGLE_ITERATIONS = 25
           from effort e join (select distinct p_brand as species from part) s on true
             left join hits h on h.site = e.site and h.year = e.year and h.species = s.species group by 1, 2, 3)""",
         f"""em as (
-          select 0 as it, species, 0.5::double as psi, 0.5::double as p from (select distinct p_brand as species from part)
+          select 0 as it, species, 0.5::double as psi, 0.5::double as p, false as ended from (select distinct p_brand as species from part)
           union all
-          select it + 1, species, {_CLAMP.format('sum(w * e) / sum(w)')}, {_CLAMP.format('sum(w * e * k) / sum(w * e * t)')}
-          from (select *, case when k > 0 then 1.0::double else psi * exp(t * ln(1 - p)) / (psi * exp(t * ln(1 - p)) + 1 - psi) end as e
-            from em join counts using (species) where it < {SINGLE_ITERATIONS})
-          group by it, species)""",
+          select it + 1, species, psi1, p1, greatest(abs(psi1 - psi), abs(p1 - p)) <= {SINGLE_TOLERANCE} from (
+            select it, species, psi, p, {_CLAMP.format('sum(w * e) / sum(w)')} as psi1, {_CLAMP.format('sum(w * e * k) / sum(w * e * t)')} as p1
+            from (select *, case when k > 0 then 1.0::double else psi * exp(t * ln(1 - p)) / (psi * exp(t * ln(1 - p)) + 1 - psi) end as e
+              from em join counts using (species) where it < {SINGLE_ITERATIONS} and not ended)
+            group by it, species, psi, p))""",
         f"""select species, round(psi, 6) as psi, round(p, 6) as p,
-          round(sum(w * case when k > 0 then 1.0::double else psi * exp(t * ln(1 - p)) / (psi * exp(t * ln(1 - p)) + 1 - psi) end), 6) as n_occ
-        from em join counts using (species) where it = {SINGLE_ITERATIONS} group by 1, 2, 3""",
+          round(sum(w * case when k > 0 then 1.0::double else psi * exp(t * ln(1 - p)) / (psi * exp(t * ln(1 - p)) + 1 - psi) end), 6) as n_occ,
+          ended as converged
+        from (select * from em qualify row_number() over (partition by species order by it desc) = 1) join counts using (species)
+        group by 1, 2, 3, 5""",
     )[5:]
 )
 def fit_single_season(spark: SparkSession, sf: str) -> DataFrame:
     """Each site-year as one closed season of its own."""
     lists = S.season(spark, sf).withColumn("site", F.col("site") * 10000 + F.col("year"))
     counts = O.season_counts(lists, S.records(spark, sf), S.species(spark, sf))
-    return rounded(O.fit_single_season(counts, SINGLE_ITERATIONS), "psi", "p", "n_occ")
+    return rounded(O.fit_single_season(counts, SINGLE_ITERATIONS, tolerance=SINGLE_TOLERANCE), "psi", "p", "n_occ")

@@ -94,7 +94,7 @@ def histogram_fifty_bins(spark: SparkSession, sf: str) -> DataFrame:
         """picked as (select parameter, value from draws where parameter like 'betap[%'),
         spread as (select parameter, count(*) as n, stddev_samp(value) as sd, min(value) as lo, max(value) as hi,
           (quantile_cont(value, 0.75) - quantile_cont(value, 0.25)) / 1.34 as iqr from picked group by 1),
-        scale as (select *, 0.9 * least(sd, iqr) * pow(n, -0.2) as bw from spread),
+        scale as (select *, 0.9 * coalesce(nullif(least(sd, case when iqr > 0 then iqr else sd end), 0), nullif(abs(lo), 0), 1) * pow(n, -0.2) as bw from spread),
         grid as (select *, lo - 3 * bw as x0, (hi - lo + 6 * bw) / 511 as step from scale),
         cells as (select parameter, n, bw, x0, step, floor((value - x0) / step + 0.5) as k, count(*) as c
           from picked join grid using (parameter) group by 1, 2, 3, 4, 5, 6)""",

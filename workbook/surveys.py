@@ -28,16 +28,18 @@ good_sites as (
     S.sql(
         S.CHECKLISTS, S.SEASON, S.DETECTIONS, WELL_SURVEYED,
         "kept as (select * from season where site in (select site from good_sites))",
-        """select species, year, occupied, surveyed, round(occupied / surveyed::double, 6) as naive_psi from (
-          select species, year, count(distinct site) as occupied
-          from kept join detections using (event_id) group by 1, 2)
-        join (select year, count(distinct site) as surveyed from kept group by 1) using (year)""",
+        """select s.species, y.year, coalesce(occupied, 0) as occupied, surveyed,
+          round(coalesce(occupied, 0) / surveyed::double, 6) as naive_psi
+        from (select distinct p_brand as species from part) s
+          join (select year, count(distinct site) as surveyed from kept group by 1) y on true
+          left join (select species, year, count(distinct site) as occupied
+            from kept join detections using (event_id) group by 1, 2) d on d.species = s.species and d.year = y.year""",
     )
 )
 def naive_occupancy(spark: SparkSession, sf: str) -> DataFrame:
     lists = S.season(spark, sf)
     kept = relational.keep_matching(lists, pruning.well_surveyed_sites(lists), "site")
-    return rounded(replicates.naive_occupancy(kept, S.records(spark, sf)), "naive_psi")
+    return rounded(replicates.naive_occupancy(kept, S.records(spark, sf), S.species(spark, sf)), "naive_psi")
 
 
 @query(
