@@ -11,17 +11,12 @@ COVARIATE_MISSING_NUMBER = -9999.0
 SEASON_MONTHS = (5, 6, 7)
 PROTOCOLS = ("P21", "P22", "P23")
 PRIMARY_FLAG = 1.0
-FIRST_YEAR = 2004
 MIN_REPLICATES = 3
 MIN_YEARS = 3
 MIN_RECORDS = 500
 FORTNIGHT_DAYS = (14, 13, 13, 13, 13, 13, 13)
 RHAT_LIMIT = 1.1
 IMPORTANT_MEAN = 0.5
-COVER_BLOCK = 50
-COVER_CLASSES = (0, 1, 2, 3, 4)
-REGION_NUMBERS = (28, 29)
-RANGE_SEASONS = (1, 2)
 
 # --- fixed values: column names of the two checklist releases ----------------
 INFO_COLUMNS_19 = (
@@ -31,7 +26,13 @@ INFO_COLUMNS_19 = (
     ("EFFORT_DISTANCE_KM", "double"), ("EFFORT_AREA_HA", "double"), ("OBSERVER_ID", "string"),
     ("NUMBER_OBSERVERS", "double"), ("GROUP_ID", "string"), ("PRIMARY_CHECKLIST_FLAG", "double"),
 )
-INFO_COLUMNS_17 = tuple(c for c in INFO_COLUMNS_19 if c[0] not in ("LOC_ID", "COUNTY"))
+INFO_COLUMNS_17 = (
+    ("SAMPLING_EVENT_ID", "string"), ("LATITUDE", "double"), ("LONGITUDE", "double"),
+    ("YEAR", "int"), ("MONTH", "int"), ("DAY", "int"), ("TIME", "double"), ("COUNTRY", "string"),
+    ("STATE_PROVINCE", "string"), ("COUNT_TYPE", "string"), ("EFFORT_HRS", "double"),
+    ("EFFORT_DISTANCE_KM", "double"), ("EFFORT_AREA_HA", "double"), ("OBSERVER_ID", "string"),
+    ("NUMBER_OBSERVERS", "int"), ("GROUP_ID", "string"), ("PRIMARY_CHECKLIST_FLAG", "int"),
+)
 
 # --- fixed values: covariate files -------------------------------------------
 NLCD_YEARS = (2001, 2006, 2011)
@@ -42,6 +43,10 @@ CORE_COVARIATES = (
     "CAUS_PREC", "CAUS_SNOW",
 ) + tuple(f"NLCD{y}_FS_C{c}_7500_PLAND" for y in NLCD_YEARS for c in NLCD_CLASSES)
 CORE_TEXT_COVARIATES = ("BAILEY_ECOREGION",)
+UMD_CLASSES = (0, 1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 12, 13, 16)
+EXTENDED_COVARIATES = (
+    "ASTER2011_DEM", "UMD2011_LANDCOVER", "UMD2011_FS_L_1500_LPI", "UMD2011_FS_L_1500_PD", "UMD2011_FS_L_1500_ED",
+) + tuple(f"UMD2011_FS_C{c}_1500_{m}" for c in UMD_CLASSES for m in ("PLAND", "LPI", "PD", "ED"))
 
 # --- fixed values: parameter lookup ------------------------------------------
 PARAMETER_LOOKUP = (

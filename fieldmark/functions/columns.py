@@ -88,8 +88,8 @@ def dotted_part(c: Column | str, position: int) -> Column:
 
 
 def rounded_coordinate(c: Column | str, places: int = 2) -> Column:
-    """Half away from zero on exact decimals (binary doubles round unevenly)."""
-    return F.round(col(c).cast("decimal(12,6)"), places).cast(f"decimal(9,{places})")
+    """Half away from zero on exact decimals (binary doubles round unevenly), in one step."""
+    return F.round(col(c).cast("decimal(20,14)"), places).cast(f"decimal(9,{places})")
 
 
 def place_key(lat: Column | str, lon: Column | str) -> Column:

@@ -40,7 +40,7 @@ def grouped_row_number(
     each block is numbered on its own and shifted by the row counts of the
     earlier blocks of its group.  Values of ``order`` are unique in a group.
     """
-    blocked = df.withColumn("__block", F.floor(F.col(order) / block))
+    blocked = df.withColumn("__block", F.expr(f"`{order}` div {block}"))
     keys = [*groups, "__block"]
     sizes = blocked.groupBy(*keys).agg(F.count("*").alias("__n"))
     before = Window.partitionBy(*groups).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)

@@ -75,12 +75,12 @@ def sites_by_years(df: DataFrame, site: str = "site", year: str = "year", more_t
     )
 
 
-def groups_above(df: DataFrame, keys: Sequence[str], at_least: int, name: str = "n_rows") -> DataFrame:
-    """Groups with at least so many rows."""
+def groups_above(df: DataFrame, keys: Sequence[str], at_least: int | Column, name: str = "n_rows") -> DataFrame:
+    """Groups with at least so many rows (a number, or a scalar such as a share of a table)."""
     return df.groupBy(*keys).agg(F.count("*").alias(name)).where(F.col(name) >= at_least)
 
 
-def species_with_records(detections: DataFrame, min_records: int = V.MIN_RECORDS) -> DataFrame:
+def species_with_records(detections: DataFrame, min_records: int | Column = V.MIN_RECORDS) -> DataFrame:
     return groups_above(detections, ["species"], min_records, "n_records")
 
 
@@ -88,11 +88,6 @@ def max_replicates(checklists: DataFrame, site: str = "site") -> DataFrame:
     return site_year_replicates(checklists, site).agg(F.max("reps").alias("max_rep"))
 
 
-def detected_keys(detected: DataFrame, key: str, value: str = "detected") -> DataFrame:
-    """Keys with any detection: rows of ``max(value) > 0`` by key."""
-    return detected.groupBy(key).agg(F.max(value).alias("__any")).where("__any > 0").select(key)
-
-
 def drop_unseen(detected: DataFrame, site: str = "site", value: str = "detected") -> DataFrame:
     """Drop species never detected anywhere and sites where no study species was.
 
@@ -118,7 +113,3 @@ def dimension_sizes(df: DataFrame, **dims: str) -> DataFrame:
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
-
-
-def distinct_places(checklists: DataFrame) -> DataFrame:
-    return checklists.select("latitude", "longitude").distinct()

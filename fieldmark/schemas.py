@@ -31,6 +31,9 @@ CORE_COVARIATES = T.StructType(
         for c in V.CORE_COVARIATES
     ]
 )
+EXTENDED_COVARIATES = T.StructType(
+    [T.StructField("SAMPLING_EVENT_ID", T.StringType())] + [T.StructField(c, T.DoubleType()) for c in V.EXTENDED_COVARIATES]
+)
 DETECTIONS = T.StructType(
     [T.StructField("sampling_event_id", T.StringType()), T.StructField("species", T.StringType())]
 )

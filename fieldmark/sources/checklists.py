@@ -65,11 +65,18 @@ def checklist_info(wide: DataFrame, schema: T.StructType = schemas.CHECKLIST_INF
 
 
 def covariates(text: DataFrame, schema: T.StructType = schemas.CORE_COVARIATES) -> DataFrame:
-    """Covariate columns: tokens and the numeric sentinel to NULL, then typed."""
+    """Covariate columns: tokens and the numeric sentinel to NULL, then typed.
+
+    The columns are those of ``schema``; others are refused, as their sentinels
+    would stay.  Release schemas are in :mod:`fieldmark.schemas`.
+    """
+    unknown = sorted(set(text.columns) - set(schema.names))
+    if unknown:
+        raise ValueError(f"columns that the covariate schema lacks: {', '.join(unknown)}")
     out = []
     for f in text.columns:
-        known = next((s for s in schema.fields if s.name == f), None)
-        if known is None or isinstance(known.dataType, T.StringType):
+        known = schema[f]
+        if isinstance(known.dataType, T.StringType):
             out.append(tokens_to_null(f, V.COVARIATE_MISSING_TEXT).alias(f))
         else:
             out.append(sentinel_number(f).cast(known.dataType.simpleString()).alias(f))

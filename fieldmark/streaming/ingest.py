@@ -10,7 +10,8 @@ from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
 
 from fieldmark import schemas
-from fieldmark.sources.checklists import detections, folder_year
+from fieldmark.operators.relational import null_safe_join
+from fieldmark.sources.checklists import checklist_info, covariates, detections, folder_year
 from fieldmark.sources.tables import append_table
 
 KEYS = ["year", "sampling_event_id", "species"]
@@ -26,19 +27,27 @@ def checklist_stream(spark: SparkSession, root: str, schema: T.StructType, file:
     )
 
 
-def append_new(batch: DataFrame, table: str) -> None:
-    """Append the detections whose key the table does not hold yet.
+def append_new(batch: DataFrame, table: str, keys: Sequence[str] = KEYS) -> None:
+    """Append the rows whose key the table does not hold yet.
 
     The table is partitioned by year, and only the partitions of the batch's
     years are read for the check; the first batch has nothing to check.  A
     batch that is run again after a failure finds its own rows and adds none.
+    A missing year (a folder not named by one) is a partition of its own, and
+    missing keys match each other.  The batch is read and melted once.
     """
-    fresh = batch.dropDuplicates(KEYS)
-    known = _existing(batch.sparkSession, table)
-    if known is not None:
-        years = [r[0] for r in batch.select("year").distinct().collect()]  # one per folder
-        fresh = fresh.join(known.where(F.col("year").isin(*years)).select(*KEYS), KEYS, "left_anti")
-    append_table(fresh.select(*KEYS), table, ["year"])
+    fresh = batch.dropDuplicates(list(keys)).persist()
+    try:
+        known = _existing(batch.sparkSession, table)
+        added = fresh
+        if known is not None:
+            years = [r[0] for r in fresh.select("year").distinct().collect()]  # one per folder
+            held = F.col("year").isin(*[y for y in years if y is not None])
+            held = F.coalesce(held, F.lit(False)) | (F.col("year").isNull() if None in years else F.lit(False))
+            added = null_safe_join(fresh, known.where(held).select(*keys), list(keys), "left_anti")
+        append_table(added.select(*batch.columns), table, ["year"])
+    finally:
+        fresh.unpersist()
 
 
 def _existing(spark: SparkSession, table: str) -> DataFrame | None:
@@ -74,3 +83,34 @@ def ingest_available(
         .start()
     )
     run.awaitTermination()
+
+
+def ingest_info_available(
+    spark: SparkSession,
+    root: str,
+    table: str,
+    checkpoint: str,
+    covariate_file: DataFrame,
+    info: T.StructType = schemas.CHECKLIST_INFO,
+    columns: T.StructType | None = None,
+    covariate_schema: T.StructType = schemas.CORE_COVARIATES,
+    file: str = "checklists.csv",
+) -> None:
+    """Append the info of new checklists with their covariates, beside the detections.
+
+    ``covariate_file`` is the text table of covariates, joined on the event; a
+    checklist without covariates stays, with missing values.  Reruns and
+    repeated events add nothing.
+    """
+    stream = checklist_stream(spark, root, columns or info, file)
+    typed = checklist_info(stream, info).withColumn("year", F.col("folder_year")).drop("folder_year")
+    clean = covariates(covariate_file, covariate_schema).dropDuplicates(["SAMPLING_EVENT_ID"])
+    run = (
+        typed.writeStream.foreachBatch(
+            lambda batch, _: append_new(batch.join(clean, "SAMPLING_EVENT_ID", "left"), table, ["year", "SAMPLING_EVENT_ID"])
+        )
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
+    run.awaitTermination()

@@ -132,13 +132,12 @@ def trace_without_deviance(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     S.sql(
         S.DRAWS,
-        """select chain + 1 as chain, parameter, count(*) as n, round(sum(value), 6) as total from draws
-        where parameter not like 'wp%' group by 1, 2""",
+        """select chain + 1 as chain, parameter, count(*) as n, round(sum(value), 6) as total from draws group by 1, 2""",
     )
 )
 def chains_union(spark: SparkSession, sf: str) -> DataFrame:
     """Chains concatenated from separate tables, by name."""
-    rows = S.draws(spark, sf).where(~F.col("parameter").rlike("^wp"))
+    rows = S.draws(spark, sf)
     parts = [rows.where(F.col("chain") == k).drop("chain") for k in range(3)]
     return rounded(
         posterior.union_chains(parts).groupBy("chain", "parameter").agg(

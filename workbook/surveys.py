@@ -16,8 +16,6 @@ from fieldmark.streaming.ingest import ingest_available
 from workbook import standins as S
 from workbook.registry import query, rounded
 
-MIN_RECORDS = 500
-
 WELL_SURVEYED = """reps as (
   select site, year, count(distinct obs_date) as reps from season group by 1, 2),
 good_sites as (
@@ -106,7 +104,7 @@ def species_min_records(spark: SparkSession, sf: str) -> DataFrame:
     lists = S.season(spark, sf)
     records = S.detections(spark, sf, lists)
     floor = lists.agg((F.count("*") * F.lit(0.15)).alias("n")).scalar()
-    return records.groupBy("species").agg(F.count("*").alias("n_records")).where(F.col("n_records") >= floor)
+    return pruning.species_with_records(records, floor)
 
 
 @query(
