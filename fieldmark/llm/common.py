@@ -11,7 +11,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fieldmark.session import scratch_path
@@ -78,6 +78,33 @@ def text_key(text: Column) -> Column:
     return F.struct(F.xxhash64(text).alias("a"), F.xxhash64(F.lit("key"), text, F.length(text)).alias("b"))
 
 
+#: The part of a hash that orders samples.
+LOW_BITS = (1 << 53) - 1
+
+
+def _within(hash_column: str, rows: int, count: Column | int) -> Column:
+    """About four times ``rows`` of ``count`` rows, all if there are no more."""
+    share = F.least(F.lit(1.0), F.lit(4.0 * rows) / F.greatest(F.lit(count) if isinstance(count, int) else count, F.lit(1)))
+    return F.col(hash_column).bitwiseAND(F.lit(LOW_BITS)) <= share * F.lit(float(LOW_BITS))
+
+
+def sample_of(df: DataFrame, hash_column: str, rows: int) -> DataFrame:
+    """At most ``rows`` rows, the same at every run: those with the smallest low bits of a hash.
+
+    Rows that cannot be among them are left out first, so that a large table
+    does not send so many rows from each of its partitions.
+    """
+    return df.where(_within(hash_column, rows, df.count())).orderBy(F.col(hash_column).bitwiseAND(F.lit(LOW_BITS)), hash_column).limit(rows)
+
+
+def sample_of_each(df: DataFrame, key: str, hash_column: str, rows: int) -> DataFrame:
+    """As sample_of, for every value of ``key``."""
+    sizes = df.groupBy(key).agg(F.count("*").alias("__n"))
+    order = Window.partitionBy(key).orderBy(F.col(hash_column).bitwiseAND(F.lit(LOW_BITS)), hash_column)
+    few = df.join(sizes, key).where(_within(hash_column, rows, F.col("__n"))).drop("__n")
+    return few.withColumn("__r", F.row_number().over(order)).where(F.col("__r") <= rows).drop("__r")
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Written as Parquet to the shared folder and read back: cuts the lineage, survives lost executors."""
     path = scratch_path(df.sparkSession, name)

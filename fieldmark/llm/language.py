@@ -3,15 +3,15 @@
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fieldmark.llm.common import held_out, query, table
+from fieldmark.llm.common import held_out, query, sample_of_each, table
 from fieldmark.llm.excerpts import spread_pieces
 
 #: Texts of each language that teach, and those of them that are landmarks.
@@ -25,7 +25,6 @@ RIDGE, SHARPNESS = 1e-2, 6.0
 BATCH = 256
 
 _LETTER = re.compile(r"[^\W\d_]")
-_TABLES: dict[int, list[np.ndarray]] = {}
 
 
 def codes(data: bytes) -> list[np.ndarray]:
@@ -50,22 +49,27 @@ class Model:
     landmarks: np.ndarray  # n-gram x landmark: 1 where the landmark has the n-gram
     weights: np.ndarray  # landmark kernels to languages
     bias: np.ndarray
+    _places: list[np.ndarray] | None = field(default=None, repr=False)
 
-    def presence(self, texts: list[str]) -> np.ndarray:
-        """Text x n-gram: 1 where the whole text has the n-gram."""
-        key = id(self)
-        if key not in _TABLES:
-            _TABLES.clear()
-            tables, base = [], 1
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"_places": None}  # each task makes its own
+
+    def places(self) -> list[np.ndarray]:
+        """For every possible n-gram its column, counted from 1; 0 where it has none."""
+        if self._places is None:
+            self._places, base = [], 1
             for n, grams in zip(LENGTHS, self.grams):
                 t = np.zeros(1 << (8 * n), np.uint16)
                 t[grams] = np.arange(base, base + len(grams))
                 base += len(grams)
-                tables.append(t)
-            _TABLES[key] = tables
+                self._places.append(t)
+        return self._places
+
+    def presence(self, texts: list[str]) -> np.ndarray:
+        """Text x n-gram: 1 where the whole text has the n-gram."""
         out = np.zeros((len(texts), len(self.landmarks) + 1), np.float32)
         for row, text in zip(out, texts):
-            for t, code in zip(_TABLES[key], codes(text.lower().encode())):
+            for t, code in zip(self.places(), codes(text.lower().encode())):
                 row[t[code]] = 1
         return out[:, 1:]
 
@@ -124,9 +128,8 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
             yield pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("hash"), pa.array(got, pa.string())], names=["lang", "hash", "text"])
 
     hashed = rows.select("text", "lang", F.xxhash64("id", F.lit("language"), "text").alias("hash"))
-    order = Window.partitionBy("lang").orderBy("hash")
-    # ids first, so that texts of the chosen rows alone move
-    chosen = hashed.select("lang", "hash").withColumn("r", F.row_number().over(order)).where(F.col("r") <= TEXTS).select("lang", "hash").distinct()
+    # hashes first, so that texts of the chosen rows alone move
+    chosen = sample_of_each(hashed.select("lang", "hash").distinct(), "lang", "hash", TEXTS)
     taught = hashed.join(chosen, ["lang", "hash"]).dropDuplicates(["lang", "hash"])
     got = taught.mapInArrow(cut, "lang string, hash long, text string").where("text is not null").toArrow()
     if not len(got):

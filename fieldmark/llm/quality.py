@@ -11,8 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fieldmark.llm.common import held_out, query, table
+from fieldmark.llm.common import held_out, query, sample_of, table
 from fieldmark.llm.excerpts import pieces, spread_pieces
+from fieldmark.session import settle
 
 #: Labelled texts of each class for the dictionaries, and in all for the calibration.
 DICTIONARY_TEXTS, CALIBRATION_TEXTS = 3_000, 8_000
@@ -98,8 +99,10 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     known = labels.where(F.col(label).isin(0, 1)).groupBy(F.col(key).cast("long").alias("id"))
     known = known.agg(F.min(label).alias("label"), F.max(label).alias("high")).where("label = high").where(~held_out(F.col("id"))).drop("high")
     known = known.withColumn("hash", F.xxhash64("id", F.lit("quality")))
-    dict_ids = [known.where(f"label = {c} and hash % 2 = 0").orderBy("hash").limit(DICTIONARY_TEXTS) for c in (0, 1)]
-    chosen = dict_ids[0].unionAll(dict_ids[1]).withColumn("use", F.lit(0)).unionAll(known.where("hash % 2 <> 0").orderBy("hash").limit(CALIBRATION_TEXTS).withColumn("use", F.lit(1)))
+    known = settle(known)
+    dict_ids = [sample_of(known.where(f"label = {c} and hash % 2 = 0"), "hash", DICTIONARY_TEXTS) for c in (0, 1)]
+    calibration = sample_of(known.where("hash % 2 <> 0"), "hash", CALIBRATION_TEXTS)
+    chosen = dict_ids[0].unionAll(dict_ids[1]).withColumn("use", F.lit(0)).unionAll(calibration.withColumn("use", F.lit(1)))
     rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
     taught = rows.join(F.broadcast(chosen), "id")  # a bounded number of ids
 

@@ -7,6 +7,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fieldmark.llm.common import sample_of
+
 
 def usable(vector: Column) -> Column:
     """Neither null nor empty nor zero, and every component finite."""
@@ -16,8 +18,8 @@ def usable(vector: Column) -> Column:
 
 def sample(vectors: DataFrame, column: str, rows: int) -> np.ndarray:
     """At most ``rows`` vectors as doubles, those with the smallest hashes (the same ones at every run)."""
-    few = vectors.select(column).orderBy(F.xxhash64(column)).limit(rows)
-    got = few.toArrow().column(column).combine_chunks()
+    few = sample_of(vectors.select(column, F.xxhash64(column).alias("hash")), "hash", rows)
+    got = few.select(column).toArrow().column(column).combine_chunks()
     return matrix(got)
 
 
