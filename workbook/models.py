@@ -336,7 +336,7 @@ hist as (select e.*, s.species, {', '.join(f'coalesce(k{i}, 0) as k{i}' for i in
     left join hits h on h.site = e.site and h.species = s.species)"""
 
 
-def _chain(name: str, source: str, by_year: bool = False) -> str:
+def _chain(name: str, source: str, by_year: bool = False, evidence: bool = False) -> str:
     """The two-state chain written out year by year, each year a table of its own; the last is ``name``."""
     tables, current = [], source
     y = (lambda i: str(i)) if by_year else (lambda i: "")
@@ -355,7 +355,7 @@ def _chain(name: str, source: str, by_year: bool = False) -> str:
             f"{name}_f{i}",
             start
             + [
-                f"exp(k{i} * ln(p{y(i)}) + (t{i} - k{i}) * ln(1 - p{y(i)})) as hit{i}",
+                f"exp(lh{i}) as hit{i}" if evidence else f"exp(k{i} * ln(p{y(i)}) + (t{i} - k{i}) * ln(1 - p{y(i)})) as hit{i}",
                 f"pr{i} * hit{i} + case when k{i} > 0 then 0 else 1 - pr{i} end as like{i}",
                 f"pr{i} * hit{i} / like{i} as f{i}",
                 *([] if i == N - 1 else [f"f{i} * phi{y(i)} + (1 - f{i}) * gamma{y(i)} as pr{i + 1}"]),
@@ -395,6 +395,74 @@ def history_loglik(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(O.history_loglik(histories(spark, sf), params, N), "loglik", "filtered")
 
 
+def _by_year(value: str, name: str, first: int, n: int, missing: str | None = None) -> str:
+    cases = [f"max(case when year = {S.YEARS.start + first + i} then {value} end)" for i in range(n)]
+    return ", ".join((f"coalesce({c}, {missing})" if missing else c) + f" as {name}{i}" for i, c in enumerate(cases))
+
+
+@query(
+    S.sql(
+        S.CHECKLISTS, S.SEASON, S.DETECTIONS, S.COEFFICIENTS, PARAMETERS, VISIT_SCORES, S.CLIMATE, LAGGED,
+        """seen_or_not as (select c.*, case when d.species is null then 0 else 1 end as y from scored c
+          left join (select distinct event_id, species from detections) d on d.event_id = c.event_id and d.species = c.species)""",
+        """yearly as (select site, species, year, max(y) as k, sum(case when y = 1 then ln(p) else ln(1 - p) end) as lh
+          from seen_or_not group by 1, 2, 3)""",
+        f"packed as (select site, species, {_by_year('k', 'k', 0, N, '0')}, {_by_year('lh', 'lh', 0, N, '0')} from yearly group by 1, 2)",
+        f"""moves as (select site, year, species, {_transition_sql('phi', ('forest', 'agri', 'urban', 'ppt_prev', 'temp_prev'))} as phi,
+          {_transition_sql('gamma', MAIN)} as gamma from lagged, coefs)""",
+        f"""steps as (select site, species, {_by_year('phi', 'phi', 1, N - 1)}, {_by_year('gamma', 'gamma', 1, N - 1)} from moves
+          where year between {S.YEARS.start + 1} and {S.YEARS.stop - 1} group by 1, 2 having count(phi) = {N - 1} and count(gamma) = {N - 1})""",
+        _chain(
+            "covs",
+            "(select * from packed join steps using (site, species) join (select species, psi1 from parameters) using (species))",
+            by_year=True,
+            evidence=True,
+        ),
+        f"select site, species, round(loglik, 6) as loglik, round(s{N - 1}, 6) as filtered from covs",
+    )
+)
+def covariate_loglik(spark: SparkSession, sf: str) -> DataFrame:
+    """Likelihood with a detection probability of every visit and rates of every site and year.
+
+    Sites without covariates in some year are left out, as in a table of complete cases.
+    """
+    lists = S.season(spark, sf).select("event_id")
+    found = S.detections(spark, sf, lists).select("event_id", "species").distinct().withColumn("y", F.lit(1))
+    scored = _detection(spark, sf).join(found, ["event_id", "species"], "left").fillna(0, ["y"])
+    packed = O.pack_emissions(O.visit_emissions(scored), S.YEARS)
+    moves = scores.transition_scores(
+        S.panel(spark, sf), _transition_coefficients(S.coefficients(spark, sf), MAIN), ["forest", "agri", "urban"], ["ppt", "temp"]
+    ).where(F.col("year").between(S.YEARS.start + 1, S.YEARS.stop - 1) & F.col("phi").isNotNull() & F.col("gamma").isNotNull())
+    steps = (
+        moves.groupBy("site", "species")
+        .agg(F.array_sort(F.collect_list(F.struct("year", "phi", "gamma"))).alias("s"))  # one entry per year
+        .where(F.size("s") == N - 1)
+        .select("site", "species", F.col("s.phi").alias("phi"), F.col("s.gamma").alias("gamma"))
+    )
+    rows = packed.join(steps, ["site", "species"]).join(parameters(spark, sf).select("species", "psi1"), "species")
+    return rounded(O.loglik_of(rows, N), "loglik", "filtered")
+
+
+@query(
+    "with recursive "
+    + S.sql(
+        S.COEFFICIENTS, PARAMETERS,
+        f"""path as (
+          select species, draw, gamma, phi, {S.YEARS.start} as year, psi1 * (1 - draw / 10.0::double) as psi, cast(null as double) as before
+          from parameters, range(5) d(draw)
+          union all
+          select species, draw, gamma, phi, year + 1, psi * phi + (1 - psi) * gamma, psi from path where year < {S.YEARS.stop - 1})""",
+        """select species, draw::int as draw, year, round(psi, 6) as psi, round(psi / before, 6) as growth,
+          round((1 - before) * gamma / psi, 6) as turnover from path""",
+    )[5:]
+)
+def psi_trajectory_draws(spark: SparkSession, sf: str) -> DataFrame:
+    """The recursion for every draw of the parameters."""
+    rows = parameters(spark, sf).drop("p").withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(4))))
+    rows = rows.withColumn("psi1", F.col("psi1") * (1 - F.col("draw") / 10.0))
+    return rounded(O.psi_trajectory(rows, S.YEARS), "psi", "growth", "turnover")
+
+
 @query(
     S.sql(
         S.CHECKLISTS, S.SEASON, S.DETECTIONS, S.COEFFICIENTS, PARAMETERS, HISTORIES,
