@@ -17,10 +17,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Words a worker remembers before it starts anew; bounds its memory, never its results.
-MEMORY_WORDS = 800_000
+#: Words a worker remembers before it forgets all but those of the current batch; bounds its memory, never its results.
+MEMORY_WORDS = 400_000
 #: Characters of text that are encoded at once; bounds memory, a longer text goes alone.
-BATCH_CHARS = 4_000_000
+BATCH_CHARS = 2_000_000
 
 _SPACE = re.compile(r"\s")
 
@@ -123,8 +123,7 @@ class WordEncoder:
 
         unseen = [w for w in names if w not in self.words]
         if len(self.words) + len(unseen) > self.memory_words:
-            self.words.clear()
-            unseen = names
+            self.words = {w: self.words[w] for w in names if w in self.words}
         self._learn([w for w in unseen if w])
         self.words[""] = None
         flat, start, size = self._look_up(self.words, names)

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fieldmark.llm.common import held_out, query, sample_of_each, table
+from fieldmark.llm.encoding import slices
 from fieldmark.llm.excerpts import spread_pieces
 
 #: Texts of each language that teach, and those of them that are landmarks.
@@ -143,7 +144,7 @@ def predict(docs: DataFrame, model: Model | None, text: str = "text", lang: str
     schema = T.StructType([f for f in docs.schema if f.name not in (lang, score)] + [T.StructField(lang, T.StringType()), T.StructField(score, T.DoubleType())])
 
     def run(batches):
-        for batch in batches:
+        for batch in (cut for whole in batches for cut in slices(whole, text)):
             texts = batch.column(text).to_pylist()
             known = [i for i, t in enumerate(texts) if model and t and _LETTER.search(t)]
             names, scores = ["und"] * len(texts), np.zeros(len(texts))

@@ -13,7 +13,7 @@ from fieldmark.llm.common import query, table, vocabulary
 from fieldmark.llm.encoding import slices, worker_encoder
 
 #: Text bytes whose pieces are packed together; the loss against one packing of all is below one bin per share.
-SHARE_BYTES = 24_000_000
+SHARE_BYTES = 12_000_000
 
 
 def best_fit(lengths: np.ndarray, capacity: np.ndarray, weights: np.ndarray, rule: str = "norm") -> tuple[np.ndarray, np.ndarray]:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fieldmark.llm.common import held_out, query, sample_of, table
+from fieldmark.llm.encoding import slices
 from fieldmark.llm.excerpts import pieces, spread_pieces
 from fieldmark.session import settle
 
@@ -131,8 +132,9 @@ def measure(rows: DataFrame, bad: bytes, good: bytes, keep: list[str]) -> DataFr
 
     def run(batches):
         for batch in batches:
-            found = [sizes(t, bad, good) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *(pa.array(c, pa.int64()) for c in zip(*found))] if found else [*(batch.column(c) for c in keep), *[pa.array([], pa.int64())] * 3], names=schema.names)
+            for cut in slices(batch, "text"):
+                found = [sizes(t, bad, good) for t in cut.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([*(cut.column(c) for c in keep), *(pa.array(c, pa.int64()) for c in zip(*found))], names=schema.names)
 
     return rows.select(*keep, "text").mapInArrow(run, schema)
 
@@ -143,11 +145,10 @@ def score(docs: DataFrame, model: Model, text: str = "text", column: str = "scor
 
     def run(batches):
         for batch in batches:
-            if not len(batch):
-                continue
-            found = np.array([sizes(t, model.bad, model.good) if model.prior is None else (0, 0, 0) for t in batch.column(text).to_pylist()])
-            kept = [batch.column(f.name) for f in schema[:-1]]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(model.score(found))], names=schema.names)
+            for cut in slices(batch, text):
+                found = np.array([sizes(t, model.bad, model.good) if model.prior is None else (0, 0, 0) for t in cut.column(text).to_pylist()])
+                kept = [cut.column(f.name) for f in schema[:-1]]
+                yield pa.RecordBatch.from_arrays([*kept, pa.array(model.score(found))], names=schema.names)
 
     return docs.mapInArrow(run, schema)
 

@@ -24,7 +24,7 @@ from fieldmark.llm.encoding import slices
 #: Bytes of a repeat at least, and of the k-gram that stands for it.
 LEAST, GRAM = 200, 64
 #: Bytes that are hashed at once; a longer text goes in overlapping cuts.
-CUT_BYTES = 1_000_000
+CUT_BYTES = 250_000
 #: Surroundings of one k-gram that are sorted together; more are compared by the hashes of their strings.
 TOGETHER = 20_000
 

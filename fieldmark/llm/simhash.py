@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from fieldmark.llm.common import query, table, whole_groups
 from fieldmark.llm.components import Forest, components
+from fieldmark.llm.encoding import slices
 from fieldmark.session import settle
 
 #: Rows of a bucket that one task compares with one another; larger buckets are dealt in chunks.
@@ -70,9 +71,10 @@ def fingerprints(docs: DataFrame, words: int, bits: int, key: str = "doc_id", te
 
     def run(batches):
         for batch in batches:
-            found = [fingerprint(shingle_hashes(t, words), bits) for t in batch.column("__text").to_pylist()]
-            cols = [pa.array([f[k] for f in found], pa.int64()) for k in range(bits // 64)]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column(key), *cols], names=["id", key, *named])
+            for cut in slices(batch, "__text"):
+                found = [fingerprint(shingle_hashes(t, words), bits) for t in cut.column("__text").to_pylist()]
+                cols = [pa.array([f[k] for f in found], pa.int64()) for k in range(bits // 64)]
+                yield pa.RecordBatch.from_arrays([cut.column("id"), cut.column(key), *cols], names=["id", key, *named])
 
     return rows.mapInArrow(run, ", ".join(["id long", f"{key} long", *(f"{n} long" for n in named)]))
 
