@@ -12,6 +12,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from fieldmark.session import BROADCAST_ROWS, settle
+
 
 @dataclass(frozen=True)
 class Grid:
@@ -130,8 +132,23 @@ def _covered(edges: DataFrame, grid: Grid) -> DataFrame:
 
 
 def mask(pixels: DataFrame, edges: DataFrame, grid: Grid) -> DataFrame:
-    """Pixels whose cell centre is in the region: an equi semi-join on the cell."""
-    return pixels.join(_covered(edges, grid), ["prow", "pcol"], "left_semi")
+    """Pixels whose cell centre is in the region: a semi-join on the row, with the run of columns as a range.
+
+    The region is settled as one run per row and crossing pair, so its size is known; pixels
+    outside its bounding box are left out before the join.  Runs that are too
+    many to broadcast are expanded to cells and joined on these.
+    """
+    spans = settle(region_spans(edges, grid).select("prow", "first_col", "last_col"))
+    box = spans.agg(
+        F.struct(F.min("prow").alias("r0"), F.max("prow").alias("r1"), F.min("first_col").alias("c0"), F.max("last_col").alias("c1"))
+    ).scalar()
+    near = pixels.where(F.col("prow").between(box["r0"], box["r1"]) & F.col("pcol").between(box["c0"], box["c1"]))
+    if spans.count() <= BROADCAST_ROWS:
+        runs = F.broadcast(spans.withColumnRenamed("prow", "__row"))
+        inside = (F.col("prow") == F.col("__row")) & F.col("pcol").between(F.col("first_col"), F.col("last_col"))
+        return near.join(runs, inside, "left_semi")
+    cells = spans.select("prow", F.explode(F.sequence("first_col", "last_col")).alias("pcol"))
+    return near.join(cells, ["prow", "pcol"], "left_semi")
 
 
 def grid_shape(pixels: DataFrame) -> tuple[int, int]:
@@ -174,8 +191,6 @@ def bilinear_resample(pixels: DataFrame, source: Grid, target: Grid, by: Sequenc
     corners = placed.select(
         "trow", "tcol", F.inline(F.array(*[corner(r, c) for r in (0, 1) for c in (0, 1)]))
     ).where("w > 0")
-    # Corners that fell on the same border cell are merged before the join.
-    corners = corners.groupBy("trow", "tcol", "prow", "pcol").agg(F.sum("w").alias("w"))
     given = pixels.where(F.col(value).isNotNull()).select(*by, "prow", "pcol", F.col(value).alias("__v"))
     return (
         corners.join(given, ["prow", "pcol"])
