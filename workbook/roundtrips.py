@@ -8,11 +8,13 @@ from pyspark.sql import types as T
 
 from fieldmark import fixed_values as V
 from fieldmark import schemas
-from fieldmark.operators import posterior, relational
+from fieldmark.operators import posterior, relational, replicates
+from fieldmark.plans import bundles
 from fieldmark.session import scratch_path
 from fieldmark.sources import checklists as files
 from fieldmark.sources import polygons, tables
 from fieldmark.streaming.ingest import ingest_info_available
+from workbook import histories as H
 from workbook import standins as S
 from workbook.registry import query, rounded
 
@@ -218,3 +220,47 @@ def large_group_quantiles(spark: SparkSession, sf: str) -> DataFrame:
     means = rows.groupBy("parameter").agg(F.avg("value").alias("mean"))
     out = means.join(q, "parameter").select("parameter", "mean", *[F.col("quantiles")[i].alias(n) for i, n in enumerate(("q2_5", "q50", "q97_5"))])
     return rounded(out, "mean", "q2_5", "q50", "q97_5")
+
+
+BUNDLE_YEARS = range(1996, 2001)
+
+
+@query(
+    S.sql(
+        S.CHECKLISTS, S.SEASON, S.DETECTIONS, H.FORTNIGHTS, S.CLIMATE,
+        "effort as (select cell, year, rep, count(*) as n_list, sum(effort) as effort from periods group by 1, 2, 3)",
+        "enough as (select cell from effort group by 1 having count(distinct year) > 2)",
+        """found as (select distinct cell, year, rep, species from periods join detections using (event_id)
+          where cell in (select cell from enough))""",
+        f"""region as (select cell, forest, agri, urban from (
+          select site as cell, any_value(forest) as forest, any_value(agri) as agri, any_value(urban) as urban, count(distinct year) as n
+          from panel where agri < 0.5 and year between {BUNDLE_YEARS.start} and {BUNDLE_YEARS.stop - 1} group by 1) where n = {len(BUNDLE_YEARS)})""",
+        """static as (select cell, (forest - avg(forest) over ()) / stddev_samp(forest) over () as forest,
+          (agri - avg(agri) over ()) / stddev_samp(agri) over () as agri, (urban - avg(urban) over ()) / stddev_samp(urban) over () as urban from region)""",
+        """moving as (select site as cell, year, (temp - avg(temp) over y) / stddev_samp(temp) over y as temp, (ppt - avg(ppt) over y) / stddev_samp(ppt) over y as ppt
+          from panel where site in (select cell from region) window y as (partition by year))""",
+        f"""kept as (select * from effort where cell in (select cell from found) and cell in (select cell from region)
+          and year between {BUNDLE_YEARS.start} and {BUNDLE_YEARS.stop - 1})""",
+        "sites as (select cell, row_number() over (order by cell) as site from (select distinct cell from kept))",
+        f"""select s.site, k.cell, k.year - {BUNDLE_YEARS.start - 1} as year_index, rep, n_list, k.effort, (select count(distinct species) from found) as n_species,
+          (select string_agg(species, ' ' order by species) from found f where f.cell = k.cell and f.year = k.year and f.rep = k.rep) as seen,
+          round(forest, 6) as forest, round(agri, 6) as agri, round(urban, 6) as urban, round(temp, 6) as temp, round(ppt, 6) as ppt
+        from kept k join sites s using (cell) join static using (cell) join moving m on m.cell = k.cell and m.year = k.year""",
+    )
+)
+def model_bundle(spark: SparkSession, sf: str) -> DataFrame:
+    """The chain from cell-by-fortnight rows to the tables of a model run, written, loaded and bound by key."""
+    lists = H.periods(spark, sf)
+    effort = replicates.period_effort(lists, ["effort"])
+    found = replicates.period_detections(lists, S.records(spark, sf)).drop("detected")
+    panel = S.panel(spark, sf).withColumnRenamed("site", "cell").where("agri < 0.5")
+    cells = panel.groupBy("cell").agg(*[F.first(c).alias(c) for c in ("forest", "agri", "urban")])
+    path = scratch_path(spark, "model")
+    made = bundles.model_bundle(effort, found, cells, panel, BUNDLE_YEARS, ["forest", "agri", "urban"], ["temp", "ppt"])
+    tables.save_bundle(made, path)
+    b = tables.load_bundle(spark, path, list(made))
+    seen = b["detections"].groupBy("site", "year", "rep").agg(F.array_join(F.array_sort(F.collect_set("species")), " ").alias("seen"))
+    n_species = b["species"].agg(F.count("*")).scalar()
+    rows = b["visits"].join(seen, ["site", "year", "rep"], "left").join(b["sites"], ["site", "cell"]).join(b["site_years"], ["site", "cell", "year"])
+    out = rows.select("site", "cell", "year_index", "rep", "n_list", "effort", n_species.alias("n_species"), "seen", "forest", "agri", "urban", "temp", "ppt")
+    return rounded(out, "forest", "agri", "urban", "temp", "ppt")
