@@ -5,15 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldmark.llm.common import query, table
+from fieldmark.llm.common import query, stored, table
 
 #: A line goes if more than this share of its site's pages have it, and at least so many pages.
 RATIO, LEAST_PAGES = 0.02, 5
 
 #: What a page shows: scripts, styles and comments go, block tags end a line, other tags vanish.
-HIDDEN = ("(?is)<script[^>]*>.*?</script>", "(?is)<style[^>]*>.*?</style>", "(?s)<!--.*?-->")
+HIDDEN = "(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<!--.*?-->"
 BLOCK = r"(?i)</?(p|br|li|ul|ol|div|h[1-6]|footer|nav|article|section|header|title|head|body|html|main|aside|table|tr|td|th)\b[^>]*>"
-TAG, BLANK, EDGE = "<[^>]*>", "[ \t\r]*\n[ \t\r\n]*", "^\n|\n$"
+TAG = "<[^>]*>"
 HOST = "^[A-Za-z][A-Za-z0-9+.-]*://([^/:?#]+)"
 
 
@@ -22,10 +22,10 @@ def host_of(url: Column) -> Column:
 
 
 def visible_lines(html: Column) -> Column:
-    for pattern in HIDDEN:
-        html = F.regexp_replace(html, pattern, "")
-    html = F.regexp_replace(F.regexp_replace(html, BLOCK, "\n"), TAG, "")
-    return F.regexp_replace(F.regexp_replace(html, BLANK, "\n"), EDGE, "")
+    """The lines of a page that show something, without spaces around them, one below the other."""
+    parts = F.split(F.regexp_replace(html, HIDDEN, ""), BLOCK)
+    lines = F.transform(parts, lambda s: F.trim(F.regexp_replace(s, TAG, "")))
+    return F.array_join(F.filter(lines, lambda s: s != ""), "\n")
 
 
 def _without(lines: Column, drop: Column) -> Column:
@@ -74,11 +74,8 @@ def drop_boilerplate(df: DataFrame, host: str, text: str, ratio: float = RATIO,
 
 
 def _sql_text() -> str:
-    out = "html"
-    for pattern in HIDDEN:
-        out = f"regexp_replace({out}, '{pattern}', '', 'g')"
-    out = f"regexp_replace(regexp_replace({out}, '{BLOCK}', chr(10), 'g'), '{TAG}', '', 'g')"
-    return f"regexp_replace(regexp_replace({out}, '[ \\t\\r]*\\n[ \\t\\r\\n]*', chr(10), 'g'), '^\\n|\\n$', '', 'g')"
+    parts = f"regexp_split_to_array(regexp_replace(html, '{HIDDEN}', '', 'g'), '{BLOCK}')"
+    return f"array_to_string(list_filter(list_transform({parts}, lambda s: trim(regexp_replace(s, '{TAG}', '', 'g'))), lambda s: s <> ''), chr(10))"
 
 
 @query(
@@ -95,4 +92,5 @@ def _sql_text() -> str:
 )
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", F.coalesce(host_of(F.col("url")), F.lit("")).alias("host"), visible_lines(F.col("html")).alias("text"))
-    return drop_boilerplate(pages, "host", "text")
+    # the operator reads its pages several times: what they show is worked out once
+    return drop_boilerplate(stored(pages, "pages"), "host", "text")
