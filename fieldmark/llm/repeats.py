@@ -26,7 +26,7 @@ LEAST, GRAM = 200, 64
 #: Bytes that are hashed at once; a longer text goes in overlapping cuts.
 CUT_BYTES = 250_000
 #: Surroundings of one k-gram that are sorted together; more are compared by the hashes of their strings.
-TOGETHER = 20_000
+TOGETHER = 8_000
 
 _POWERS = [int(x) | 1 for x in np.random.default_rng(5).integers(1 << 62, 1 << 63, 8, dtype=np.int64)]
 _BYTES = np.random.default_rng(3).integers(0, 1 << 63, 256, dtype=np.int64).astype(np.uint64)
@@ -145,13 +145,9 @@ def _surroundings(docs: DataFrame, asked: DataFrame, least: int, gram: int) -> D
 
 def _rows(strings: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
     """Strings as rows of bytes that are filled up with zeros (a zero byte itself becomes 255, which UTF-8 does not use), and their lengths."""
-    out = np.zeros((len(strings), width), np.uint8)
     sizes = np.fromiter(map(len, strings), np.int64, len(strings))
-    flat = np.frombuffer(b"".join(strings), np.uint8)
-    flat = np.where(flat == 0, 255, flat).astype(np.uint8)
-    row = np.repeat(np.arange(len(strings)), sizes)
-    out[row, np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)] = flat
-    return out, sizes
+    filled = b"".join([s.replace(b"\0", b"\xff").ljust(width, b"\0") for s in strings])
+    return np.frombuffer(filled, np.uint8).reshape(len(strings), width), sizes
 
 
 def _sorted(rows: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -244,7 +240,7 @@ def _resolved(around: DataFrame, least: int, gram: int) -> DataFrame:
     """gram, around, low, high: strings that begin low to high bytes before the anchor occur elsewhere too."""
 
     def sort(batches):
-        for rows in whole_groups(batches, ["gram"], 30_000):
+        for rows in whole_groups(batches, ["gram"], 8_000):
             # a row that stands in the table several times gives its surroundings several times
             names = np.stack([rows.column(c).to_numpy() for c in ("gram", "around")], axis=1)
             _, first = np.unique(names, axis=0, return_index=True)
