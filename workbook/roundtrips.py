@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fieldmark import fixed_values as V
 from fieldmark import schemas
 from fieldmark.operators import posterior, relational, replicates
 from fieldmark.plans import bundles
@@ -44,16 +43,17 @@ def traits_round_trip(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    "select process, count(*) as n, string_agg(parameter, ' ' order by parameter) as parameters from (values "
-    + ", ".join(f"('{p}', '{q}')" for p, q, _ in V.PARAMETER_LOOKUP)
-    + ") v(parameter, process) join (select distinct 1 as one from part) on true group by 1"
+    S.sql(
+        S.SPECIES_INFO,
+        "select mig_status as process, count(*) as n, string_agg(species, ' ' order by species) as parameters from species_info group by 1",
+    )
 )
 def lookup_round_trip(spark: SparkSession, sf: str) -> DataFrame:
-    """The parameter lookup as CSV, read back beside a table."""
+    """A parameter lookup as CSV, a parameter for each species."""
     path = scratch_path(spark, "lookup")
-    spark.createDataFrame(list(V.PARAMETER_LOOKUP), schemas.PARAMETER_LOOKUP).write.option("header", True).csv(path)
-    one = S.table(spark, sf, "part").select(F.lit(1).alias("one")).distinct()
-    rows = files.read_parameter_lookup(spark, path).withColumn("one", F.lit(1)).join(one, "one")
+    given = S.species_info(spark, sf).select(F.col("species").alias("parameter"), F.col("mig_status").alias("process"), F.lower("species").alias("covariate"))
+    given.write.option("header", True).csv(path)
+    rows = files.read_parameter_lookup(spark, path)
     names = F.array_join(F.array_sort(F.collect_list("parameter")), " ")
     return rows.groupBy("process").agg(F.count("*").alias("n"), names.alias("parameters"))
 
