@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from fieldmark.llm.common import query, table, whole_groups
 from fieldmark.llm.components import Forest, components
 from fieldmark.llm.encoding import slices
-from fieldmark.session import settle
+from fieldmark.session import checked_broadcast, settle
 
 #: Rows of a bucket that one task compares with one another; larger buckets are dealt in chunks.
 CHUNK = 4_096
@@ -151,11 +151,13 @@ def links(prints: DataFrame, ring: Ring) -> DataFrame:
     """
     named = [f"f{k}" for k in range(ring.words)]
     keyed = ring.keyed(prints)
-    sizes = keyed.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-    chunks = F.ceil(F.col("n") / CHUNK).cast("int")
+    # only large buckets are looked up; they are few, else the join is not broadcast
+    large = checked_broadcast(keyed.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > CHUNK))
+    chunks = F.ceil(F.coalesce("n", F.lit(1)) / CHUNK).cast("int")
     own = F.pmod(F.xxhash64("node", F.lit("chunk")), F.col("chunks")).cast("int")
     tasks = (
-        keyed.join(sizes.withColumn("chunks", chunks), "bucket")
+        keyed.join(large, "bucket", "left")
+        .withColumn("chunks", chunks)
         .withColumn("own", own)
         .select("bucket", "ring", "node", *named, "own", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other"))
         .withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
