@@ -109,7 +109,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """Written as Parquet to the shared folder and read back: cuts the lineage, survives lost executors."""
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._stored_path = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a table that ``stored`` wrote, once everything that reads it is stored itself."""
+    path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._stored_path)
+    path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def release(spark: SparkSession) -> None:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldmark.llm.common import query, release, stored, table, whole_groups
+from fieldmark.llm.common import discard, query, release, stored, table, whole_groups
 from fieldmark.llm.encoding import slices
 
 #: Bytes of a repeat at least, and of the k-gram that stands for it.
@@ -288,11 +288,14 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", lea
     found = stored(_find_anchors(rows, least, gram), "anchors")
     grams = found.groupBy("gram").agg(F.count("*").alias("n"), F.min("around").alias("x"), F.max("around").alias("y")).where("n > 1")
     shared = stored(found.join(grams.select("gram", (F.col("x") == F.col("y")).alias("same")), "gram"), "shared")
+    discard(found)
     kinds = stored(shared.where("not same").groupBy("gram", "around").agg(F.count("*").alias("n"), F.min(F.struct("doc", "a", "b", "pos")).alias("one")), "kinds")
     open_ = kinds.groupBy("gram").agg(F.min("n").alias("fewest"), F.count("*").alias("kinds")).where("fewest = 1").select("gram", "kinds")
     asked = kinds.join(open_, "gram").select("one.doc", "one.a", "one.b", "one.pos", "gram", "around", "n", "kinds")
     release(spark)
-    ranges = stored(_resolved(stored(_surroundings(rows, asked, least, gram), "around"), least, gram), "ranges")
+    around = stored(_surroundings(rows, asked, least, gram), "around")
+    ranges = stored(_resolved(around, least, gram), "ranges")
+    discard(around)
     release(spark)
     left = F.least(F.col("pos"), F.lit(least - gram))
     full = shared.join(kinds.where("n > 1").select("gram", "around"), ["gram", "around"], "left_semi").unionByName(shared.where("same"))
