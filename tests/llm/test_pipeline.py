@@ -121,3 +121,28 @@ def test_exact_copies_of_a_third_of_all_rows(spark, small):
 
 def test_wide_fingerprints_follow_the_similarity():
     assert simhash.distance_for(1.0, 256, 1.5) == 0 and simhash.distance_for(0.8, 256, 0) == 38
+
+
+@pytest.mark.parametrize("chunk", [500_000, 400])
+def test_near_dedup_links_at_the_similarity_itself(spark, monkeypatch, chunk):
+    """Pairs on both sides of 0.8, and chains over pairs below it, against brute force; also with groups dealt in chunks."""
+    ship(spark)
+    monkeypatch.setattr(simhash, "CHUNK_SHINGLES", chunk)
+    texts = []
+    for k in range(90):
+        # n words of one text, and as many changed at the end as bring the pair just above or just below 0.8
+        n = 30 + 3 * k
+        base = words(10_000 + k, n).split()
+        for change in (0, round(n * (0.1, 0.14, 0.17)[k % 3])):
+            texts.append(" ".join(base[: n - change] + [f"new{k}"] * (change > 0) + words(20_000 + k, max(0, change - 1)).split()))
+    for k in range(4):
+        base = words(30_000 + k, 200).split()
+        texts += [" ".join(words(40_000 + 10 * k + j, 30 * j).split() + base[30 * j :]) for j in range(5)]
+    texts += ["a b c d e f g h", "a b c d e f g h i", "a b c d e f g h j", "q r s t", "q r s t"]
+    rows = [(i, t, "en", "s", len(t)) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    sets = [shingles(t) for t in texts]
+    like = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for b in range(len(sets)) for a in range(b)}
+    assert sum(0.6 <= j < 0.8 for j in like.values()) > 25 and sum(0.8 <= j < 0.9 for j in like.values()) > 25
+    want = set(roots(len(sets), [p for p, j in like.items() if j >= 0.8]))
+    assert {r.doc_id for r in BY_NAME["SimHash near-dedup"](spark, df, "").collect()} == want
