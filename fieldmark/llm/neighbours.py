@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import warnings
 from dataclasses import dataclass
 
 import numpy as np
@@ -18,10 +19,15 @@ from fieldmark.session import settle, spread
 NEIGHBOURS = 20
 #: Random partitions that give the first neighbours, and the rows of one leaf.
 PARTITIONS, LEAF_ROWS = 3, 128
-#: Rounds of neighbours of neighbours; fewer if less than SETTLED of the neighbours change.
-ROUNDS, SETTLED = 3, 0.01
-#: Candidates that a search keeps and expands, candidates that are measured exactly, and most rounds of a search.
-BEAM, EXACT, HOPS = 500, 100, 24
+#: Rounds of neighbours of neighbours go on until no more than SETTLED of the neighbours change.
+SETTLED = 0.01
+#: Candidates that a search keeps and expands, and candidates that are measured exactly.
+BEAM, EXACT = 500, 100
+
+
+def most_rounds(count: int) -> int:
+    """Rounds of a graph or a search over ``count`` nodes after which it is given up with a warning: 8 and 4 for each doubling."""
+    return 8 + 4 * math.ceil(math.log2(max(2, count)))
 
 
 @dataclass
@@ -135,9 +141,12 @@ def _meet(around: DataFrame, k: int) -> DataFrame:
     return sort.mapInArrow(run, "u long, v long, s float")
 
 
-def build(df: DataFrame, key: str, vector: str, neighbours: int = NEIGHBOURS, rounds: int = ROUNDS, seed: int = 11) -> Index:
+def build(df: DataFrame, key: str, vector: str, neighbours: int = NEIGHBOURS, rounds: int | None = None, seed: int = 11) -> Index:
     """Index every usable vector.
 
+    Rounds go on until the graph has settled; if ``rounds`` (most_rounds of the
+    nodes unless given) do not suffice, a RuntimeWarning says so.
+
     Equal vectors are one node, named by their smallest key.  Null, empty, zero
     and not finite vectors and rows without a key take no part.  All vectors have one length.
     """
@@ -155,7 +164,8 @@ def build(df: DataFrame, key: str, vector: str, neighbours: int = NEIGHBOURS, ro
     members = rows.join(nodes.select("vector", "node"), "vector").select("node", "key").distinct()
     size = nodes.agg(F.count("*"), F.max(F.size("vector"))).first()
     edges = settle(_best(_first(_leaves(nodes, size[0], size[1] or 1, seed), neighbours), neighbours).select("u", "v", "s"))
-    for _ in range(rounds):
+    new, total = size[0], 0
+    for _ in range(most_rounds(size[0]) if rounds is None else rounds):
         met = _meet(_around(edges, nodes, neighbours), neighbours)
         every = edges.withColumn("old", F.lit(1)).unionAll(met.withColumn("old", F.lit(0)))
         best = every.groupBy("u", "v").agg(F.max("s").alias("s"), F.max("old").alias("old"))
@@ -165,6 +175,8 @@ def build(df: DataFrame, key: str, vector: str, neighbours: int = NEIGHBOURS, ro
         edges = edges.select("u", "v", "s")
         if new <= SETTLED * total:
             break
+    if new > SETTLED * total:
+        warnings.warn(f"the neighbour graph of {size[0]} nodes has not settled: {new} of {total} neighbours are new in the last round", RuntimeWarning, stacklevel=2)
     beside = _around(edges, nodes, neighbours).where("w <> node")
     packed = F.sort_array(F.collect_list(F.struct("node", "code", "scale")))  # at most 2 * neighbours
     graph = settle(beside.groupBy(F.col("w").alias("node")).agg(packed.alias("near")).select("node", F.col("near.node").alias("ids"), F.col("near.code").alias("codes"), F.col("near.scale").alias("scales")))
@@ -197,7 +209,8 @@ def search(index: Index, queries: DataFrame, k: int, beam: int = BEAM, exact: in
     """The k nearest keys of every query (q, vector, start: a node of the graph where its search begins).
 
     Greedy search: every round expands all candidates among a query's ``beam``
-    nearest that were not expanded before, until none is left.  The ``exact``
+    nearest that were not expanded before, until none is left (a RuntimeWarning
+    says if most_rounds of the nodes do not suffice).  The ``exact``
     nearest are then measured on the original vectors in double precision; ties go
     to the smaller key.  A query's own key is no candidate.  Columns: q, rank, key, score.
     """
@@ -215,7 +228,8 @@ def search(index: Index, queries: DataFrame, k: int, beam: int = BEAM, exact: in
         codes = asked.select("q", "code", "scale")
         state = asked.select("q", F.col("start").alias("node"), F.lit(float("-inf")).cast("float").alias("s"), F.lit(0).alias("done"))
         best = Window.partitionBy("q").orderBy(F.desc("s"), "node")
-        for _ in range(HOPS):
+        hops = most_rounds(index.nodes.count())
+        for _ in range(hops):
             worst = state.groupBy("q").agg(F.when(F.count("*") >= beam, F.min("s")).otherwise(F.lit(float("-inf"))).cast("float").alias("worst"))
             frontier = state.where("done = 0").select("q", "node").join(codes.join(worst, "q"), "q")
             found = _expand(frontier, graph).withColumn("done", F.lit(0)).unionAll(state.withColumn("done", F.lit(1)))
@@ -223,6 +237,8 @@ def search(index: Index, queries: DataFrame, k: int, beam: int = BEAM, exact: in
             state = settle(merged.withColumn("r", F.row_number().over(best)).where(F.col("r") <= beam).drop("r"))
             if state.where("done = 0").isEmpty():
                 break
+        else:
+            warnings.warn(f"a search has candidates left after {hops} rounds", RuntimeWarning, stacklevel=2)
         near = state.withColumn("r", F.row_number().over(best)).where(F.col("r") <= exact).select("q", "node")
         near = near.unionAll(asked.select("q", F.col("start").alias("node"))).distinct()
         pairs = near.join(index.nodes.select("node", F.col("vector").alias("there")), "node").join(queries.select("q", "vector"), "q")

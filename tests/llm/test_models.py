@@ -54,6 +54,20 @@ def test_neighbours_of_copies_ties_and_odd_vectors(spark):
     assert neighbours.search(empty, asked, 10).count() == 0
 
 
+def test_neighbours_go_on_until_the_graph_has_settled(spark, monkeypatch):
+    """Leaves so small that three rounds leave the graph unfinished (recall 0.37)."""
+    ship(spark)
+    monkeypatch.setattr(neighbours, "LEAF_ROWS", 4)
+    monkeypatch.setattr(neighbours, "PARTITIONS", 1)
+    x = np.random.default_rng(3).normal(size=(1_500, 6))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    graph = {r.node: set(r.ids) for r in neighbours.build(df, "vec_id", "embedding", neighbours=10).graph.select("node", "ids").collect()}
+    hit = sum(len(graph[i] & set(nearest(np.arange(len(x)), x, i, 10)[0].tolist())) for i in range(len(x)))
+    assert hit >= 0.9 * 10 * len(x)
+    with pytest.warns(RuntimeWarning, match="not settled"):
+        neighbours.build(df, "vec_id", "embedding", neighbours=10, rounds=1)
+
+
 def test_language_of_held_out_documents(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "lang")
     both = QUERIES["op3_language"](spark, small).join(docs, "doc_id").toPandas()
