@@ -11,3 +11,6 @@ import fieldmark.llm.language  # noqa: F401
 import fieldmark.llm.quality  # noqa: F401
 import fieldmark.llm.line_dedup  # noqa: F401
 import fieldmark.llm.repeats  # noqa: F401
+import fieldmark.llm.alignment  # noqa: F401
+import fieldmark.llm.prefix_trie  # noqa: F401
+import fieldmark.llm.quality_rules  # noqa: F401
