@@ -9,7 +9,7 @@ of B's proto.  Several tokens may share one character (parts of a multibyte
 character, bytes of B's fallback); there the decoded bytes say where each ends.
 
 A text is cut into units before a space or newline between two visible characters: no
-token of either vocabulary crosses such a place, so a unit is looked at once and
+token of either vocabulary crosses such a place, so a unit is read once and
 remembered.  A vocabulary that does not promise this gets whole texts.
 """
 
@@ -31,11 +31,13 @@ from pyspark.sql import types as T
 from fieldmark.llm.common import discard, query, stored, table, vocabulary
 from fieldmark.llm.encoding import slices
 
-#: Units that a worker remembers before it forgets them; bounds its memory, never its results.
-MEMORY_UNITS = 400_000
+#: Units that a worker remembers beside as many older ones before it forgets; bounds its memory, never its results.
+MEMORY_UNITS = 250_000
 #: Bytes of text that are looked at together, and the size of a chunk whose pairs are counted together.
 CHUNK_BYTES = 4_000_000
 
+#: Units that are read as one text, and the visible word before them.
+_TOGETHER, _FIRST = 2_000, " a"
 _UNITS = re.compile(r"(?<=\S)(?=[ \n]\S)")
 _SPACE_PIECE = "▁"
 SPANS = ("a_ids", "a_ends", "b_ids", "b_ends")
@@ -48,19 +50,22 @@ def byte_characters() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
 
 
-def refined(coarse: list[int | None], parts: list[bytes]) -> list[int]:
-    """Byte ends of tokens: the library's cut where it has one (not None), the decoded bytes in between."""
-    at, ends = 0, []
-    for cut, part in zip(coarse, parts):
-        at = at + len(part) if cut is None else cut
-        ends.append(at)
-    return ends
+def byte_places(text: str, raw: bytes) -> np.ndarray:
+    """Where each character starts in the text's UTF-8 bytes, and where the last one ends."""
+    if len(raw) == len(text):
+        return np.arange(len(raw) + 1)
+    code = np.frombuffer(text.encode("utf-32-le"), "<u4")
+    sizes = 1 + (code >= 0x80).astype(np.int64) + (code >= 0x800) + (code >= 0x10000)
+    return np.concatenate(([0], np.cumsum(sizes)))
 
 
-class SpanEncoder:
-    """Ids and byte ends of the tokens of both vocabularies."""
+Flat = list[tuple[np.ndarray, np.ndarray]]
 
-    def __init__(self, vocabulary: bytes, model: bytes, memory_units: int = MEMORY_UNITS):
+
+class Tokens:
+    """Ids and byte ends of both vocabularies for units of text."""
+
+    def __init__(self, vocabulary: bytes, model: bytes):
         import sentencepiece
         from tokenizers import Tokenizer
 
@@ -70,102 +75,221 @@ class SpanEncoder:
         self.b = sentencepiece.SentencePieceProcessor(model_proto=model)
         of = byte_characters()
         names = self.a.get_vocab()
-        self.bytes_a = dict.fromkeys(names.values(), b"")
-        self.bytes_a.update((i, bytes(of[c] for c in name)) for name, i in names.items() if all(c in of for c in name))
+        self.bytes_a = [b""] * (max(names.values()) + 1)
+        for name, i in names.items():
+            if all(c in of for c in name):
+                self.bytes_a[i] = bytes(of[c] for c in name)
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.bytes_b = [bytes([int(p[3:-1], 16)]) if self.b.is_byte(i) else p.replace(_SPACE_PIECE, " ").encode() for i, p in enumerate(pieces)]
+        self.sizes_a, self.sizes_b = (np.fromiter(map(len, parts), np.int64, len(parts)) for parts in (self.bytes_a, self.bytes_b))
+        self.space = self.b.piece_to_id(_SPACE_PIECE)
         split = said.get("pre_tokenizer") or {}
         local = said.get("normalizer") is None and split.get("type") == "ByteLevel" and split.get("use_regex", True)
-        whole = not local or any("\n" in p or _SPACE_PIECE in p.lstrip(_SPACE_PIECE) for p in pieces)
-        self.units = (lambda s: [s]) if whole else _UNITS.split
-        self.memory_units = memory_units
-        self.memory: dict[str, tuple[bytes, ...] | None] = {}
-
-    def _spans_a(self, unit: str, raw: bytes, found) -> tuple[list[int], list[int]] | None:
-        ids, offsets = found.ids, found.offsets
-        parts = [self.bytes_a[i] for i in ids]
-        if b"".join(parts) != raw:
+        self.local = local and not any("\n" in p or _SPACE_PIECE in p.lstrip(_SPACE_PIECE) for p in pieces)
+
+    def units(self, text: str) -> list[str]:
+        return _UNITS.split(text) if self.local else [text]
+
+    def _cuts_a(self, unit: str, raw: bytes, found) -> tuple[np.ndarray, np.ndarray] | None:
+        if b"".join(map(self.bytes_a.__getitem__, found.ids)) != raw:
             return None
-        byte_at = range(len(raw) + 1) if len(raw) == len(unit) else np.cumsum([0, *(len(c.encode()) for c in unit)]).tolist()
-        starts = [s for s, _ in offsets[1:]] + [len(unit)]
+        ids = np.array(found.ids, np.int32)
+        span = np.fromiter(chain.from_iterable(found.offsets), np.int64, 2 * len(ids)).reshape(-1, 2)
         # a token ends inside a character if the next one starts before its end
-        coarse = [byte_at[end] if start >= end else None for (_, end), start in zip(offsets, starts)]
-        return ids, refined(coarse, parts)
+        clean = np.append(span[1:, 0], len(unit)) >= span[:, 1]
+        return ids, np.where(clean, byte_places(unit, raw)[span[:, 1]], np.cumsum(self.sizes_a[ids]))
 
-    def _spans_b(self, unit: str, raw: bytes, proto) -> tuple[list[int], list[int]] | None:
-        pieces, shift = proto.pieces, 1
+    def _cuts_b(self, unit: str, raw: bytes, proto) -> tuple[np.ndarray, np.ndarray] | None:
+        found, shift = np.array([(p.id, p.begin, p.end) for p in proto.pieces], np.int64).reshape(-1, 3), 1
         if unit[0] == "\n":  # the space that the model puts first is not there in the text
-            if not pieces or pieces[0].piece != _SPACE_PIECE:
+            if not len(found) or found[0, 0] != self.space:
                 return None
-            pieces, shift = pieces[1:], 0
-        ids = [p.id for p in pieces]
-        parts = [self.bytes_b[i] for i in ids]
-        if b"".join(parts) != raw:
+            found, shift = found[1:], 0
+        ids = found[:, 0]
+        if b"".join(map(self.bytes_b.__getitem__, ids.tolist())) != raw:
+            return None
+        # all but the last byte of a character have an empty span, as has the space put first
+        return ids.astype(np.int32), np.where(found[:, 2] > found[:, 1], found[:, 2] + shift, np.cumsum(self.sizes_b[ids]))
+
+    def _read(self, units: Sequence[str]) -> list[tuple | None]:
+        """(ids, ends) of A and of B for each unit, None where its bytes are not those of the tokens."""
+        of_a = self.a.encode_batch(list(units), add_special_tokens=False)
+        of_b = self.b.encode([u if u[0] == "\n" else u[1:] for u in units], return_type="proto", num_threads=1)
+        found = []
+        for unit, x, y in zip(units, of_a, of_b):
+            raw = unit.encode()
+            a, b = self._cuts_a(unit, raw, x), self._cuts_b(unit, raw, y)
+            found.append(None if a is None or b is None else (*a, *b))
+        return found
+
+    def _joined(self, units: Sequence[str], sizes: np.ndarray) -> Flat | None:
+        """The same for many units that are one text, cut where they end; None if that does not work out."""
+        found = self._read([_FIRST + "".join(units)])[0]
+        if found is None:
             return None
-        # all but the last byte of a character have an empty span
-        coarse = [p.end + shift if p.end > p.begin or p.piece == _SPACE_PIECE else None for p in pieces]
-        return ids, refined(coarse, parts)
+        stops = len(_FIRST) + np.cumsum(sizes)
+        out: Flat = []
+        for ids, ends in (found[:2], found[2:]):
+            places = np.searchsorted(ends, np.concatenate(([len(_FIRST)], stops)), side="right")
+            if (ends[places - 1] != np.concatenate(([len(_FIRST)], stops))).any():
+                return None
+            counts = np.diff(places)
+            starts = np.repeat(stops - sizes, counts)
+            held = slice(places[0], None)
+            out += [(ids[held], places - places[0]), ((ends[held] - starts).astype(np.int32), places - places[0])]
+        return out
+
+    def read(self, units: Sequence[str]) -> tuple[Flat, np.ndarray]:
+        """For each of SPANS the flat values and the places where units start and end; and which units have tokens at all.
+
+        Units that end in a visible character are read as one text, which they
+        would be parts of anyway; where that does not give whole units, one by one.
+        """
+        flats, good = [], np.ones(len(units), bool)
+        for i in range(0, len(units), _TOGETHER):
+            some = units[i : i + _TOGETHER]
+            sizes = np.fromiter((len(u.encode()) for u in some), np.int64, len(some))
+            flat = self._joined(some, sizes) if self.local and not any(u[-1].isspace() for u in some) else None
+            if flat is None:
+                found = self._read(some)
+                good[i : i + len(some)] = [f is not None for f in found]
+                flat = []
+                for k in range(4):
+                    values = [f[k] if f else [] for f in found]
+                    flat.append((np.fromiter(chain.from_iterable(values), np.int32), np.cumsum([0, *map(len, values)])))
+            flats.append(flat)
+        out = []
+        for k in range(4):
+            values = [f[k][0] for f in flats]
+            sizes = [np.diff(f[k][1]) for f in flats]
+            out.append((np.concatenate(values) if values else np.zeros(0, np.int32), np.concatenate(([0], np.cumsum(np.concatenate(sizes)))) if sizes else np.zeros(1, np.int64)))
+        return out, good
+
+
+class Remembered:
+    """Units of texts and what is known of each: read once, then looked up."""
+
+    def __init__(self, tokens: Tokens, memory_units: int = MEMORY_UNITS):
+        self.tokens, self.memory_units = tokens, memory_units
+        self.memory: dict[str, tuple | None] = {}
+        self.older: dict[str, tuple | None] = {}
 
     def learn(self, units: Sequence[str]) -> None:
-        for i in range(0, len(units), 1_000):
-            some = units[i : i + 1_000]
-            of_a = self.a.encode_batch(some, add_special_tokens=False)
-            of_b = self.b.encode([u if u[0] == "\n" else u[1:] for u in some], return_type="proto", num_threads=1)
-            for unit, x, y in zip(some, of_a, of_b):
-                raw = unit.encode()
-                a, b = self._spans_a(unit, raw, x), self._spans_b(unit, raw, y)
-                self.memory[unit] = None if a is None or b is None else tuple(np.array(v, "<i4").tobytes() for v in (*a, *b))
-
-    def spans(self, texts: Sequence[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
+        raise NotImplementedError
+
+    def _known(self, units: list[str]) -> list[tuple | None]:
+        """What is known of ``units``; those not used for long are forgotten."""
+        if len(self.memory) > self.memory_units:
+            self.older, self.memory = self.memory, {}
+        for u in units:
+            if u not in self.memory and u in self.older:
+                self.memory[u] = self.older[u]
+        # units that end in a space come last, so that they part no others
+        self.learn(sorted((u for u in units if u not in self.memory), key=lambda u: u[-1].isspace()))
+        return [self.memory[u] for u in units]
+
+    def look_up(self, texts: Sequence[str | None]) -> tuple[list[tuple | None], np.ndarray, np.ndarray]:
+        """What is known of the different units, and for each unit of a text which it is and whose.
+
+        Texts with a unit that either vocabulary cannot give back have none.
+        """
+        cut = [self.tokens.units(" " + t) if t else [] for t in texts]
+        units = pa.array(list(chain.from_iterable(cut)), pa.large_string()).dictionary_encode()
+        names, index = units.dictionary.to_pylist(), units.indices.to_numpy().astype(np.int64)
+        of_text = np.repeat(np.arange(len(cut)), [len(u) for u in cut])
+        known = self._known(names)
+        broken = np.fromiter((v is None for v in known), bool, len(known))
+        if broken.any():
+            bad = np.zeros(len(cut), bool)
+            bad[of_text[broken[index]]] = True
+            keep = ~bad[of_text]
+            index, of_text = index[keep], of_text[keep]
+        return known, index, of_text
+
+
+def _gather(parts: list[bytes], sizes: list[int], index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """32-bit values of the units ``index`` one after the other, and how many each has; ``parts`` hold ``sizes`` values for the units in order."""
+    flat, n = np.frombuffer(b"".join(parts), "<i4"), np.array(sizes, np.int64)
+    start, n = (np.cumsum(n) - n)[index], n[index]
+    stop = np.cumsum(n)
+    return flat[np.repeat(start - (stop - n), n) + np.arange(stop[-1] if len(stop) else 0)], n
+
+
+def _places(of_text: np.ndarray, n: np.ndarray, texts: int) -> np.ndarray:
+    return np.concatenate(([0], np.cumsum(np.bincount(of_text, n, texts).astype(np.int64))))
+
+
+class SpanEncoder(Remembered):
+    """Ids and byte ends of the tokens of whole texts."""
+
+    def learn(self, units: Sequence[str]) -> None:
+        flat, good = self.tokens.read(units)
+        raw = [(v.astype("<i4").tobytes(), (4 * p).tolist()) for v, p in flat]
+        for k, (unit, fine) in enumerate(zip(units, good.tolist())):
+            self.memory[unit] = tuple(v[p[k] : p[k + 1]] for v, p in raw) if fine else None
+
+    def spans(self, texts: Sequence[str | None]) -> Flat:
         """For each of SPANS the flat values and the n + 1 places where texts start and end."""
-        cut = [self.units(" " + t) if t else [] for t in texts]
-        names: dict[str, int] = {}
-        index = np.fromiter((names.setdefault(u, len(names)) for u in chain.from_iterable(cut)), np.int64)
-        bounds = np.concatenate(([0], np.cumsum([len(u) for u in cut]))).astype(np.int64)
-        unseen = [u for u in names if u not in self.memory]
-        if len(self.memory) + len(unseen) > self.memory_units:
-            self.memory = {u: self.memory[u] for u in names if u in self.memory}
-        self.learn(unseen)
-        found = [self.memory[u] for u in names]
+        known, index, of_text = self.look_up(texts)
         empty = (b"",) * 4
-        values = [v or empty for v in found]
-        broken = np.fromiter((v is None for v in found), bool, len(found))
-        sizes = np.fromiter((len(u.encode()) for u in names), np.int64, len(found))
-        # a text with a unit that either vocabulary cannot give back has no tokens
-        of_text = np.repeat(np.arange(len(cut)), np.diff(bounds))
-        bad = np.zeros(len(cut), bool)
-        bad[of_text[broken[index]]] = True
-        keep = ~bad[of_text]
-        index, of_text = index[keep], of_text[keep]
-        ends = np.cumsum(sizes[index])
-        first = np.searchsorted(of_text, np.arange(len(cut)))
-        before = np.concatenate(([0], ends))
-        base = before[:-1] - before[first][of_text] if len(index) else before[:0]
-        out = []
-        for k, name in enumerate(SPANS):
-            flat = np.frombuffer(b"".join(v[k] for v in values), "<i4")
-            n = np.fromiter((len(v[k]) // 4 for v in values), np.int64, len(values))
-            start, n = (np.cumsum(n) - n)[index], n[index]
-            stop = np.cumsum(n)
-            take = np.repeat(start - (stop - n), n) + np.arange(stop[-1] if len(stop) else 0)
-            found_here = flat[take]
-            if name.endswith("ends"):
-                found_here = found_here + np.repeat(base, n)
-            places = np.concatenate(([0], np.cumsum(np.bincount(of_text, n, len(cut)).astype(np.int64))))
-            out.append((found_here.astype(np.int32), places))
+        out: Flat = []
+        for k in range(4):
+            parts = [(v or empty)[k] for v in known]
+            flat, n = _gather(parts, [len(p) // 4 for p in parts], index)
+            if k in (1, 3):  # ends count from the start of the text
+                last = np.fromiter((int.from_bytes(v[k][-4:], "little") if v else 0 for v in known), np.int64, len(known))[index]
+                before = np.cumsum(last) - last
+                first = np.searchsorted(of_text, np.arange(len(texts)))
+                base = before - before[first[of_text]] if len(index) else before
+                flat = (flat + np.repeat(base, n)).astype(np.int32)
+            out.append((flat, _places(of_text, n, len(texts))))
         return out
 
 
-_ENCODERS: dict[tuple, SpanEncoder] = {}
+class LinkEncoder(Remembered):
+    """Counts, group texts and linked id pairs of whole texts.
 
+    A unit starts and ends with tokens of both vocabularies, so groups and links
+    of a text are those of its units.
+    """
 
-def worker_encoder(vocabulary: bytes, model: bytes) -> SpanEncoder:
+    def learn(self, units: Sequence[str]) -> None:
+        flat, good = self.tokens.read(units)
+        found = meet(flat)
+        pairs, at = found["pairs"].astype("<i8").tobytes(), (8 * found["places"]).tolist()
+        counts = np.stack([found[c] for c in _COUNTS], axis=1).astype("<i4").tobytes()
+        size = 4 * len(_COUNTS)
+        for k, (unit, fine, said) in enumerate(zip(units, good.tolist(), found["groups"])):
+            self.memory[unit] = (counts[k * size : (k + 1) * size], pairs[at[k] : at[k + 1]], said) if fine else None
+
+    def links(self, texts: Sequence[str | None]) -> dict[str, list | np.ndarray]:
+        """Counts, a hash of the group text, each linked pair once and how often, and the places where a text's pairs start and end."""
+        known, index, of_text = self.look_up(texts)
+        rows, nothing = len(texts), (bytes(4 * len(_COUNTS)), b"", "")
+        counts = np.frombuffer(b"".join([(v or nothing)[0] for v in known]), "<i4").reshape(-1, len(_COUNTS))[index]
+        out = {name: np.bincount(of_text, counts[:, k], rows).astype(np.int64) for k, name in enumerate(_COUNTS)}
+        said = [(v or nothing)[2] for v in known]
+        places, numbers = _places(of_text, np.ones(len(index)), rows).tolist(), index.tolist()
+        texts_of = (";".join([said[u] for u in numbers[i:j]]) for i, j in zip(places, places[1:]))
+        out["groups_sha256"] = [hashlib.sha256(t.encode()).hexdigest() if t else "" for t in texts_of]
+        parts = [(v or nothing)[1] for v in known]
+        kinds, kind = np.unique(np.frombuffer(b"".join(parts), "<i8"), return_inverse=True)
+        codes, n = _gather([kind.astype("<i4").tobytes()], [len(p) // 8 for p in parts], index)
+        size = max(len(kinds), 1)
+        each, times = np.unique(np.repeat(of_text, n) * size + codes, return_counts=True)
+        return out | {"pairs": kinds[each % size] if len(each) else each, "times": times.astype(np.int64), "places": np.searchsorted(each, np.arange(rows + 1) * size)}
+
+
+_WORKERS: dict[tuple, Remembered] = {}
+
+
+def worker_encoder(kind: type[Remembered], vocabulary: bytes, model: bytes) -> Remembered:
     """The encoder of this Python worker, kept from task to task."""
-    key = (hash(vocabulary), hash(model))
-    if key not in _ENCODERS:
-        _ENCODERS.clear()
-        _ENCODERS[key] = SpanEncoder(vocabulary, model)
-    return _ENCODERS[key]
+    key = (kind.__name__, hash(vocabulary), hash(model))
+    if key not in _WORKERS:
+        _WORKERS.clear()
+        _WORKERS[key] = kind(Tokens(vocabulary, model))
+    return _WORKERS[key]
 
 
 def _fields(df: DataFrame, *replaced: str) -> list[T.StructField]:
@@ -185,7 +309,7 @@ def align(df: DataFrame, vocabulary: bytes, model: bytes, text: str = "text") ->
     schema = T.StructType(kept + [T.StructField(name, ints) for name in SPANS])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = worker_encoder(vocabulary, model)
+        encoder = worker_encoder(SpanEncoder, vocabulary, model)
         for batch in batches:
             for cut in slices(batch, text, CHUNK_BYTES):
                 lists = [pa.ListArray.from_arrays(pa.array(p.astype(np.int32)), pa.array(v)) for v, p in encoder.spans(cut.column(text).to_pylist())]
@@ -194,16 +318,12 @@ def align(df: DataFrame, vocabulary: bytes, model: bytes, text: str = "text") ->
     return df.mapInArrow(run, schema)
 
 
-def _group_text(a: list[str], b: list[str], a_cuts: list[int], b_cuts: list[int]) -> str:
-    ends = zip([0, *a_cuts], a_cuts, [0, *b_cuts], b_cuts)
-    return ";".join(",".join(a[i:j]) + "|" + ",".join(b[k:m]) for i, j, k, m in ends)
-
-
-def meet(spans: list[tuple[np.ndarray, np.ndarray]]) -> dict[str, list | np.ndarray]:
-    """Counts, group hash and linked id pairs of each text from the arrays of ``SpanEncoder.spans``.
+def meet(spans: Flat) -> dict[str, list | np.ndarray]:
+    """Counts, group text and links of each text from arrays as ``SpanEncoder.spans`` gives them.
 
     The ends of both vocabularies cut a text into pieces, and each piece is the
     overlap of one token of A and one of B: their number is the number of links.
+    ``pairs`` are the links in order, A's id in the high half of a long.
     """
     (a_ids, a_at), (a_ends, _), (b_ids, b_at), (b_ends, _) = spans
     n = len(a_at) - 1
@@ -215,26 +335,16 @@ def meet(spans: list[tuple[np.ndarray, np.ndarray]]) -> dict[str, list | np.ndar
     cuts = np.union1d(at_a, at_b)
     i, j = np.searchsorted(at_a, cuts), np.searchsorted(at_b, cuts)
     of_cut = np.searchsorted(a_at, i, side="right") - 1
-    shared = (at_a[i] == cuts) & (at_b[j] == cuts) if len(cuts) else np.zeros(0, bool)
-    pair = (a_ids[i].astype(np.int64) << 32) | b_ids[j]
-    kinds, kind = np.unique(pair, return_inverse=True)
-    each, times = np.unique(of_cut * max(len(kinds), 1) + kind, return_counts=True)
-    pair_places = np.searchsorted(each, np.arange(n + 1) * max(len(kinds), 1))
-    hashes = []
+    shared = np.flatnonzero((at_a[i] == cuts) & (at_b[j] == cuts)) if len(cuts) else np.zeros(0, np.int64)
+    i_ends, j_ends = (i[shared] + 1).tolist(), (j[shared] + 1).tolist()
+    a, b = (list(map(str, v.tolist())) for v in (a_ids, b_ids))
+    groups = [",".join(a[w:x]) + "|" + ",".join(b[y:z]) for w, x, y, z in zip([0, *i_ends], i_ends, [0, *j_ends], j_ends)]
     group_places = np.searchsorted(of_cut[shared], np.arange(n + 1))
-    i_shared, j_shared = i[shared] + 1, j[shared] + 1
-    for t in range(n):
-        if not some[t]:
-            hashes.append("")
-            continue
-        g = slice(group_places[t], group_places[t + 1])
-        a, b = (list(map(str, v[p[t] : p[t + 1]].tolist())) for v, p in ((a_ids, a_at), (b_ids, b_at)))
-        said = _group_text(a, b, (i_shared[g] - a_at[t]).tolist(), (j_shared[g] - b_at[t]).tolist())
-        hashes.append(hashlib.sha256(said.encode()).hexdigest())
+    at = group_places.tolist()
     return {
-        "n_a": np.diff(a_at), "n_b": np.diff(b_at), "n_groups": np.diff(group_places),
-        "n_links": np.bincount(of_cut, minlength=n).astype(np.int64), "groups_sha256": hashes,
-        "pairs": kinds[each % max(len(kinds), 1)] if len(kinds) else each, "times": times.astype(np.int64), "places": pair_places,
+        "n_a": np.diff(a_at), "n_b": np.diff(b_at), "n_groups": np.diff(group_places), "n_links": np.bincount(of_cut, minlength=n).astype(np.int64),
+        "groups": [";".join(groups[x:y]) for x, y in zip(at, at[1:])],
+        "pairs": (a_ids[i].astype(np.int64) << 32) | b_ids[j], "places": np.searchsorted(of_cut, np.arange(n + 1)),
     }
 
 
@@ -257,11 +367,11 @@ def linked(df: DataFrame, vocabulary: bytes, model: bytes, text: str = "text") -
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = worker_encoder(vocabulary, model)
+        encoder = worker_encoder(LinkEncoder, vocabulary, model)
         chunk = TaskContext.get().partitionId() << 32
         for batch in batches:
             for cut in slices(batch, text, CHUNK_BYTES):
-                found = meet(encoder.spans(cut.column(text).to_pylist()))
+                found = encoder.links(cut.column(text).to_pylist())
                 places = pa.array(found["places"].astype(np.int32))
                 yield pa.RecordBatch.from_arrays(
                     [

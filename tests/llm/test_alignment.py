@@ -15,11 +15,12 @@ A, B = (open(P.path(name), "rb").read() for name in ("byte_bpe_50k.json", "piece
 
 @pytest.fixture(scope="module")
 def encoder():
-    return alignment.SpanEncoder(A, B)
+    return alignment.SpanEncoder(alignment.Tokens(A, B))
 
 
 def whole(encoder, text):
     """Ids and byte ends of both vocabularies from the whole text and its decoded bytes."""
+    encoder = encoder.tokens
     if not text:
         return [], [], [], []
     a = encoder.a.encode(" " + text, add_special_tokens=False).ids
@@ -65,13 +66,28 @@ def test_units_give_the_spans_of_whole_texts(encoder):
 
 
 def test_forgetting_units_changes_nothing(encoder):
-    small = alignment.SpanEncoder(A, B, memory_units=3)
+    small = alignment.SpanEncoder(encoder.tokens, memory_units=3)
     texts = strange(60, seed=3)
     for at in range(0, 60, 10):
         for (v, p), (w, q) in zip(small.spans(texts[at : at + 10]), encoder.spans(texts[at : at + 10])):
             assert v.tolist() == w.tolist() and p.tolist() == q.tolist()
 
 
+def test_links_of_units_are_those_of_whole_texts(encoder):
+    texts = [None, "the cat sat", *strange(300, seed=11)]
+    links = alignment.LinkEncoder(encoder.tokens, memory_units=50)
+    for at in range(0, 300, 50):
+        some = texts[at : at + 50]
+        got, want = links.links(some), alignment.meet(encoder.spans(some))
+        for c in ("n_a", "n_b", "n_groups", "n_links"):
+            assert got[c].tolist() == want[c].tolist()
+        assert got["groups_sha256"] == [hashlib.sha256(t.encode()).hexdigest() if t else "" for t in want["groups"]]
+        for k in range(len(some)):
+            pairs = Counter(want["pairs"][want["places"][k] : want["places"][k + 1]].tolist())
+            place = slice(got["places"][k], got["places"][k + 1])
+            assert dict(zip(got["pairs"][place].tolist(), got["times"][place].tolist())) == pairs
+
+
 def test_align_keeps_rows_and_columns(spark, odd, encoder):
     rows = alignment.align(odd, A, B).collect()
     texts = {(r.doc_id, r.n_chars): r.text for r in odd.collect()}
