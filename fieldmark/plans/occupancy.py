@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from fieldmark.functions.columns import ratio
 from fieldmark.operators.pruning import visit_days
 from fieldmark.operators.replicates import site_day_species, species_shares
+from fieldmark.plans import fitting
 from fieldmark.plans.scores import per_species
 from fieldmark.session import checked_broadcast, settle, spread
 
@@ -389,6 +390,51 @@ def fit_dynamic(
     return state.drop("done")
 
 
+_RATES = ("psi1", "phi", "gamma", "p")
+
+
+def _from_theta(thetas: DataFrame, n: int) -> DataFrame:
+    """Logits of psi1, phi, gamma, p -> the parameter table of the chain."""
+    rates = [clamp(1 / (1 + F.exp(-F.get("theta", F.lit(i))))).alias(c) for i, c in enumerate(_RATES)]
+    return constant_parameters(thetas.select("species", *rates), n)
+
+
+def _em_step(grouped: DataFrame, thetas: DataFrame, n: int) -> DataFrame:
+    new = em_maximise(em_sums(grouped, _from_theta(thetas, n), n), n, by_year=False)
+    logit = lambda c: F.ln(c / (1 - c))
+    return new.select("species", F.col("loglik").alias("objective"), F.array(logit(F.col("psi1")), *[logit(F.get(c, F.lit(0))) for c in _RATES[1:]]).alias("next"))
+
+
+def _em_score(grouped: DataFrame, shifted: DataFrame, n: int) -> DataFrame:
+    """Gradient of the log-likelihood in the logits, from the same sums (Fisher's identity); the rows' species are structs with a shift."""
+    shifts = [F.struct(F.col("species").alias("__of"), F.lit(i).alias("at"), F.lit(s).alias("sign")) for i in range(len(_RATES)) for s in (-1, 1)]
+    copies = grouped.withColumn("species", F.explode(F.array(*shifts)))
+    parameters = _from_theta(shifted, n)
+    sums = em_sums(copies, parameters, n).groupBy("species").agg(
+        F.sum(F.when(F.col("i") == 0, F.col("s"))).alias("s"), F.sum(F.when(F.col("i") == 0, F.col("n"))).alias("n"), *[F.sum(c).alias(c) for c in ("x11", "from1", "x01", "from0", "sk", "st")]
+    )
+    pairs = (("s", "n", F.col("psi1")), *[(a, b, F.get(c, F.lit(0))) for (a, b), c in zip((("x11", "from1"), ("x01", "from0"), ("sk", "st")), _RATES[1:])])
+    slope = lambda a, b, rate: F.coalesce(F.col(a), F.lit(0.0)) - F.coalesce(F.col(b), F.lit(0.0)) * rate
+    return sums.join(parameters, "species").select("species", F.array(*[slope(*x) for x in pairs]).alias("score"))
+
+
+def fit_dynamic_with_errors(histories: DataFrame, n: int, iterations: int = 200, tolerance: float = 1e-4) -> DataFrame:
+    """The fit of :func:`fit_dynamic` with constant rates, by accelerated EM on the logits, with standard errors.
+
+    (species, psi1, phi, gamma, p, loglik, iterations, converged, errors): ``iterations`` counts jobs
+    over the histories, ``errors`` are those of the four logits in that order, from the
+    observed information, null where a rate lies at its bound.  A species has
+    converged when no logit moves by more than ``tolerance`` in an EM step.
+    """
+    grouped = settle(spread(grouped_histories(histories), "species", "h"))
+    start = start_parameters(grouped, n).select("species", F.expr("array(psi1, phi[0], gamma[0], p[0])").alias("r"))
+    thetas = start.select("species", F.transform("r", lambda x: F.ln(x / (1 - x))).alias("theta"))
+    fitted = fitting.accelerated(lambda t: _em_step(grouped, t, n), thetas, iterations=iterations, tolerance=tolerance)
+    full = fitting.with_errors(lambda t: _em_score(grouped, t, n), fitted)
+    rates = [clamp(1 / (1 + F.exp(-F.get("theta", F.lit(i))))).alias(c) for i, c in enumerate(_RATES)]
+    return full.select("species", *rates, F.col("objective").alias("loglik"), "iterations", "converged", "errors")
+
+
 def season_counts(checklists: DataFrame, detections: DataFrame, species: DataFrame, site: str = "site", event: str = "event_id") -> DataFrame:
     """(species, k, t, w): sites by detections and replicates in one season.
 

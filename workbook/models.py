@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 from fieldmark import fixed_values as V
 from fieldmark.functions import columns as C
 from fieldmark.operators import pruning, replicates
+from fieldmark.plans import covariate_fit
 from fieldmark.plans import occupancy as O
 from fieldmark.plans import posterior_tables as P
 from fieldmark.plans import scores
+from fieldmark.session import settle
 from workbook import posteriors as R
 from workbook import standins as S
 from workbook.registry import query, rounded
@@ -588,3 +590,134 @@ def fit_single_season(spark: SparkSession, sf: str) -> DataFrame:
     lists = S.season(spark, sf).withColumn("site", F.col("site") * 10000 + F.col("year"))
     counts = O.season_counts(lists, S.records(spark, sf), S.species(spark, sf))
     return rounded(O.fit_single_season(counts, SINGLE_ITERATIONS, tolerance=SINGLE_TOLERANCE), "psi", "p", "n_occ")
+
+
+# -- the covariate model ------------------------------------------------------
+
+COVARIATES = ("forest", "agri", "urban", "ppt", "temp")
+VISIT = ("day_part", "effort_part")
+PRECISION = 0.01
+
+
+def _solve(name: str, source: str, n: int) -> str:
+    """Gauss-Jordan elimination of a{r}_{c} x = b{r} per species, a table for each pivot; ``name`` has x0, x1, ..."""
+    tables, current = [], source
+    for i in range(n):
+        rows = []
+        for r in range(n):
+            drop = "" if r == i else f" - a{r}_{i} / a{i}_{i} * "
+            rows += [f"a{r}_{c}{drop and drop + f'a{i}_{c}'} as a{r}_{c}" for c in range(n)]
+            rows.append(f"b{r}{drop and drop + f'b{i}'} as b{r}")
+        tables.append(f"{name}_{i} as materialized (select species, {', '.join(rows)} from {current})")
+        current = f"{name}_{i}"
+    tables.append(f"{name} as materialized (select species, {', '.join(f'b{r} / a{r}_{r} as x{r}' for r in range(n))} from {current})")
+    return ",\n".join(tables)
+
+
+def _system(rows: str, columns: tuple[str, ...], start: tuple[float, ...]) -> str:
+    """Normal equations of a Newton step from ``rows`` (species, w, mu, resp and covariates) under the wide prior."""
+    n = len(columns)
+    weight = "w * mu * (1 - mu)"
+    cells = [f"sum({weight} * {columns[r]} * {columns[c]}) + {PRECISION + 1e-12 if r == c else 0.0!r} as a{r}_{c}" for r in range(n) for c in range(n)]
+    cells += [f"sum((resp - w * mu) * {columns[r]}) - {PRECISION * start[r]!r}::double as b{r}" for r in range(n)]
+    return f"(select species, {', '.join(cells)} from ({rows}) group by species)"
+
+
+_RATE_START = {"phi": (1.5,) + (0.0,) * len(COVARIATES), "gamma": (-1.5,) + (0.0,) * len(COVARIATES)}
+
+
+def _linear_sql(prefix: str, columns: tuple[str, ...]) -> str:
+    return " + ".join([f"{prefix}0", *(f"{prefix}{i + 1} * {c}" for i, c in enumerate(columns))])
+
+
+def _covariate_chain(i: int) -> str:
+    """Scores of visits and site-years and the smoothed chain under the thetas of table th{i}."""
+    return f"""cs{i} as (select v.*, species, {INV.format("palpha + " + _linear_sql("ed", VISIT))} as prob from cvisits v, th{i}),
+  cy{i} as (select site, species, year, max(y) as k, sum(n_seen * ln(prob) + (1 - n_seen) * ln(1 - prob)) as lh from (
+    select c.*, coalesce(d.y, 0) as y, coalesce(d.y, 0) as n_seen from cs{i} c left join (select distinct event_id, species, 1 as y from detections) d using (event_id, species)) group by 1, 2, 3),
+  cp{i} as (select site, species, {_by_year('k', 'k', 0, N, '0')}, {_by_year('lh', 'lh', 0, N, '0')} from cy{i} group by 1, 2),
+  cm{i} as (select site, year, species, {INV.format(_linear_sql("ef", COVARIATES))} as phi, {INV.format(_linear_sql("eg", COVARIATES))} as gamma from ccells, th{i}),
+  cr{i} as (select site, species, {_by_year('phi', 'phi', 0, N - 1)}, {_by_year('gamma', 'gamma', 1, N - 1)} from cm{i} group by 1, 2),
+  {_chain(f"cv{i}", f"(select * from cp{i} join cr{i} using (site, species) join (select species, 1 / (1 + exp(-psi)) as psi1 from th{i}) using (species))", by_year=True, evidence=True)}"""
+
+
+def _rate_rows(weight: str, response: str, rate: str, shift: int) -> str:
+    return " union all ".join(
+        f"select species, {weight.format(t)} as w, {response}{t} as resp, {rate}{t} as mu, 1.0::double as one, {', '.join(COVARIATES)} from cv0 join ccells using (site) where year = {S.YEARS.start + t + shift}"
+        for t in range(N - 1)
+    )
+
+
+_DETECTION_ROWS = (
+    "select c.species, z.s as w, coalesce(d.y, 0) * z.s as resp, prob as mu, 1.0::double as one, day_part, effort_part from cs0 c join ("
+    + " union all ".join(f"select site, species, {y} as year, s{t} as s from cv0" for t, y in enumerate(S.YEARS))
+    + ") z using (site, species, year) left join (select distinct event_id, species, 1 as y from detections) d using (event_id, species)"
+)
+
+
+def _theta_columns() -> list[str]:
+    return ["psi", *(f"e{p}{i}" for p in "fg" for i in range(1 + len(COVARIATES))), *(f"ed{i}" for i in range(1 + len(VISIT)))]
+
+
+_START = {"ef0": 1.5, "eg0": -1.5}
+
+
+def _survey(spark: SparkSession, sf: str):
+    lists = _visits(spark, sf).join(_year_intercepts(spark, sf), "year")
+    return covariate_fit.pack(lists, S.records(spark, sf), S.species(spark, sf), S.panel(spark, sf), S.YEARS, ["forest", "agri", "urban"], ["ppt", "temp"], VISIT, offset="palpha")
+
+
+def _named(names: tuple[str, ...], source: str) -> str:
+    return " union all ".join(f"select species, '{label}' as parameter, {column} as estimate from {source}" for label, column in zip(names, _theta_columns()))
+
+
+_LABELS = ("psi1", *(f"{p}_{c}" for p in ("phi", "gamma") for c in ("0", *COVARIATES)), *(f"p_{c}" for c in ("0", *VISIT)))
+
+
+@query(
+    S.sql(
+        S.CHECKLISTS, S.SEASON, S.DETECTIONS, S.CLIMATE,
+        """years as (select year, ln(p / (1 - p)) as palpha from (select year, sum(n) / (count(*) * 25.0::double) as p from (
+          select year, event_id, count(species) as n from season left join detections using (event_id) group by 1, 2) group by 1))""",
+        f"""ccells as materialized (select * from (select site, year, {', '.join(COVARIATES)}, count(*) over (partition by site) as n from panel
+          where year between {S.YEARS.start} and {S.YEARS.stop - 1}) where n = {N})""",
+        f"""cvisits as materialized (select event_id, site, year, palpha, day / 365.0::double as day_part, cast(effort as double) / 500000.0::double as effort_part
+          from season join years using (year) where site in (select site from ccells) and year between {S.YEARS.start} and {S.YEARS.stop - 1})""",
+        f"th0 as (select distinct p_brand as species, {', '.join(f'{_START.get(c, 0.0)!r}::double as {c}' for c in _theta_columns())} from part)",
+        _covariate_chain(0),
+        "first as (select species, avg(s0) as m from cv0 group by 1)",
+        _solve("np", _system(_rate_rows("s{}", "x", "phi", 0), ("one", *COVARIATES), _RATE_START["phi"]), 1 + len(COVARIATES)),
+        _solve("ng", _system(_rate_rows("(1 - s{})", "c", "gamma", 1), ("one", *COVARIATES), _RATE_START["gamma"]), 1 + len(COVARIATES)),
+        _solve("nd", _system(_DETECTION_ROWS, ("one", *VISIT), (0.0,) * (1 + len(VISIT))), 1 + len(VISIT)),
+        f"""th1 as materialized (select species, ln(m / (1 - m)) as psi, {', '.join(f'{_START.get(f"ef{i}", 0.0)!r}::double + np.x{i} as ef{i}' for i in range(1 + len(COVARIATES)))},
+          {', '.join(f'{_START.get(f"eg{i}", 0.0)!r}::double + ng.x{i} as eg{i}' for i in range(1 + len(COVARIATES)))}, {', '.join(f'nd.x{i} as ed{i}' for i in range(1 + len(VISIT)))}
+          from first join np using (species) join ng using (species) join nd using (species))""",
+        _covariate_chain(1),
+        f"""fitted as (select species, sum(loglik) - {PRECISION / 2!r} * any_value({' + '.join(f'{c} * {c}' for c in _theta_columns()[1:])}) as objective from cv1 join th1 using (species) group by 1)""",
+        f"""select species, parameter, round(estimate, 6) as estimate, round(objective, 6) as objective from ({_named(_LABELS, 'th1')}) join fitted using (species)""",
+    )
+)
+def fit_covariates(spark: SparkSession, sf: str) -> DataFrame:
+    """One EM step of the covariate model from fixed starts, and the log-posterior there, so that the oracle can repeat it."""
+    survey = _survey(spark, sf)
+    fit = covariate_fit.fit(survey, iterations=2, leaps=False, errors=False)
+    long = covariate_fit.coefficients(survey, fit).join(fit.select("species", "objective"), "species")
+    return rounded(long, "estimate", "objective")
+
+
+@query()
+def fit_covariates_converged(spark: SparkSession, sf: str) -> DataFrame:
+    """The covariate model fitted to its end, with standard errors."""
+    survey = _survey(spark, sf)
+    fit = settle(covariate_fit.fit(survey, tolerance=1e-3))
+    long = covariate_fit.coefficients(survey, fit).join(fit.select("species", "objective", "iterations", "converged"), "species")
+    return rounded(long, "estimate", "error", "objective", places=3)
+
+
+@query()
+def fit_dynamic_converged(spark: SparkSession, sf: str) -> DataFrame:
+    """Constant rates fitted to their end by accelerated EM, with standard errors of the logits."""
+    fit = O.fit_dynamic_with_errors(histories(spark, sf), N)
+    errors = [F.get("errors", F.lit(i)).alias(f"se_{c}") for i, c in enumerate(("psi1", "phi", "gamma", "p"))]
+    out = fit.select("species", "psi1", "phi", "gamma", "p", *errors, "loglik", "iterations", "converged")
+    return rounded(out, "psi1", "phi", "gamma", "p", "se_psi1", "se_phi", "se_gamma", "se_p", "loglik", places=3)
