@@ -49,14 +49,15 @@ class Row:
     converged: bool
     done: bool
 
-    def after(self, objective: float | None, following: np.ndarray | None, tolerance: float, leaps: bool) -> Row:
+    def after(self, objective: float | None, following: np.ndarray | None, tolerance: float, leaps: bool, gain: float = 0.0) -> Row:
         n = self.iterations + 1
         slack = 1e-10 * (1 + abs(self.best or 0.0))
         fine = objective is not None and math.isfinite(objective) and (self.best is None or objective >= self.best - slack) and bool(np.isfinite(following).all())
         if not fine:
             back = self.ahead if self.leaping else (self.good + self.here) / 2
             return Row(self.good, self.best, back, self.ahead, False, self.leaping, n, False, False)
-        if np.abs(following - self.here).max() <= tolerance:
+        still = np.abs(following - self.here).max() <= tolerance
+        if still or (self.pure and gain and objective - self.best <= gain * (1 + abs(objective))):
             return Row(self.here, objective, self.here, following, False, False, n, True, True)
         if self.pure and leaps:
             return Row(self.here, objective, leap(self.good, self.here, following), following, True, False, n, False, False)
@@ -68,7 +69,7 @@ _KINDS = {"good": "array<double>", "best": "double", "here": "array<double>", "a
 _ARROW = {"array<double>": pa.list_(pa.float64()), "double": pa.float64(), "boolean": pa.bool_(), "int": pa.int32()}
 
 
-def _stepped(joined: DataFrame, key: str, tolerance: float, leaps: bool) -> DataFrame:
+def _stepped(joined: DataFrame, key: str, tolerance: float, leaps: bool, gain: float) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             columns = {c: batch.column(c).to_pylist() for c in (*_KINDS, "objective", "next")}
@@ -79,15 +80,18 @@ def _stepped(joined: DataFrame, key: str, tolerance: float, leaps: bool) -> Data
                 if row.done:
                     out.append(row)
                     continue
-                out.append(row.after(columns["objective"][k], None if following is None else np.array(following), tolerance, leaps))
+                out.append(row.after(columns["objective"][k], None if following is None else np.array(following), tolerance, leaps, gain))
             values = [pa.array([getattr(r, c).tolist() if c in _ARRAYS else getattr(r, c) for r in out], _ARROW[kind]) for c, kind in _KINDS.items()]
             yield pa.RecordBatch.from_arrays([batch.column(key), *values], names=[key, *_KINDS])
 
     return joined.mapInArrow(run, f"`{key}` {dict(joined.dtypes)[key]}, " + ", ".join(f"{c} {k}" for c, k in _KINDS.items()))
 
 
-def accelerated(step: Step, start: DataFrame, key: str = "species", iterations: int = 200, tolerance: float = 1e-4, leaps: bool = True) -> DataFrame:
-    """Repeat ``step`` until every row's theta moves by at most ``tolerance``: (key, theta, objective, iterations, converged).
+def accelerated(step: Step, start: DataFrame, key: str = "species", iterations: int = 200, tolerance: float = 1e-4, leaps: bool = True, gain: float = 1e-7) -> DataFrame:
+    """Repeat ``step`` until every row has converged: (key, theta, objective, iterations, converged).
+
+    A row has converged when a step moves its theta by at most ``tolerance``, or when a plain step
+    raises its objective by at most ``gain`` of itself, as at a bound, where theta moves for ever.
 
     With ``leaps`` each plain EM step is followed by a squared extrapolation, which is kept only
     if the objective did not fall; otherwise the row goes on from the
@@ -106,7 +110,7 @@ def accelerated(step: Step, start: DataFrame, key: str = "species", iterations:
         moving = state.where("not done")
         found = step(moving.select(key, F.col("here").alias("theta"))).select(key, "objective", "next")
         # rows that are done pass through the same join: a union would add partitions at every step
-        state = settle(_stepped(state.join(found, key, "left"), key, tolerance, leaps))
+        state = settle(_stepped(state.join(found, key, "left"), key, tolerance, leaps, gain))
         if state.where("not done").isEmpty():
             break
     return state.select(key, F.col("good").alias("theta"), F.col("best").alias("objective"), "iterations", "converged")

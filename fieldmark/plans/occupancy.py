@@ -424,7 +424,7 @@ def fit_dynamic_with_errors(histories: DataFrame, n: int, iterations: int = 200,
     (species, psi1, phi, gamma, p, loglik, iterations, converged, errors): ``iterations`` counts jobs
     over the histories, ``errors`` are those of the four logits in that order, from the
     observed information, null where a rate lies at its bound.  A species has
-    converged when no logit moves by more than ``tolerance`` in an EM step.
+    converged when an EM step moves no logit by more than ``tolerance`` or no longer raises the log-likelihood.
     """
     grouped = settle(spread(grouped_histories(histories), "species", "h"))
     start = start_parameters(grouped, n).select("species", F.expr("array(psi1, phi[0], gamma[0], p[0])").alias("r"))

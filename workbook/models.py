@@ -10,6 +10,7 @@ from fieldmark.functions import columns as C
 from fieldmark.operators import pruning, replicates
 from fieldmark.plans import covariate_fit
 from fieldmark.plans import occupancy as O
+from fieldmark.plans import occupied_sites
 from fieldmark.plans import posterior_tables as P
 from fieldmark.plans import scores
 from fieldmark.session import settle
@@ -479,6 +480,36 @@ def smoothed_occupancy(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(O.smoothed_occupancy(histories(spark, sf), params, S.YEARS), "z_prob")
 
 
+@query(
+    "with recursive "
+    + S.sql(
+        S.CHECKLISTS, S.SEASON, S.DETECTIONS, S.COEFFICIENTS, PARAMETERS, HISTORIES,
+        _chain("smooth", "(select * from hist join parameters using (species))"),
+        "chances as materialized (select species, year, z, row_number() over (partition by species, year order by site) as i from ("
+        + " union all ".join(f"select site, species, {y} as year, s{i} as z from smooth" for i, y in enumerate(S.YEARS))
+        + "))",
+        """sums(species, year, i, masses) as (
+          select distinct species, year, 0::bigint, [1.0::double] from chances
+          union all
+          select s.species, s.year, s.i + 1, list_transform(range(len(masses) + 1),
+            lambda k: coalesce(masses[k + 1], 0) * (1 - z) + case when k > 0 then masses[k] * z else 0 end)
+          from sums s join chances c on c.species = s.species and c.year = s.year and c.i = s.i + 1)""",
+        "last as (select * from sums qualify row_number() over (partition by species, year order by i desc) = 1)",
+        "mass as (select species, year, i as n_sites, unnest(masses) as m, unnest(range(len(masses))) as k from last)",
+        "upto as (select *, sum(m) over (partition by species, year order by k) as c from mass)",
+        "stats as (select species, year, n_sites, sum(m * k) as mean, sum(m * k * k) as square, min(k) filter (where c >= 0.025 - 1e-12) as lower, min(k) filter (where c >= 0.975 - 1e-12) as upper from upto group by 1, 2, 3)",
+        """select species, year, n_sites, round(mean, 6) as mean, lower, upper, round(mean * 100 / n_sites, 6) as mean_percent,
+          round(lower * 100.0::double / n_sites, 6) as lower_percent, round(upper * 100.0::double / n_sites, 6) as upper_percent from stats""",
+    )[5:]
+)
+def occupied_bounds(spark: SparkSession, sf: str) -> DataFrame:
+    """Occupied sites by species and year with 95 % bounds, from the smoothed occupancy of every site."""
+    params = O.constant_parameters(parameters(spark, sf), N)
+    chances = O.smoothed_occupancy(histories(spark, sf), params, S.YEARS)
+    bounds = occupied_sites.occupied_bounds(occupied_sites.occupied_distribution(chances))
+    return rounded(bounds.drop("sd"), "mean", "mean_percent", "lower_percent", "upper_percent")
+
+
 ITERATIONS = 4
 _CLAMP = "greatest(1e-6, least(1 - 1e-6, {}))"
 
