@@ -40,6 +40,11 @@ class Albers:
         e = math.sqrt(self.e2)
         return (1 - self.e2) * (s / (1 - self.e2 * s * s) - math.log((1 - e * s) / (1 + e * s)) / (2 * e))
 
+    def series(self) -> tuple[float, float, float]:
+        """Coefficients of sin 2b, sin 4b and sin 6b from authalic to geodetic latitude."""
+        e2, e4, e6 = self.e2, self.e2**2, self.e2**3
+        return e2 / 3 + 31 * e4 / 180 + 517 * e6 / 5040, 23 * e4 / 360 + 251 * e6 / 3780, 761 * e6 / 45360
+
     def cone(self) -> tuple[float, float, float]:
         """Cone constant n, C and the radius at the origin latitude."""
         p0, p1, p2 = (math.radians(v) for v in (self.lat0, self.lat1, self.lat2))
@@ -64,3 +69,31 @@ def albers_xy(lon: Column | str, lat: Column | str, crs: Albers = Albers()) -> t
     rho = crs.radius * F.sqrt(c - n * _q_column(F.sin(F.radians(lat)), crs.e2)) / n
     theta = n * F.radians(lon - crs.lon0)
     return rho * F.sin(theta), rho0 - rho * F.cos(theta)
+
+
+def albers_lonlat(x: Column | str, y: Column | str, crs: Albers = Albers()) -> tuple[Column, Column]:
+    """Easting and northing -> longitude and latitude in degrees; NULL where no latitude has such a northing.
+
+    The series from the authalic latitude is followed by one Newton step on the
+    equation of areas, which brings the error from millimetres to the
+    last digits of a double.
+    """
+    n, c, rho0 = crs.cone()
+    x, y = col(x).cast("double"), col(y).cast("double")
+    up = F.lit(rho0) - y
+    side = 1.0 if n > 0 else -1.0
+    rho2 = x * x + up * up
+    q = (c - rho2 * n * n / crs.radius**2) / n
+    pole = crs._q(math.pi / 2)
+    sine = q / pole
+    beta = F.asin(F.when(F.abs(sine) <= 1, sine))
+    lon = crs.lon0 + F.degrees(F.atan2(side * x, side * up) / n)
+    if crs.e2 == 0:
+        return lon, F.degrees(beta)
+    a, b, d = crs.series()
+    first = beta + a * F.sin(2 * beta) + b * F.sin(4 * beta) + d * F.sin(6 * beta)
+    s = F.sin(first)
+    flat = 1 - crs.e2 * s * s
+    # dq / dlat = 2 (1 - e2) cos / flat^2; at a pole there is nothing to correct
+    step = (q - _q_column(s, crs.e2)) * flat * flat / (2 * (1 - crs.e2) * F.cos(first))
+    return lon, F.degrees(F.when(F.abs(sine) < 1 - 1e-12, first + step).otherwise(first))

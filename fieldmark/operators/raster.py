@@ -6,12 +6,14 @@ arithmetic on the indices plus equi-joins on them.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import math
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from fieldmark.functions.projection import Albers, albers_lonlat, albers_xy
 from fieldmark.session import BROADCAST_ROWS, settle
 
 
@@ -166,34 +168,66 @@ def grid_cells(spark: SparkSession, grid: Grid) -> DataFrame:
 
 
 def bilinear_resample(pixels: DataFrame, source: Grid, target: Grid, by: Sequence[str] = (), value: str = "value") -> DataFrame:
-    """Values of ``pixels`` at the target grid's cell centres.
+    """Values of ``pixels`` at the target grid's cell centres; both grids are in the same coordinates."""
+    return warp(pixels, source, target, lambda x, y: (x, y), by, value)
 
-    Each target cell asks for its four source neighbours (an equi-join on the
-    source cell), and the weighted values are summed back.  Neighbours past the
-    border repeat the border cell; missing neighbours leave the weights.
+
+def warp(pixels: DataFrame, source: Grid, target: Grid, position: Callable[[Column, Column], tuple[Column, Column]], by: Sequence[str] = (), value: str = "value", nearest: bool = False) -> DataFrame:
+    """Values of ``pixels`` at the target grid's cell centres: (by, trow, tcol, value).
+
+    ``position`` takes a target cell's centre to the coordinates of the source
+    grid.  Each target cell asks for its four source neighbours (an equi-join on the
+    source cell), and the weighted values are summed back; with ``nearest`` it asks for the cell that
+    holds its centre, as classes must.  Neighbours past the
+    border repeat the border cell; missing neighbours leave the weights; cells whose
+    centre lies outside the source, or nowhere, are not returned.
     """
-    x = F.lit(target.left) + (F.col("tcol") + 0.5) * target.res
-    y = F.lit(target.top) - (F.col("trow") + 0.5) * target.res
+    x, y = position(F.lit(target.left) + (F.col("tcol") + 0.5) * target.res, F.lit(target.top) - (F.col("trow") + 0.5) * target.res)
     sx = (x - source.left) / source.res - 0.5
     sy = (F.lit(source.top) - y) / source.res - 0.5
     placed = grid_cells(pixels.sparkSession, target).withColumns({"__sx": sx, "__sy": sy})
-    placed = placed.where(
-        F.col("__sx").between(-0.5, source.ncol - 0.5) & F.col("__sy").between(-0.5, source.nrow - 0.5)
-    ).withColumns({"__c": F.floor("__sx").cast("int"), "__r": F.floor("__sy").cast("int")})
+    placed = placed.where(F.col("__sx").between(-0.5, source.ncol - 0.5) & F.col("__sy").between(-0.5, source.nrow - 0.5))
+    given = pixels.where(F.col(value).isNotNull()).select(*by, "prow", "pcol", F.col(value).alias("__v"))
+    inside = lambda c, last: F.greatest(F.lit(0), F.least(F.lit(last), c)).cast("int")
+    if nearest:
+        row, column = inside(F.floor(F.col("__sy") + 0.5), source.nrow - 1), inside(F.floor(F.col("__sx") + 0.5), source.ncol - 1)
+        return placed.select("trow", "tcol", row.alias("prow"), column.alias("pcol")).join(given, ["prow", "pcol"]).select(*by, "trow", "tcol", F.col("__v").alias(value))
+    placed = placed.withColumns({"__c": F.floor("__sx").cast("int"), "__r": F.floor("__sy").cast("int")})
     fx, fy = F.col("__sx") - F.col("__c"), F.col("__sy") - F.col("__r")
 
     def corner(dr: int, dc: int) -> Column:
-        row = F.greatest(F.lit(0), F.least(F.lit(source.nrow - 1), F.col("__r") + dr))
-        column = F.greatest(F.lit(0), F.least(F.lit(source.ncol - 1), F.col("__c") + dc))
+        row, column = inside(F.col("__r") + dr, source.nrow - 1), inside(F.col("__c") + dc, source.ncol - 1)
         weight = (fy if dr else 1 - fy) * (fx if dc else 1 - fx)
         return F.struct(row.alias("prow"), column.alias("pcol"), weight.alias("w"))
 
-    corners = placed.select(
-        "trow", "tcol", F.inline(F.array(*[corner(r, c) for r in (0, 1) for c in (0, 1)]))
-    ).where("w > 0")
-    given = pixels.where(F.col(value).isNotNull()).select(*by, "prow", "pcol", F.col(value).alias("__v"))
+    corners = placed.select("trow", "tcol", F.inline(F.array(*[corner(r, c) for r in (0, 1) for c in (0, 1)]))).where("w > 0")
     return (
         corners.join(given, ["prow", "pcol"])
         .groupBy(*by, "trow", "tcol")
         .agg(F.try_divide(F.sum(F.col("w") * F.col("__v")), F.sum("w")).alias(value))
     )
+
+
+def projected_grid(spark: SparkSession, source: Grid, position: Callable[[Column, Column], tuple[Column, Column]], res: float) -> Grid:
+    """The grid of cells of ``res``, on multiples of it, that covers ``source`` seen through ``position``.
+
+    The border of the source bounds its image; its corner points are one aggregated row.
+    """
+    along = spark.range(2 * (source.nrow + 1) + 2 * (source.ncol + 1)).withColumn("k", F.pmod("id", F.lit(source.nrow + source.ncol + 2)))
+    far = F.col("id") >= source.nrow + source.ncol + 2
+    edge = F.col("k") <= source.nrow
+    row = F.when(edge, F.col("k")).when(far, F.lit(source.nrow)).otherwise(0)
+    column = F.when(~edge, F.col("k") - (source.nrow + 1)).when(far, F.lit(source.ncol)).otherwise(0)
+    x, y = position(F.lit(source.left) + column * source.res, F.lit(source.top) - row * source.res)
+    x0, x1, y0, y1 = along.select(x.alias("x"), y.alias("y")).agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
+    left, top = math.floor(x0 / res) * res, math.ceil(y1 / res) * res
+    return Grid(left, top, res, math.ceil((top - y0) / res), math.ceil((x1 - left) / res))
+
+
+def project_raster(pixels: DataFrame, source: Grid, crs: Albers, res: float, by: Sequence[str] = (), value: str = "value", nearest: bool = False) -> tuple[DataFrame, Grid]:
+    """A raster in degrees, in another coordinate system: (pixels by trow and tcol, their grid in metres).
+
+    Every target cell finds its source position by the inverse projection, so the result has no holes.
+    """
+    target = projected_grid(pixels.sparkSession, source, lambda x, y: albers_xy(x, y, crs), res)
+    return warp(pixels, source, target, lambda x, y: albers_lonlat(x, y, crs), by, value, nearest), target

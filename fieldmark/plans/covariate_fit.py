@@ -296,12 +296,13 @@ def fit(survey: Survey, prior: DataFrame | None = None, start: DataFrame | None
 
     ``theta`` follows ``survey.names``: the logit of the first year's occupancy, then intercept
     and slopes of persistence, colonisation and detection.  ``prior`` (code, mean, precision) defaults to a wide normal,
-    which keeps coefficients finite where a species is seen at all visits or at none.  Every iteration is one
-    pass over the packed sites.
+    which keeps coefficients finite where a species is seen at all visits or at none.  EM steps with
+    squared extrapolation come first, then Newton steps; without ``leaps`` plain EM steps alone.
     """
     prior = settle(flat_prior(survey) if prior is None else prior)
     step = lambda thetas: _evaluated(survey, prior, thetas)
-    fitted = fitting.accelerated(step, start_thetas(survey) if start is None else start, iterations=iterations, tolerance=tolerance, leaps=leaps)
+    begin = start_thetas(survey) if start is None else start
+    fitted = fitting.finished(step, step, begin, iterations=iterations, tolerance=tolerance) if leaps else fitting.accelerated(step, begin, iterations=iterations, tolerance=tolerance, leaps=False)
     return fitting.with_errors(step, fitted) if errors else fitted
 
 

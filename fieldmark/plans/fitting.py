@@ -116,22 +116,76 @@ def accelerated(step: Step, start: DataFrame, key: str = "species", iterations:
     return state.select(key, F.col("good").alias("theta"), F.col("best").alias("objective"), "iterations", "converged")
 
 
+def _scores_around(score: Score, thetas: DataFrame, key: str, width: float) -> DataFrame:
+    """(key, __scores): the scores at theta shifted down and up by ``width`` in each place, one after the other; one job for all rows."""
+    n = F.size("theta")
+    shifts = F.flatten(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.array(F.struct(i.alias("at"), F.lit(-1).alias("sign")), F.struct(i.alias("at"), F.lit(1).alias("sign")))))
+    shifted = thetas.select(F.col(key).alias("__of"), "theta", F.inline(shifts)).select(
+        F.struct("__of", "at", "sign").alias(key), F.transform("theta", lambda x, i: F.when(i == F.col("at"), x + F.col("sign") * width).otherwise(x)).alias("theta")
+    )
+    slopes = score(settle(shifted)).select(F.col(f"{key}.__of").alias(key), F.col(f"{key}.at").alias("at"), F.col(f"{key}.sign").alias("sign"), "score")
+    ordered = F.array_sort(F.collect_list(F.struct("at", "sign", "score")))
+    return slopes.groupBy(key).agg(F.flatten(F.transform(ordered, lambda x: x["score"])).alias("__scores"))
+
+
+def information(scores: list[float], width: float) -> tuple[np.ndarray, np.ndarray]:
+    """Score and observed information at theta, from the scores around it."""
+    n = int(round((len(scores) / 2) ** 0.5))
+    both = np.array(scores).reshape(n, 2, n)
+    info = -(both[:, 1] - both[:, 0]) / (2 * width)
+    return both.mean(axis=(0, 1)), (info + info.T) / 2
+
+
+def newton_steps(step: Step, score: Score, key: str = "species", width: float = 1e-4, floor: float = 0.05) -> Step:
+    """Newton steps on the objective itself in place of EM steps, for the end of a fit.
+
+    Directions of less curvature than ``floor`` (or of the wrong sign) count as if they had
+    it, so that flat ones are walked and not jumped.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for theta, scores in zip(batch.column("theta").to_pylist(), batch.column("__scores").to_pylist()):
+                slope, info = information(scores, width) if scores else (np.full(1, np.nan), np.full((1, 1), np.nan))
+                if not (np.isfinite(slope).all() and np.isfinite(info).all()):
+                    out.append(theta)
+                    continue
+                curve, way = np.linalg.eigh(info)
+                out.append((np.array(theta) + way @ ((way.T @ slope) / np.maximum(np.abs(curve), floor))).tolist())
+            yield pa.RecordBatch.from_arrays([batch.column(key), batch.column("objective"), pa.array(out, _ARROW["array<double>"])], names=[key, "objective", "next"])
+
+    def newton(thetas: DataFrame) -> DataFrame:
+        around = thetas.join(_scores_around(score, thetas, key, width), key)
+        rows = around.join(step(thetas).select(key, "objective"), key).select(key, "objective", "theta", "__scores")
+        return rows.mapInArrow(run, f"`{key}` {dict(thetas.dtypes)[key]}, objective double, next array<double>")
+
+    return newton
+
+
+def finished(step: Step, score: Score, start: DataFrame, key: str = "species", iterations: int = 200, tolerance: float = 1e-4, gain: float = 1e-6, warm: int = 10) -> DataFrame:
+    """Accelerated EM for at most ``warm`` jobs, which finds the region of the maximum, then Newton steps to it.
+
+    EM slows down where data say little; Newton steps do not, so that one which gains no more than ``gain``
+    of the objective is the end.  ``iterations`` counts the passes of both.
+    """
+    near = accelerated(step, start, key, min(warm, iterations), tolerance, gain=0.0)
+    if iterations <= warm:
+        return near
+    # a row that EM has finished is confirmed by one Newton step
+    end = accelerated(newton_steps(step, score, key), near.select(key, "theta"), key, iterations - warm, tolerance, leaps=False, gain=gain)
+    before = near.select(key, F.col("iterations").alias("__before"))
+    return end.join(before, key).withColumn("iterations", F.col("iterations") + F.col("__before")).drop("__before")
+
+
 def with_errors(score: Score, fitted: DataFrame, key: str = "species", width: float = 1e-4) -> DataFrame:
     """Add ``errors`` (standard errors) and ``variances`` (the covariance, row by row) to a fit.
 
     The observed information is the derivative of the score, taken by central
-    differences of ``width``: the score of all shifted thetas of all species is one
-    job.  Where the information is not positive definite, as at a bound, both are null.
+    differences of ``width``.  Where it is not positive definite, as at a bound, both are null.
     """
     settled = settle(fitted)
-    n = F.size("theta")
-    shifts = F.flatten(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.array(F.struct(i.alias("at"), F.lit(-1).alias("sign")), F.struct(i.alias("at"), F.lit(1).alias("sign")))))
-    shifted = settled.select(F.col(key).alias("__of"), "theta", F.inline(shifts)).select(
-        F.struct("__of", "at", "sign").alias(key), F.transform("theta", lambda x, i: F.when(i == F.col("at"), x + F.col("sign") * width).otherwise(x)).alias("theta")
-    )
-    slopes = score(settle(shifted)).select(F.col(f"{key}.__of").alias(key), F.col(f"{key}.at").alias("at"), F.col(f"{key}.sign").alias("sign"), "score")
-    tables = slopes.groupBy(key).agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("at", "sign", "score"))), lambda x: x["score"])).alias("__scores"))
-    joined = settled.join(tables, key, "left")
+    joined = settled.join(_scores_around(score, settled, key, width), key, "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -139,17 +193,14 @@ def with_errors(score: Score, fitted: DataFrame, key: str = "species", width: fl
             for scores in batch.column("__scores").to_pylist():
                 e = v = None
                 if scores is not None:
-                    n = int(round((len(scores) / 2) ** 0.5))
-                    both = np.array(scores).reshape(n, 2, n)
-                    info = -(both[:, 1] - both[:, 0]) / (2 * width)
-                    info = (info + info.T) / 2
+                    _, info = information(scores, width)
                     if np.isfinite(info).all() and np.linalg.eigvalsh(info).min() > 0:
                         v = np.linalg.inv(info)
                         e, v = np.sqrt(np.diag(v)).tolist(), v.ravel().tolist()
                 errors.append(e)
                 variances.append(v)
-            doubles = pa.list_(pa.float64())
             kept = [c for c in batch.schema.names if c != "__scores"]
+            doubles = _ARROW["array<double>"]
             yield pa.RecordBatch.from_arrays([*map(batch.column, kept), pa.array(errors, doubles), pa.array(variances, doubles)], names=[*kept, "errors", "variances"])
 
     plain = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in settled.schema)

@@ -419,7 +419,7 @@ def _em_score(grouped: DataFrame, shifted: DataFrame, n: int) -> DataFrame:
 
 
 def fit_dynamic_with_errors(histories: DataFrame, n: int, iterations: int = 200, tolerance: float = 1e-4) -> DataFrame:
-    """The fit of :func:`fit_dynamic` with constant rates, by accelerated EM on the logits, with standard errors.
+    """The fit of :func:`fit_dynamic` with constant rates, by accelerated EM and Newton steps on the logits, with standard errors.
 
     (species, psi1, phi, gamma, p, loglik, iterations, converged, errors): ``iterations`` counts jobs
     over the histories, ``errors`` are those of the four logits in that order, from the
@@ -429,8 +429,8 @@ def fit_dynamic_with_errors(histories: DataFrame, n: int, iterations: int = 200,
     grouped = settle(spread(grouped_histories(histories), "species", "h"))
     start = start_parameters(grouped, n).select("species", F.expr("array(psi1, phi[0], gamma[0], p[0])").alias("r"))
     thetas = start.select("species", F.transform("r", lambda x: F.ln(x / (1 - x))).alias("theta"))
-    fitted = fitting.accelerated(lambda t: _em_step(grouped, t, n), thetas, iterations=iterations, tolerance=tolerance)
-    full = fitting.with_errors(lambda t: _em_score(grouped, t, n), fitted)
+    step, score = (lambda t: _em_step(grouped, t, n)), (lambda t: _em_score(grouped, t, n))
+    full = fitting.with_errors(score, fitting.finished(step, score, thetas, iterations=iterations, tolerance=tolerance))
     rates = [clamp(1 / (1 + F.exp(-F.get("theta", F.lit(i))))).alias(c) for i, c in enumerate(_RATES)]
     return full.select("species", *rates, F.col("objective").alias("loglik"), "iterations", "converged", "errors")
 

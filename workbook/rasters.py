@@ -252,3 +252,38 @@ def albers_project(spark: SparkSession, sf: str) -> DataFrame:
     """Metres on an ellipsoidal Albers grid, rounded to millimetres."""
     x, y = albers_xy("raw_longitude", "raw_latitude", _CRS)
     return rounded(S.checklists(spark, sf).select("event_id", x.alias("x"), y.alias("y")), "x", "y", places=3)
+
+
+#: The pixels as a raster in degrees, and the cell size in metres of its projection.
+DEGREES, METRES = (-100.0, 48.0, 0.02), 1500.0
+_POLE, (_S2, _S4, _S6) = _CRS._q(1.5707963267948966), _CRS.series()
+_AREA = f"({1 - _CRS.e2!r}::double * ({{0}} / (1 - {_CRS.e2!r}::double * {{0}} * {{0}}) - ln((1 - {_E!r}::double * {{0}}) / (1 + {_E!r}::double * {{0}})) / (2 * {_E!r}::double)))"
+
+PROJECTED = f"""shape as (select max(prow) + 1 as h from pixels),
+ring as (select unnest(range(h + 1)) as r, 0 as c, h from shape union all select unnest(range(h + 1)), 100, h from shape
+  union all select 0, unnest(range(101)), h from shape union all select h, unnest(range(101)), h from shape),
+angled as (select h, radians({DEGREES[0]}::double + c * {DEGREES[2]}::double - ({_CRS.lon0}::double)) * {_N!r}::double as theta, sin(radians({DEGREES[1]}::double - r * {DEGREES[2]}::double)) as s from ring),
+polar as (select h, theta, {_CRS.radius!r}::double * sqrt({_C!r}::double - {_N!r}::double * {_AREA.format('s')}) / {_N!r}::double as rho from angled),
+box as (select h, floor(min(rho * sin(theta)) / {METRES}::double) * {METRES}::double as x0, ceil(max({_RHO0!r}::double - rho * cos(theta)) / {METRES}::double) * {METRES}::double as y1,
+  max(rho * sin(theta)) as x1, min({_RHO0!r}::double - rho * cos(theta)) as y0 from polar group by h),
+target as (select trow, unnest(range(cast(ceil((x1 - x0) / {METRES}::double) as bigint))) as tcol, x0, y1, h
+  from (select *, unnest(range(cast(ceil((y1 - y0) / {METRES}::double) as bigint))) as trow from box)),
+centres as (select trow, tcol, h, x0 + (tcol + 0.5::double) * {METRES}::double as x, {_RHO0!r}::double - (y1 - (trow + 0.5::double) * {METRES}::double) as up from target),
+areas as (select *, ({_C!r}::double - (x * x + up * up) * {_N**2!r}::double / {_CRS.radius**2!r}::double) / {_N!r}::double as q from centres),
+authalic as (select *, asin(q / {_POLE!r}::double) as b from areas),
+near as (select *, b + {_S2!r}::double * sin(2 * b) + {_S4!r}::double * sin(4 * b) + {_S6!r}::double * sin(6 * b) as f from authalic),
+located as (select trow, tcol, h, {_CRS.lon0}::double + degrees(atan2(x, up) / {_N!r}::double) as lon,
+  degrees(f + (q - {_AREA.format('sin(f)')}) * pow(1 - {_CRS.e2!r}::double * sin(f) * sin(f), 2) / (2 * {1 - _CRS.e2!r}::double * cos(f))) as lat from near),
+wanted as (select trow, tcol, h, (lon - ({DEGREES[0]}::double)) / {DEGREES[2]}::double - 0.5 as sx, ({DEGREES[1]}::double - lat) / {DEGREES[2]}::double - 0.5 as sy from located),
+corners as (select trow, tcol, least(greatest(floor(sy) + dr, 0), h - 1) as prow, least(greatest(floor(sx) + dc, 0), 99) as pcol,
+    (case dr when 1 then sy - floor(sy) else 1 - (sy - floor(sy)) end) * (case dc when 1 then sx - floor(sx) else 1 - (sx - floor(sx)) end) as w
+  from wanted, (values (0, 0), (0, 1), (1, 0), (1, 1)) d(dr, dc) where sx between -0.5 and 99.5 and sy between -0.5 and h - 0.5)"""
+
+
+@query(S.sql(S.PIXELS, PROJECTED, "select trow, tcol, round(sum(w * value) / sum(w), 5) as value from corners join pixels using (prow, pcol) where w > 0 group by 1, 2"))
+def project_raster(spark: SparkSession, sf: str) -> DataFrame:
+    """The pixels as a raster in degrees, projected to an ellipsoidal Albers grid."""
+    px = S.pixels(spark, sf).select("prow", "pcol", "value")
+    nrow, _ = raster.grid_shape(px)
+    out, _ = raster.project_raster(px, raster.Grid(*DEGREES, nrow, 100), _CRS, METRES)
+    return rounded(out, "value", places=5)
