@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldmark.session import checked_broadcast, settle
@@ -51,3 +51,17 @@ def grouped_row_number(
         .withColumn(name, (F.col("__shift") + local).cast("long"))
         .drop("__block", "__shift")
     )
+
+
+def places(df: DataFrame, order: Sequence[Column | str], name: str = "place") -> DataFrame:
+    """Number all rows 1..n in an order, by ranges: sorted as a whole, but never in one task.
+
+    Rows that tie in ``order`` are numbered in an arbitrary order.
+    """
+    ranged = settle(df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()))
+    sizes = ranged.groupBy("__part").agg(F.count("*").alias("__n"))
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = sizes.select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__shift"))
+    local = F.row_number().over(Window.partitionBy("__part").orderBy(*order))
+    numbered = ranged.withColumn("__local", local).join(checked_broadcast(shifts), "__part")
+    return numbered.withColumn(name, (F.col("__shift") + F.col("__local")).cast("long")).drop("__part", "__local", "__shift")

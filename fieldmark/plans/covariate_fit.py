@@ -291,18 +291,19 @@ def start_thetas(survey: Survey) -> DataFrame:
     return survey.codes.select("species", F.array(*map(F.lit, begin.tolist())).alias("theta"))
 
 
-def fit(survey: Survey, prior: DataFrame | None = None, start: DataFrame | None = None, iterations: int = 200, tolerance: float = 1e-4, leaps: bool = True, errors: bool = True) -> DataFrame:
+def fit(survey: Survey, prior: DataFrame | None = None, start: DataFrame | None = None, iterations: int = 200, tolerance: float = 1e-4, leaps: bool = True, errors: bool = True, warm: int = 10) -> DataFrame:
     """The posterior mode per species: (species, theta, objective, iterations, converged, errors, variances).
 
     ``theta`` follows ``survey.names``: the logit of the first year's occupancy, then intercept
     and slopes of persistence, colonisation and detection.  ``prior`` (code, mean, precision) defaults to a wide normal,
     which keeps coefficients finite where a species is seen at all visits or at none.  EM steps with
-    squared extrapolation come first, then Newton steps; without ``leaps`` plain EM steps alone.
+    squared extrapolation come first, for at most ``warm`` passes, then Newton steps (each reads the survey for
+    two shifts of every coefficient); without ``leaps`` plain EM steps alone.
     """
     prior = settle(flat_prior(survey) if prior is None else prior)
     step = lambda thetas: _evaluated(survey, prior, thetas)
     begin = start_thetas(survey) if start is None else start
-    fitted = fitting.finished(step, step, begin, iterations=iterations, tolerance=tolerance) if leaps else fitting.accelerated(step, begin, iterations=iterations, tolerance=tolerance, leaps=False)
+    fitted = fitting.finished(step, step, begin, iterations=iterations, tolerance=tolerance, warm=warm) if leaps else fitting.accelerated(step, begin, iterations=iterations, tolerance=tolerance, leaps=False)
     return fitting.with_errors(step, fitted) if errors else fitted
 
 

@@ -169,9 +169,9 @@ def finished(step: Step, score: Score, start: DataFrame, key: str = "species", i
     EM slows down where data say little; Newton steps do not, so that one which gains no more than ``gain``
     of the objective is the end.  ``iterations`` counts the passes of both.
     """
-    near = accelerated(step, start, key, min(warm, iterations), tolerance, gain=0.0)
     if iterations <= warm:
-        return near
+        return accelerated(step, start, key, iterations, tolerance)
+    near = accelerated(step, start, key, warm, tolerance, gain=0.0)
     # a row that EM has finished is confirmed by one Newton step
     end = accelerated(newton_steps(step, score, key), near.select(key, "theta"), key, iterations - warm, tolerance, leaps=False, gain=gain)
     before = near.select(key, F.col("iterations").alias("__before"))

@@ -23,6 +23,17 @@ def replace_table(df: DataFrame, path: str, partition_by: Sequence[str] = ()) ->
     balanced(df, partition_by).write.mode("overwrite").partitionBy(*partition_by).parquet(path)
 
 
+def replace_partitions(df: DataFrame, path: str, partition_by: Sequence[str]) -> None:
+    """Write the partitions that ``df`` has rows for anew and leave all others.
+
+    For a corrected release of one year: its rows are staged first and its folder is exchanged
+    when all are written, so a failed run leaves the old year and a repeated one changes nothing.
+    """
+    if not partition_by:
+        raise ValueError("name the partition columns")
+    balanced(df, partition_by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partition_by).parquet(path)
+
+
 def append_table(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
     balanced(df, partition_by).write.mode("append").partitionBy(*partition_by).parquet(path)
 

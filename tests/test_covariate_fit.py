@@ -234,3 +234,48 @@ def test_a_step_that_falls_is_halved_and_a_leap_that_falls_is_taken_back():
     assert row.here == [2.0] and row.good == [0.0] and row.best == -1.0 and not row.pure
     row = fitting.Row(a, -1.0, np.array([4.0]), np.array([1.0]), True, False, 3, False, False).after(float("nan"), np.array([9.0]), 1e-6, True)
     assert row.here == [1.0] and row.good == [0.0] and row.pure and not row.leaping
+
+
+def test_newton_steps_end_a_quadratic_at_once(spark):
+    goal, curve = np.array([1.0, -2.0]), np.array([[2.0, 0.5], [0.5, 1.0]])
+    row = lambda a: F.array(*[F.lit(float(x)) for x in a])
+    gaps = lambda t: t.withColumn("gap", F.zip_with("theta", row(goal), lambda x, g: x - g))
+    dot = lambda a: F.aggregate(F.zip_with(row(a), "gap", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    score = lambda t: gaps(t).select("species", F.array(*[-dot(c) for c in curve]).alias("score"))
+    objective = -0.5 * (F.get("gap", F.lit(0)) * dot(curve[0]) + F.get("gap", F.lit(1)) * dot(curve[1]))
+    step = lambda t: gaps(t).select("species", objective.alias("objective"), F.col("theta").alias("next"))
+    start = spark.createDataFrame([("a", [9.0, 9.0]), ("b", [0.0, 0.0])], "species string, theta array<double>")
+    for r in fitting.accelerated(fitting.newton_steps(step, score), start, leaps=False).collect():
+        assert r.converged and r.iterations <= 3 and r.theta == pytest.approx(goal.tolist(), abs=1e-6)
+    fitted = fitting.with_errors(score, start.withColumn("objective", F.lit(0.0))).first()
+    assert fitted.variances == pytest.approx(np.linalg.inv(curve).ravel().tolist(), rel=1e-5)
+
+
+def test_score_of_the_constant_model_is_the_gradient_of_its_likelihood(spark):
+    from fieldmark.plans import occupancy as O
+
+    r = random.Random(4)
+    rows = [("a", [(t := r.randint(0, 3), r.randint(0, t)) for _ in range(4)]) for _ in range(30)]
+    grouped = O.grouped_histories(spark.createDataFrame(rows, "species string, h array<struct<t:int,k:int>>"))
+    theta, h = [0.3, 0.8, -0.6, -0.2], 1e-4
+    around = fitting._scores_around(lambda t: O._em_score(grouped, t, 4), spark.createDataFrame([("a", theta)], "species string, theta array<double>"), "species", h).first()
+    slope, info = fitting.information(around["__scores"], h)
+
+    def loglik(theta):
+        psi, phi, gamma, p = (1 / (1 + math.exp(-x)) for x in theta)
+        total = 0.0
+        for _, years in rows:
+            like = 0.0
+            for path in itertools.product((0, 1), repeat=4):
+                q = psi if path[0] else 1 - psi
+                for i, (t, k) in enumerate(years):
+                    if i:
+                        up = phi if path[i - 1] else gamma
+                        q *= up if path[i] else 1 - up
+                    q *= p**k * (1 - p) ** (t - k) if path[i] else float(k == 0)
+                like += q
+            total += math.log(like)
+        return total
+
+    gradient, hessian = derivatives(loglik, np.array(theta))
+    assert slope == pytest.approx(gradient, abs=1e-4) and -info == pytest.approx(hessian, abs=1e-2)

@@ -738,9 +738,9 @@ def fit_covariates(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def fit_covariates_converged(spark: SparkSession, sf: str) -> DataFrame:
-    """The covariate model fitted to its end, with standard errors."""
+    """The covariate model fitted to its end under unit normal priors, with standard errors."""
     survey = _survey(spark, sf)
-    fit = settle(covariate_fit.fit(survey, tolerance=1e-3))
+    fit = settle(covariate_fit.fit(survey, covariate_fit.flat_prior(survey, 1.0), warm=200, tolerance=1e-2))
     long = covariate_fit.coefficients(survey, fit).join(fit.select("species", "objective", "iterations", "converged"), "species")
     return rounded(long, "estimate", "error", "objective", places=3)
 

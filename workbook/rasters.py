@@ -287,3 +287,37 @@ def project_raster(spark: SparkSession, sf: str) -> DataFrame:
     nrow, _ = raster.grid_shape(px)
     out, _ = raster.project_raster(px, raster.Grid(*DEGREES, nrow, 100), _CRS, METRES)
     return rounded(out, "value", places=5)
+
+
+#: Range maps: the suppliers of a nation are the vertices of its polygon, spread over the survey's extent.
+SPOTS = """spots as (select s_nationkey as poly_id, row_number() over (partition by s_nationkey order by s_suppkey) as seq, count(*) over (partition by s_nationkey) as n,
+    -100 + (s_suppkey * 37 % 300) * 0.1::double as x, 25 + (s_suppkey * 53 % 250) * 0.1::double as y from supplier),
+ranges as (select a.poly_id, a.x as x1, a.y as y1, b.x as x2, b.y as y2 from spots a join spots b on a.poly_id = b.poly_id and b.seq = a.seq % a.n + 1),
+chosen as (select * from ranges where poly_id % 3 in (1, 2) and 'Brand#' || (poly_id + 1) in (select species from species_info where mig_status <> 'Resident'))"""
+
+
+@query(
+    S.sql(
+        S.CHECKLISTS, S.SPECIES_INFO, SPOTS,
+        "spotted as (select raw_longitude::double + 0.03 as x, raw_latitude::double + 0.04 as y, count(*) as n from checklists group by 1, 2)",
+        """hit as (select x, y, n, poly_id from spotted, chosen where y >= least(y1, y2) and y < greatest(y1, y2) and x < x1 + (y - y1) * (x2 - x1) / (y2 - y1)
+          group by 1, 2, 3, 4 having count(*) % 2 = 1)""",
+        "select 'Brand#' || (poly_id + 1) as species, count(*) as n_places, sum(n)::bigint as n_lists from hit group by 1",
+    )
+)
+def range_maps(spark: SparkSession, sf: str) -> DataFrame:
+    """Checklists inside the range maps of the migrants, resident and breeding seasons only."""
+    from fieldmark.operators import ranges
+    from fieldmark.sources import polygons
+
+    vertices = S.table(spark, sf, "supplier").select(
+        F.col("s_nationkey").cast("long").alias("poly_id"), F.lit(1).alias("ring"), F.col("s_suppkey").alias("seq"),
+        (-100 + (F.col("s_suppkey") * 37 % 300) * 0.1).alias("x"), (25 + (F.col("s_suppkey") * 53 % 250) * 0.1).alias("y"),
+    )
+    edges = polygons.edges_from_vertices(vertices).withColumns({"SCINAME": F.format_string("Brand#%d", F.col("poly_id") + 1), "SEASONAL": (F.col("poly_id") % 3).cast("int")})
+    migrants = S.species_info(spark, sf).where("mig_status <> 'Resident'").select(F.col("species").alias("scientific_name"))
+    chosen = polygons.subset_by_species(edges, migrants, [1, 2])
+    spotted = S.checklists(spark, sf).select((F.col("raw_longitude").cast("double") + 0.03).alias("x"), (F.col("raw_latitude").cast("double") + 0.04).alias("y"))
+    found = ranges.points_in_polygons(spotted, chosen, ranges.Square(-101.0, 20.0, 32.0), levels=6)
+    counts = spotted.groupBy("x", "y").agg(F.count("*").alias("n"))
+    return found.join(counts, ["x", "y"]).groupBy(F.format_string("Brand#%d", F.col("poly_id") + 1).alias("species")).agg(F.count("*").alias("n_places"), F.sum("n").alias("n_lists"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fieldmark import schemas
-from fieldmark.operators import posterior, relational, replicates
+from fieldmark.operators import numbering, posterior, relational, replicates
 from fieldmark.plans import bundles
 from fieldmark.session import scratch_path
 from fieldmark.sources import checklists as files
@@ -158,12 +158,9 @@ def edges_round_trip(spark: SparkSession, sf: str) -> DataFrame:
     )
 )
 def sorted_by_levels(spark: SparkSession, sf: str) -> DataFrame:
-    """Sorted by a stated category order: the place after the sort, from the rows as they were written in order."""
-    path = scratch_path(spark, "sorted")
-    # one row per species: a small table, written as one sorted file
-    relational.sorted_by_levels(S.species_info(spark, sf), "mig_status", STATUS_ORDER, "species").coalesce(1).write.parquet(path)
-    rows = spark.read.parquet(path).select("*", F.monotonically_increasing_id().alias("place"))
-    return rows.select("species", "mig_status", (F.col("place") + 1).alias("rank"))
+    """Sorted by a stated category order: every row's place in it, numbered by ranges."""
+    ranked = numbering.places(S.species_info(spark, sf), [relational.level_rank("mig_status", STATUS_ORDER), "species"], "rank")
+    return ranked.select("species", "mig_status", "rank")
 
 
 @query(
@@ -264,3 +261,27 @@ def model_bundle(spark: SparkSession, sf: str) -> DataFrame:
     rows = b["visits"].join(seen, ["site", "year", "rep"], "left").join(b["sites"], ["site", "cell"]).join(b["site_years"], ["site", "cell", "year"])
     out = rows.select("site", "cell", "year_index", "rep", "n_list", "effort", n_species.alias("n_species"), "seen", "forest", "agri", "urban", "temp", "ppt")
     return rounded(out, "forest", "agri", "urban", "temp", "ppt")
+
+
+CORRECTED = 1998
+
+
+@query(
+    S.sql(
+        S.CHECKLISTS,
+        f"""released as (select event_id, year, effort from checklists where year <> {CORRECTED}
+          union all select event_id, year, case when event_id % 2 = 0 then effort * 2 else effort end from checklists where year = {CORRECTED} and event_id % 10 <> 0)""",
+        "select year, count(*) as n_lists, round(sum(effort)::double, 2) as effort from released group by 1",
+    )
+)
+def corrected_year(spark: SparkSession, sf: str) -> DataFrame:
+    """A corrected release of one year replaces that year of the table, twice over, and no other."""
+    path = scratch_path(spark, "releases")
+    lists = S.checklists(spark, sf).select("event_id", "year", "effort")
+    tables.replace_table(lists, path, ["year"])
+    fixed = F.when(F.col("event_id") % 2 == 0, F.col("effort") * 2).otherwise(F.col("effort")).cast("decimal(18,2)")
+    release = lists.where((F.col("year") == CORRECTED) & (F.col("event_id") % 10 != 0)).withColumn("effort", fixed)
+    for _ in range(2):
+        tables.replace_partitions(release, path, ["year"])
+    back = tables.read_table(spark, path)
+    return rounded(back.groupBy("year").agg(F.count("*").alias("n_lists"), F.sum("effort").alias("effort")), "effort", places=2)
