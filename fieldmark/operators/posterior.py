@@ -14,6 +14,8 @@ from fieldmark.operators.relational import null_safe_join
 from fieldmark.session import BROADCAST_ROWS, checked_broadcast, settle
 
 QUANTILES = (0.025, 0.25, 0.5, 0.75, 0.975)
+#: Bins of a histogram that narrows the bracket of a quantile, and rows that a bracket may end with.
+BINS, FEW = 256, 4_096
 
 
 def flatten_array(df: DataFrame, array: str, ids: Sequence[str], depth: int = 1, value: str = "value") -> DataFrame:
@@ -82,8 +84,9 @@ def _bracketed_quantiles(df: DataFrame, keys: list[str], quantiles: list[float],
 
     A mergeable sketch with rank error n / accuracy brackets each quantile; a
     slack of four errors on both sides leaves at least three ranks to spare.
-    Then one pass counts the rows below each bracket, and only the rows inside
-    it (about 10 n / accuracy) are ranked, ties first merged into one row.
+    Then one pass counts the rows below and inside each bracket (about 10 n / accuracy);
+    while a bracket holds more than FEW rows it is narrowed by a histogram, so that
+    no task ever ranks more than those, whatever the size of the group.
     """
     slack = 4.0 / accuracy
     probes = [max(0.0, q - slack) for q in quantiles] + [min(1.0, q + slack) for q in quantiles]
@@ -101,37 +104,68 @@ def _bracketed_quantiles(df: DataFrame, keys: list[str], quantiles: list[float],
     bracketed = df.drop("n").join(
         _hinted(settle(sketch.select(*keys, "n", F.array(*brackets).alias("__b"))), n_groups), keys
     )
-    below = (
-        bracketed.groupBy(*keys)
-        .agg(*[F.count_if(F.col("__v") < F.col("__b")[i]["lo"]).alias(str(i)) for i in range(len(quantiles))])
-        .unpivot(keys, [str(i) for i in range(len(quantiles))], "i", "__below")
-        .withColumn("i", F.col("i").cast("int"))
+    number = range(len(quantiles))
+    part = lambda i: F.col("__b")[i]
+    counts = bracketed.groupBy(*keys, "n", "__b").agg(
+        F.array(*[F.count_if(F.col("__v") < part(i)["lo"]) for i in number]).alias("__below"),
+        F.array(*[F.count_if(F.col("__v").between(part(i)["lo"], part(i)["hi"])) for i in number]).alias("__m"),
     )
-    inside = (
-        bracketed.select(
-            *keys, "n", "__v", F.inline(F.filter("__b", lambda b: F.col("__v").between(b["lo"], b["hi"])))
-        )
-        .groupBy(*keys, "n", "i", "q", "__v")
-        .agg(F.count("*").alias("__c"))
-        .join(below, [*keys, "i"])
-    )
-    upto = F.sum("__c").over(
-        Window.partitionBy(*keys, "i").orderBy("__v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    position = F.col("q") * (F.col("n") - 1)
-    ranked = inside.withColumns({"__pos": position, "__end": F.col("__below") + upto}).withColumn(
-        "__start", F.col("__end") - F.col("__c")
+    state = counts.select(*keys, "n", F.posexplode("__b").alias("__k", "__p"), "__below", "__m").select(
+        *keys, "n", F.col("__p.i").alias("i"), (F.col("__p.q") * (F.col("n") - 1)).alias("__pos"), F.col("__p.lo").alias("__lo"), F.col("__p.hi").alias("__hi"),
+        F.get("__below", "__k").alias("__below"), F.get("__m", "__k").alias("__m"), F.lit(None).cast("double").alias("__a"), F.lit(None).cast("double").alias("__z"),
     )
-    holds = lambda r: (F.col("__start") <= r) & (r < F.col("__end"))
-    left, right = F.floor("__pos"), F.ceil("__pos")
-    picked = ranked.groupBy(*keys, "n", "i", "__pos").agg(
-        F.max(F.when(holds(left), F.col("__v"))).alias("__a"), F.max(F.when(holds(right), F.col("__v"))).alias("__z")
-    )
-    value = F.when(
-        F.col("__a").isNull() | F.col("__z").isNull(), F.raise_error(F.lit("quantile bracket lost its rank"))
-    ).otherwise(F.col("__a") + (F.col("__pos") - F.floor("__pos")) * (F.col("__z") - F.col("__a")))
+    state = settle(state)
+    given = df.select(*keys, "__v")
+    while not state.where((F.col("__m") > FEW) & F.col("__a").isNull()).isEmpty():
+        state = settle(_refined(given, keys, state, n_groups * len(quantiles)))
+    return _picked(given, keys, state, n_groups * len(quantiles))
+
+
+def _inside(df: DataFrame, keys: list[str], state: DataFrame, rows: int) -> DataFrame:
+    """The values of each open bracket."""
+    brackets = state.where(F.col("__a").isNull()).select(*keys, "i", "__lo", "__hi")
+    packed = _hinted(brackets.groupBy(*keys).agg(F.collect_list(F.struct("i", "__lo", "__hi")).alias("__open")), rows)
+    return df.join(packed, keys).select(*keys, "__v", F.inline(F.filter("__open", lambda b: F.col("__v").between(b["__lo"], b["__hi"]))))
+
+
+def _refined(df: DataFrame, keys: list[str], state: DataFrame, rows: int) -> DataFrame:
+    """Every open bracket narrowed to the one of BINS equal bins that holds its rank, from counts that are combined map-side.
+
+    Where the two ranks around a quantile lie in different bins, they are the largest value
+    of one and the smallest of the next, and the quantile is known.
+    """
+    wide = F.col("__hi") - F.col("__lo")
+    # half the difference twice over: the whole one of two large doubles may be infinite
+    half = (F.col("__v") / 2 - F.col("__lo") / 2) / F.greatest(F.col("__hi") / 2 - F.col("__lo") / 2, F.lit(5e-324))
+    bin_of = F.when(wide > 0, F.least(F.lit(BINS - 1), F.floor(half * BINS))).otherwise(0).cast("int")
+    cells = _inside(df, keys, state, rows).groupBy(*keys, "i", bin_of.alias("__bin")).agg(F.count("*").alias("c"), F.min("__v").alias("v0"), F.max("__v").alias("v1"))
+    listed = cells.groupBy(*keys, "i").agg(F.array_sort(F.collect_list(F.struct("__bin", "c", "v0", "v1"))).alias("__cells"))  # at most BINS
+    zero = F.lit(0).cast("long")
+    ends = F.aggregate("__cells", F.array().cast("array<bigint>"), lambda a, c: F.concat(a, F.array(F.coalesce(F.try_element_at(a, F.lit(-1)), zero) + c["c"])))
+    found = state.join(listed, [*keys, "i"], "left").withColumn("__ends", F.transform(ends, lambda e: e + F.col("__below")))
+    at = lambda rank: F.size(F.filter("__ends", lambda e: e <= rank))
+    placed = found.withColumns({"__l": at(F.floor("__pos")), "__r": at(F.ceil("__pos"))})
+    cell = lambda k: F.get("__cells", F.col(k))
+    open_, apart = F.col("__a").isNull(), F.col("__l") != F.col("__r")
+    before = F.when(F.col("__l") > 0, F.get("__ends", F.col("__l") - 1)).otherwise(F.col("__below"))
+    same = cell("__l")["v0"] == cell("__l")["v1"]
+    return placed.select(
+        *keys, "n", "i", "__pos",
+        F.when(open_, cell("__l")["v0"]).otherwise(F.col("__lo")).alias("__lo"), F.when(open_, cell("__l")["v1"]).otherwise(F.col("__hi")).alias("__hi"),
+        F.when(open_, before).otherwise(F.col("__below")).alias("__below"), F.when(open_, cell("__l")["c"]).otherwise(F.col("__m")).alias("__m"),
+        F.when(open_, F.when(apart | same, cell("__l")["v1"])).otherwise(F.col("__a")).alias("__a"), F.when(open_, F.when(apart | same, cell("__r")["v0"])).otherwise(F.col("__z")).alias("__z"),
+    )
+
+
+def _picked(df: DataFrame, keys: list[str], state: DataFrame, rows: int) -> DataFrame:
+    """The quantiles, where a bracket is still open from its few values in order."""
+    values = _inside(df, keys, state, rows).groupBy(*keys, "i").agg(F.sort_array(F.collect_list("__v")).alias("__few"))
+    held = state.join(values, [*keys, "i"], "left")
+    rank = lambda r: F.get("__few", (r - F.col("__below")).cast("int"))
+    a, z = F.coalesce("__a", rank(F.floor("__pos"))), F.coalesce("__z", rank(F.ceil("__pos")))
+    value = F.when(a.isNull() | z.isNull(), F.raise_error(F.lit("quantile bracket lost its rank"))).otherwise(a + (F.col("__pos") - F.floor("__pos")) * (z - a))
     packed = F.transform(F.array_sort(F.collect_list(F.struct("i", value.alias("v")))), lambda x: x["v"])
-    return picked.groupBy(*keys, "n").agg(packed.alias("quantiles"))
+    return held.groupBy(*keys, "n").agg(packed.alias("quantiles"))
 
 
 def posterior_summary(draws: DataFrame, keys: Sequence[str] = ("parameter",), value: str = "value") -> DataFrame:

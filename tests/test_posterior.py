@@ -92,3 +92,20 @@ def test_flatten_keeps_true_indices(spark):
     df = spark.createDataFrame([(1, [[1.0, 2.0, 3.0], [4.0, 5.0, 6.0]])], "sim int, a array<array<double>>")
     got = {(r.i1, r.i2): r.value for r in D.flatten_array(df, "a", ["sim"], 2).collect()}
     assert got[(2, 1)] == 4.0 and got[(1, 3)] == 3.0 and len(got) == 6
+
+
+@pytest.mark.parametrize("few, bins", [(1, 2), (3, 16)])
+def test_narrowed_brackets_give_the_same_quantiles(spark, monkeypatch, few, bins):
+    """Brackets narrowed to the end: ties, outliers, infinities' neighbours and one-value groups."""
+    import numpy as np
+
+    from fieldmark.operators import posterior
+
+    monkeypatch.setattr(posterior, "FEW", few)
+    monkeypatch.setattr(posterior, "BINS", bins)
+    r = np.random.default_rng(1)
+    groups = {"even": r.normal(size=300), "ties": r.integers(0, 4, 200) * 1.0, "far": np.concatenate((r.normal(size=150), [1e300, -1e300, 1e308, -1e308])), "same": np.full(120, 2.5)}
+    df = spark.createDataFrame([(k, float(v)) for k, vs in groups.items() for v in vs], "parameter string, value double")
+    got = {x.parameter: x.quantiles for x in posterior.exact_quantiles(df, ["parameter"], accuracy=50).collect()}
+    for k, vs in groups.items():
+        assert got[k] == pytest.approx(np.quantile(vs, posterior.QUANTILES), rel=1e-12, abs=1e-12), k

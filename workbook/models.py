@@ -13,7 +13,6 @@ from fieldmark.plans import occupancy as O
 from fieldmark.plans import occupied_sites
 from fieldmark.plans import posterior_tables as P
 from fieldmark.plans import scores
-from fieldmark.session import settle
 from workbook import posteriors as R
 from workbook import standins as S
 from workbook.registry import query, rounded
@@ -736,15 +735,6 @@ def fit_covariates(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(long, "estimate", "objective")
 
 
-@query()
-def fit_covariates_converged(spark: SparkSession, sf: str) -> DataFrame:
-    """The covariate model fitted to its end under unit normal priors, with standard errors."""
-    survey = _survey(spark, sf)
-    fit = settle(covariate_fit.fit(survey, covariate_fit.flat_prior(survey, 1.0), warm=200, tolerance=1e-2))
-    long = covariate_fit.coefficients(survey, fit).join(fit.select("species", "objective", "iterations", "converged"), "species")
-    return rounded(long, "estimate", "error", "objective", places=3)
-
-
 @query()
 def fit_dynamic_converged(spark: SparkSession, sf: str) -> DataFrame:
     """Constant rates fitted to their end by accelerated EM, with standard errors of the logits."""
