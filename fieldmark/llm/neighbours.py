@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from fieldmark.llm.common import changes, query, table, whole_groups
+from fieldmark.llm.common import changes, query, release, table, whole_groups
 from fieldmark.llm.vectors import matrix, usable
 from fieldmark.session import settle, spread
 
@@ -173,6 +173,7 @@ def build(df: DataFrame, key: str, vector: str, neighbours: int = NEIGHBOURS, ro
         edges = settle(best.withColumn("r", F.row_number().over(order)).where(F.col("r") <= neighbours).select("u", "v", "s", "old"))
         new, total = edges.agg(F.coalesce(F.sum(1 - F.col("old")), F.lit(0)), F.count("*")).first()
         edges = edges.select("u", "v", "s")
+        release(df.sparkSession)  # the round before: its checkpoint, shuffles and plans
         if new <= SETTLED * total:
             break
     if new > SETTLED * total:
@@ -235,6 +236,7 @@ def search(index: Index, queries: DataFrame, k: int, beam: int = BEAM, exact: in
             found = _expand(frontier, graph).withColumn("done", F.lit(0)).unionAll(state.withColumn("done", F.lit(1)))
             merged = found.groupBy("q", "node").agg(F.max("s").alias("s"), F.max("done").alias("done"))
             state = settle(merged.withColumn("r", F.row_number().over(best)).where(F.col("r") <= beam).drop("r"))
+            release(state.sparkSession)
             if state.where("done = 0").isEmpty():
                 break
         else:
