@@ -27,6 +27,8 @@ LEAST, GRAM = 200, 64
 CUT_BYTES = 250_000
 #: Surroundings of one k-gram that are sorted together; more are compared by the hashes of their strings.
 TOGETHER = 8_000
+#: Anchors that a task gathers by k-gram and surroundings before they are shuffled.
+GATHERED = 100_000
 
 _POWERS = [int(x) | 1 for x in np.random.default_rng(5).integers(1 << 62, 1 << 63, 8, dtype=np.int64)]
 _BYTES = np.random.default_rng(3).integers(0, 1 << 63, 256, dtype=np.int64).astype(np.uint64)
@@ -97,31 +99,64 @@ def anchors(texts: list[bytes], least: int = LEAST, gram: int = GRAM) -> tuple[n
     return owner[~twice], place[~twice], code[~twice]
 
 
-def _signed(h: np.ndarray) -> pa.Array:
-    return pa.array(h.view(np.int64))
+#: Anchors of one k-gram that a task met together: a list of surroundings, each with all its places.
+_MORE = pa.list_(pa.struct([("around", pa.int64()), ("right", pa.int16()), ("places", pa.list_(pa.struct([("doc", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("pos", pa.int32())])))]))
+_ANCHORS = pa.schema([("gram", pa.int64()), ("around", pa.int64()), ("right", pa.int16()), ("doc", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("pos", pa.int32()), ("more", _MORE)])
+
+
+def _gathered(columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """Anchors (gram, around, right, doc, a, b, pos) by k-gram: one alone in its columns, several in ``more``, by ascending surroundings."""
+    order = np.lexsort((columns[1], columns[0]))
+    gram, around, right, doc, a, b, pos = columns = [c[order] for c in columns]
+    starts = np.flatnonzero(np.append(True, gram[1:] != gram[:-1]))
+    sizes = np.diff(np.append(starts, len(gram)))
+    alone = starts[sizes == 1]
+    if len(alone):
+        yield pa.RecordBatch.from_arrays([*(pa.array(c[alone]) for c in columns), pa.nulls(len(alone), _MORE)], schema=_ANCHORS)
+    if len(alone) < len(starts):
+        several = np.repeat(sizes > 1, sizes)
+        gram, around, right, doc, a, b, pos = (c[several] for c in columns)
+        new_gram = np.append(True, gram[1:] != gram[:-1])
+        kinds = np.flatnonzero(new_gram | np.append(True, around[1:] != around[:-1]))
+        grams = np.flatnonzero(new_gram[kinds])
+        places = pa.StructArray.from_arrays([pa.array(c) for c in (doc, a, b, pos)], fields=list(_MORE.value_type.field("places").type.value_type))
+        lists = pa.ListArray.from_arrays(pa.array(np.append(kinds, len(gram)).astype(np.int32)), places)
+        found = pa.StructArray.from_arrays([pa.array(around[kinds]), pa.array(right[kinds]), lists], fields=list(_MORE.value_type))
+        more = pa.ListArray.from_arrays(pa.array(np.append(grams, len(kinds)).astype(np.int32)), found)
+        yield pa.RecordBatch.from_arrays([pa.array(gram[kinds[grams]]), *(pa.nulls(len(grams), f.type) for f in list(_ANCHORS)[1:7]), more], schema=_ANCHORS)
 
 
 def _find_anchors(docs: DataFrame, least: int, gram: int) -> DataFrame:
-    """doc, a, b (hashes of the text), pos, right (bytes from the anchor on), gram, around (hash of the surroundings)."""
+    """Anchors by k-gram: gram, around (hash of the surroundings), right (bytes from the anchor on), doc, a, b (hashes of the text), pos, more.
+
+    What a task finds is gathered first, so a k-gram that stands in very many
+    texts has a row for every ``GATHERED`` anchors of a task, not for each place.
+    """
 
     def run(batches):
         from xxhash import xxh3_64_intdigest
 
+        held, size = [], 0
         for batch in batches:
             for cut in slices(batch, "text"):
                 texts = [t.encode() if t else b"" for t in cut.column("text").to_pylist()]
                 owner, place, code = anchors(texts, least, gram)
+                if not len(owner):
+                    continue
                 left = np.minimum(place, least - gram)
-                size = np.array([len(t) for t in texts], np.int64)
-                right = np.minimum(size[owner] - place, least) if len(owner) else np.zeros(0, np.int64)
+                right = np.minimum(np.array([len(t) for t in texts], np.int64)[owner] - place, least)
                 around = np.fromiter((xxh3_64_intdigest(texts[o][p - x : p + y], x) for o, p, x, y in zip(owner.tolist(), place.tolist(), left.tolist(), right.tolist())), np.uint64, len(owner))
-                take = pa.array(owner)
-                yield pa.RecordBatch.from_arrays(
-                    [*(cut.column(c).take(take) for c in ("doc", "a", "b")), pa.array(place.astype(np.int32)), pa.array(right.astype(np.int16)), _signed(code), _signed(around)],
-                    names=["doc", "a", "b", "pos", "right", "gram", "around"],
-                )
+                named = [cut.column(c).to_numpy()[owner] for c in ("doc", "a", "b")]
+                held.append([code.view(np.int64), around.view(np.int64), right.astype(np.int16), *named, place.astype(np.int32)])
+                size += len(owner)
+                if size >= GATHERED:
+                    yield from _gathered([np.concatenate(c) for c in zip(*held)])
+                    held, size = [], 0
+        if held:
+            yield from _gathered([np.concatenate(c) for c in zip(*held)])
 
-    return docs.mapInArrow(run, "doc long, a long, b long, pos int, right short, gram long, around long")
+    more = "array<struct<around: long, right: short, places: array<struct<doc: long, a: long, b: long, pos: int>>>>"
+    return docs.mapInArrow(run, f"gram long, around long, right short, doc long, a long, b long, pos int, more {more}")
 
 
 def _surroundings(docs: DataFrame, asked: DataFrame, least: int, gram: int) -> DataFrame:
@@ -286,10 +321,14 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", lea
     """
     spark, rows = docs.sparkSession, _keyed(docs, key, text)
     found = stored(_find_anchors(rows, least, gram), "anchors")
-    grams = found.groupBy("gram").agg(F.count("*").alias("n"), F.min("around").alias("x"), F.max("around").alias("y")).where("n > 1")
-    shared = stored(found.join(grams.select("gram", (F.col("x") == F.col("y")).alias("same")), "gram"), "shared")
+    low, high = F.coalesce("around", F.element_at("more.around", 1)), F.coalesce("around", F.element_at("more.around", -1))
+    grams = found.groupBy("gram").agg(F.count("*").alias("n"), F.max(F.col("more").isNotNull()).alias("several"), F.min(low).alias("x"), F.max(high).alias("y")).where("n > 1 or several")
+    one = F.array(F.struct("around", "right", F.array(F.struct("doc", "a", "b", "pos")).alias("places")))
+    both = found.join(grams.select("gram", (F.col("x") == F.col("y")).alias("same")), "gram")
+    shared = stored(both.select("gram", "same", F.explode(F.coalesce("more", one)).alias("kind")).select("gram", "same", "kind.*"), "shared")
     discard(found)
-    kinds = stored(shared.where("not same").groupBy("gram", "around").agg(F.count("*").alias("n"), F.min(F.struct("doc", "a", "b", "pos")).alias("one")), "kinds")
+    kinds = shared.where("not same").groupBy("gram", "around").agg(F.sum(F.size("places")).alias("n"), F.min(F.array_min("places")).alias("one"))
+    kinds = stored(kinds, "kinds")
     open_ = kinds.groupBy("gram").agg(F.min("n").alias("fewest"), F.count("*").alias("kinds")).where("fewest = 1").select("gram", "kinds")
     asked = kinds.join(open_, "gram").select("one.doc", "one.a", "one.b", "one.pos", "gram", "around", "n", "kinds")
     release(spark)
@@ -299,8 +338,10 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", lea
     release(spark)
     left = F.least(F.col("pos"), F.lit(least - gram))
     full = shared.join(kinds.where("n > 1").select("gram", "around"), ["gram", "around"], "left_semi").unionByName(shared.where("same"))
-    full = full.select("a", "b", (F.col("pos") - left).alias("start"), (F.col("pos") - F.greatest(F.lit(0), F.lit(least) - F.col("right")) + least).alias("stop"))
-    part = shared.where("not same").join(ranges, ["gram", "around"]).select("a", "b", (F.col("pos") - F.col("high")).alias("start"), (F.col("pos") - F.col("low") + least).alias("stop"))
+    full = full.select("right", F.inline("places")).select("a", "b", (F.col("pos") - left).alias("start"), (F.col("pos") - F.greatest(F.lit(0), F.lit(least) - F.col("right")) + least).alias("stop"))
+    # (only surroundings that occur once are in ranges)
+    part = shared.where("not same").join(ranges, ["gram", "around"]).select("low", "high", F.inline("places"))
+    part = part.select("a", "b", (F.col("pos") - F.col("high")).alias("start"), (F.col("pos") - F.col("low") + least).alias("stop"))
     return full.unionAll(part).groupBy("a", "b").agg(F.collect_set(F.struct(F.col("start").cast("long").alias("start"), F.col("stop").cast("long").alias("stop"))).alias("spans"))
 
 
