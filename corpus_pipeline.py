@@ -13,9 +13,10 @@ from pyspark.sql import types as T
 
 from fieldmark.llm import line_dedup, packing, quality, repeats, simhash
 from fieldmark.llm.common import ship, stored, table, vocabulary
+from fieldmark.session import checked_broadcast
 
-#: Documents' shingles of five words that agree in 0.8 or more are near copies.
-SHINGLE_WORDS, SIMILARITY = 5, 0.8
+#: Near copies: SimHash of shingles of four words, 64 bits in 5 segments, 4 differing bits at most.
+SHINGLE_WORDS, BITS, SEGMENTS, DISTANCE = 4, 64, 5, 4
 SEQUENCE_TOKENS, END_ID = 4_096, 1
 
 
@@ -47,14 +48,20 @@ def without_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near copies; texts without a word are no copies of one another."""
+    """The document with the smallest id of each group that the SimHash near-dedup operator links; texts without a word are copies of one another.
+
+    Rows without an id, or with one that other rows have too, are known by their
+    text instead: equal ones are one document, other texts under the same id are
+    judged by themselves.  They stay only where no row of the group has an id of its own.
+    """
     ship(spark)
-    worded = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
-    named = docs.withColumn("__id", simhash.row_id("doc_id", "text"))
-    groups = simhash.similar_documents(named.where(worded), words=SHINGLE_WORDS, similarity=SIMILARITY)
+    own = F.col("doc_id").cast("long")
+    again = docs.groupBy(own.alias("__doc")).agg(F.count("*").alias("__n")).where("__doc is not null and __n > 1")
+    named = docs.join(checked_broadcast(again), own == F.col("__doc"), "left")
+    named = named.withColumn("__key", F.when(F.col("__n").isNull(), own)).withColumn("__id", simhash.row_id("__key", "text"))
+    groups = simhash.near_duplicates(named, SHINGLE_WORDS, BITS, SEGMENTS, DISTANCE, key="__key")
     first = groups.where("id = label").select(F.col("id").alias("__id")).distinct()
-    kept = named.where(worded).join(first, "__id", "left_semi").dropDuplicates(["__id"])
-    return kept.select(*docs.columns).unionByName(named.where(~worded).select(*docs.columns))
+    return named.join(first, "__id", "left_semi").dropDuplicates(["__id"]).select(*docs.columns)
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
