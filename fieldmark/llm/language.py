@@ -60,7 +60,7 @@ class Model:
         if self._places is None:
             self._places, base = [], 1
             for n, grams in zip(LENGTHS, self.grams):
-                t = np.zeros(1 << (8 * n), np.uint16)
+                t = np.zeros(1 << (8 * n), np.min_scalar_type(len(self.landmarks)))
                 t[grams] = np.arange(base, base + len(grams))
                 base += len(grams)
                 self._places.append(t)
@@ -97,8 +97,6 @@ def learn(texts: list[str], langs: list[str], landmarks: int = LANDMARKS) -> Mod
     for k in range(len(LENGTHS)):
         value, count = np.unique(np.concatenate([s[k] for s in sets]), return_counts=True)
         grams.append(value[count >= min(IN_LANDMARKS, len(picked))])
-    if sum(map(len, grams)) >= 1 << 16:
-        raise ValueError("fewer landmarks or n-grams are needed")
     held = np.concatenate([np.concatenate([np.isin(g, s[k]) for k, g in enumerate(grams)])[:, None] for s in sets], axis=1).astype(np.float32)
     model = Model(languages, grams, held, np.zeros((len(picked), len(languages))), np.zeros(len(languages)))
     among = model.kernel(held.T.copy())
