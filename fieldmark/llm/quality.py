@@ -105,7 +105,8 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     calibration = sample_of(known.where("hash % 2 <> 0"), "hash", CALIBRATION_TEXTS)
     chosen = dict_ids[0].unionAll(dict_ids[1]).withColumn("use", F.lit(0)).unionAll(calibration.withColumn("use", F.lit(1)))
     rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
-    taught = rows.join(F.broadcast(chosen), "id")  # a bounded number of ids
+    # a bounded number of ids, and one text of each: that with the smallest hash
+    taught = rows.join(F.broadcast(chosen), "id").groupBy("id", "use").agg(F.min(F.struct(F.xxhash64("text").alias("first"), "label", "hash", "text")).alias("one")).select("id", "use", "one.*")
 
     def cut(batches):
         for batch in batches:
