@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -213,180 +211,6 @@ def near_duplicates(docs: DataFrame, words: int = 5, bits: int = 64, segments: i
     return prints.join(labelled, named)
 
 
-#: Bits of the fingerprints that go with candidate keys, and the deviations that a pair of the wanted similarity stays within.
-WIDE_BITS, WIDE_DEVIATIONS = 256, 7
-#: Keys of a set of shingles, each of so many smallest hashes: sets of similarity s share one with probability 1 - (1 - s ** 4) ** 20.
-BANDS, BAND_ROWS = 20, 4
-#: Shingles of one side that a task compares exactly; larger groups of candidates are dealt in chunks.
-CHUNK_SHINGLES = 500_000
-#: Shingles that are put through all hash functions at once.
-MIX_AT_ONCE = 4_096
-
-
-def distance_for(similarity: float, bits: int, deviations: float) -> int:
-    """Differing bits that nearly all pairs of this shingle similarity stay below.
-
-    A share acos(2 s / (1 + s)) / pi of the bits differs on average.
-    """
-    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    return math.floor(bits * p + deviations * math.sqrt(bits * p * (1 - p)))
-
-
-def band_keys(shingles: np.ndarray) -> np.ndarray:
-    """BANDS numbers of a set of shingle hashes, each from the smallest values of BAND_ROWS hash functions."""
-    rng = np.random.default_rng(17)
-    factors = rng.integers(0, 1 << 63, BANDS * BAND_ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
-    offsets = rng.integers(0, 1 << 63, BANDS * BAND_ROWS, np.uint64)
-    low = np.full(BANDS * BAND_ROWS, np.iinfo(np.uint64).max)
-    for i in range(0, len(shingles), MIX_AT_ONCE):
-        low = np.minimum(low, (shingles[i : i + MIX_AT_ONCE, None] * factors + offsets).min(0))
-    low = low.reshape(BANDS, BAND_ROWS)
-    key = np.arange(BANDS, dtype=np.uint64)
-    for k in range(BAND_ROWS):
-        key = (key ^ low[:, k]) * np.uint64(FACTORS[0])
-        key = key ^ (key >> np.uint64(32))
-    return key.view(np.int64)
-
-
-class Bands:
-    """Candidates by shared band keys; a pair is dropped if its fingerprints differ in more than ``tau`` bits."""
-
-    def __init__(self, bits: int, tau: int):
-        self.words, self.tau = bits // 64, tau
-
-    def keyed(self, prints: DataFrame) -> DataFrame:
-        """Each fingerprint under all its keys: bucket, ring (always 0) and its columns."""
-        return prints.select(F.explode("bands").alias("bucket"), F.lit(0).alias("ring"), "node", *(f"f{k}" for k in range(self.words)))
-
-    def close(self, prints: np.ndarray, ring: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        near = np.bitwise_count(prints[left] ^ prints[right]).sum(1) <= self.tau
-        return left[near], right[near]
-
-
-def _set_of(text: str | None, words: int) -> tuple[np.ndarray, int]:
-    """The distinct shingle hashes of a text, ascending, and a 64-bit name of this set."""
-    from xxhash import xxh3_64_intdigest
-
-    shingles = np.unique(shingle_hashes(text, words))
-    return shingles, int(np.uint64(xxh3_64_intdigest(shingles.astype("<u8").tobytes())).view(np.int64))
-
-
-def shingle_prints(docs: DataFrame, words: int, key: str, text: str) -> DataFrame:
-    """One row per document: id (row_id), key, node (names its set of shingles), size, f0, ..., bands."""
-    named = [f"f{k}" for k in range(WIDE_BITS // 64)]
-    rows = docs.select(row_id(key, text).alias("id"), F.col(key).cast("long").alias(key), F.col(text).cast("string").alias("__text"))
-
-    def run(batches):
-        for batch in batches:
-            for cut in slices(batch, "__text"):
-                sets = [_set_of(t, words) for t in cut.column("__text").to_pylist()]
-                found = [fingerprint(s, WIDE_BITS) for s, _ in sets]
-                cols = [pa.array([n for _, n in sets], pa.int64()), pa.array([len(s) for s, _ in sets], pa.int64())]
-                cols += [pa.array([f[k] for f in found], pa.int64()) for k in range(len(named))]
-                bands = pa.array([band_keys(s) for s, _ in sets], pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([cut.column("id"), cut.column(key), *cols, bands], names=["id", key, "node", "size", *named, "bands"])
-
-    return rows.mapInArrow(run, ", ".join(["id long", f"{key} long", "node long", "size long", *(f"{n} long" for n in named), "bands array<long>"]))
-
-
-def similar_sets(sets: list[np.ndarray], side: np.ndarray, similarity: float, found: Forest, base: int, across: bool) -> None:
-    """Join in ``found`` all sets of this similarity; of two chunks (``across``) only pairs of both sides.
-
-    Intersections are counted from each shingle's list of sets.  A set is passed over
-    once it is joined with all that it could be joined with.
-    """
-    sizes = np.fromiter(map(len, sets), np.int64, len(sets))
-    start = np.cumsum(sizes) - sizes
-    _, term = np.unique(np.concatenate(sets), return_inverse=True)
-    owner = np.repeat(np.arange(len(sets)), sizes)[np.argsort(term, kind="stable")]
-    count = np.bincount(term)
-    first = np.cumsum(count) - count
-    place = found.index[base : base + len(sets)]
-    for x in range(len(sets)):
-        open_ = found.root[place] != found.root[place[x]]
-        open_[: x + 1] = False
-        if across:
-            open_ &= side != side[x]
-        open_ &= np.minimum(sizes, sizes[x]) >= similarity * np.maximum(sizes, sizes[x])
-        if not open_.any():
-            continue
-        terms = term[start[x] : start[x] + sizes[x]]
-        terms = terms[count[terms] > 1]
-        n = count[terms]
-        at = np.repeat(first[terms] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        both = np.bincount(owner[at], minlength=len(sets))
-        like = np.flatnonzero(open_ & (both / (sizes + sizes[x] - both) >= similarity))
-        found.add(np.full(len(like), base + x), base + like)
-
-
-def verified_links(docs: DataFrame, firsts: DataFrame, groups: DataFrame, words: int, similarity: float, key: str, text: str) -> DataFrame:
-    """Links (a, b) that join all nodes of a group whose sets of shingles have this Jaccard similarity.
-
-    ``firsts`` (node, id, size) names a row that has the node's text, ``groups``
-    (node, component) the groups of candidates.  A task compares whole groups;
-    larger ones are dealt in chunks by a hash and a task compares two chunks.
-    """
-    members = groups.join(firsts, "node").select("node", "id", "size", "component")
-    chunks = members.groupBy("component").agg(F.ceil(F.greatest(F.sum("size") / CHUNK_SHINGLES, F.count("*") / CHUNK)).cast("int").alias("chunks"))
-    wanted = checked_broadcast(members.join(chunks, "component").select("id", "node", "component", "chunks"))
-    texts = docs.select(row_id(key, text).alias("id"), F.col(text).cast("string").alias("__text")).join(wanted, "id")
-
-    def sets(batches):
-        for batch in batches:
-            for cut in slices(batch, "__text"):
-                found = [_set_of(t, words) for t in cut.column("__text").to_pylist()]
-                # rows that share an id can have other texts
-                own = np.array([n for _, n in found], np.int64) == cut.column("node").to_numpy()
-                kept = cut.filter(pa.array(own))
-                data = pa.array([s.astype("<u8").tobytes() for (s, _), o in zip(found, own) if o], pa.binary())
-                yield pa.RecordBatch.from_arrays([*(kept.column(c) for c in ("component", "node", "chunks")), data], names=["component", "node", "chunks", "shingles"])
-
-    rows = texts.mapInArrow(sets, "component long, node long, chunks int, shingles binary").dropDuplicates(["node"])
-    own = F.pmod(F.xxhash64("node", F.lit("chunk")), F.col("chunks")).cast("int")
-    dealt = (
-        rows.withColumn("own", own)
-        .select("component", "node", "shingles", "own", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other"))
-        .select("component", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "shingles")
-        .repartition("component", "i", "j")
-        .sortWithinPartitions("component", "i", "j", "own", "node")
-    )
-
-    def run(batches):
-        for whole in whole_groups(batches, ["component", "i", "j"], 1):
-            node, side = whole.column("node").to_numpy(), whole.column("own").to_numpy()
-            across = whole.column("i").to_numpy() != whole.column("j").to_numpy()
-            data = [np.frombuffer(x, "<u8") for x in whole.column("shingles").to_pylist()]
-            found = Forest(node)
-            bounds = [0, *changes(whole, ["component", "i", "j"]).tolist(), len(whole)]
-            for a, b in zip(bounds, bounds[1:]):
-                similar_sets(data[a:b], side[a:b], similarity, found, a, bool(across[a]))
-            a, b = found.links()
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
-
-    return dealt.mapInArrow(run, "a long, b long")
-
-
-def similar_documents(docs: DataFrame, words: int, similarity: float, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Class of every document: id, key, label (smallest id reachable by links).
-
-    Documents are linked if the Jaccard similarity of their sets of ``words``-word
-    shingles is ``similarity`` or more.  Pairs that share a band key and whose
-    SimHash fingerprints are not far apart join groups of candidates; within a
-    group every link is verified on the sets themselves.  Texts without a word
-    have the empty set and are one node.
-    """
-    named = [f"f{k}" for k in range(WIDE_BITS // 64)]
-    prints = settle(shingle_prints(docs, words, key, text))
-    nodes = settle(prints.groupBy("node").agg(F.min("id").alias("id"), F.first("size").alias("size"), *(F.first(n).alias(n) for n in named), F.first("bands").alias("bands")))
-    near = Bands(WIDE_BITS, distance_for(similarity, WIDE_BITS, WIDE_DEVIATIONS))
-    groups = components(links(nodes.where("size > 0"), near))
-    groups = groups.unionAll(groups.select(F.col("component").alias("node"), "component").distinct())
-    least = components(verified_links(docs, nodes.select("node", "id", "size"), groups, words, similarity, key, text))
-    joined = nodes.select("node", "id").join(least, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    lowest = joined.groupBy("component").agg(F.min("id").alias("label"))
-    return prints.select("id", key, "node").join(joined.select("node", "component").join(lowest, "component").select("node", "label"), "node").select("id", key, "label")
-
-
 @query()
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"), words=4, bits=64, segments=5, distance=4)
