@@ -323,9 +323,11 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", lea
     found = stored(_find_anchors(rows, least, gram), "anchors")
     low, high = F.coalesce("around", F.element_at("more.around", 1)), F.coalesce("around", F.element_at("more.around", -1))
     grams = found.groupBy("gram").agg(F.count("*").alias("n"), F.max(F.col("more").isNotNull()).alias("several"), F.min(low).alias("x"), F.max(high).alias("y")).where("n > 1 or several")
-    one = F.array(F.struct("around", "right", F.array(F.struct("doc", "a", "b", "pos")).alias("places")))
-    both = found.join(grams.select("gram", (F.col("x") == F.col("y")).alias("same")), "gram")
-    shared = stored(both.select("gram", "same", F.explode(F.coalesce("more", one)).alias("kind")).select("gram", "same", "kind.*"), "shared")
+    # anchors that a task met several of need no look at the others of their k-gram: only single ones move
+    single = found.where("more is null").join(grams.select("gram", (F.col("x") == F.col("y")).alias("same")), "gram")
+    single = single.select("gram", "same", "around", "right", F.array(F.struct("doc", "a", "b", "pos")).alias("places"))
+    several = found.where("more is not null").select("gram", F.lit(False).alias("same"), F.inline("more"))
+    shared = stored(single.unionByName(several), "shared")
     discard(found)
     kinds = shared.where("not same").groupBy("gram", "around").agg(F.sum(F.size("places")).alias("n"), F.min(F.array_min("places")).alias("one"))
     kinds = stored(kinds, "kinds")
@@ -337,10 +339,11 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", lea
     discard(around)
     release(spark)
     left = F.least(F.col("pos"), F.lit(least - gram))
-    full = shared.join(kinds.where("n > 1").select("gram", "around"), ["gram", "around"], "left_semi").unionByName(shared.where("same"))
+    sure = F.col("same") | (F.size("places") > 1)
+    full = shared.where(~sure).join(kinds.where("n > 1").select("gram", "around"), ["gram", "around"], "left_semi").unionByName(shared.where(sure))
     full = full.select("right", F.inline("places")).select("a", "b", (F.col("pos") - left).alias("start"), (F.col("pos") - F.greatest(F.lit(0), F.lit(least) - F.col("right")) + least).alias("stop"))
     # (only surroundings that occur once are in ranges)
-    part = shared.where("not same").join(ranges, ["gram", "around"]).select("low", "high", F.inline("places"))
+    part = shared.where(~sure).join(ranges, ["gram", "around"]).select("low", "high", F.inline("places"))
     part = part.select("a", "b", (F.col("pos") - F.col("high")).alias("start"), (F.col("pos") - F.col("low") + least).alias("stop"))
     return full.unionAll(part).groupBy("a", "b").agg(F.collect_set(F.struct(F.col("start").cast("long").alias("start"), F.col("stop").cast("long").alias("stop"))).alias("spans"))
 
