@@ -1,9 +1,15 @@
-"""Approximate nearest neighbours by NN-descent and greedy graph search (operator 1)."""
+"""Approximate nearest neighbours by NN-descent and greedy graph search (operator 1).
+
+Graph and search keep one row per node or query with the lists of its nearest.
+A round sends pairs to these rows and one merge by key updates the lists; what
+entered a list in the last round is new, and only pairs with a new member meet.
+"""
 
 from __future__ import annotations
 
 import math
 import warnings
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -11,23 +17,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from fieldmark.llm.common import changes, query, table, whole_groups
+from fieldmark.llm.common import changes, discard, query, release, stored, table, whole_groups
 from fieldmark.llm.vectors import matrix, usable
 from fieldmark.session import settle, spread
 
 #: Neighbours of a node in the graph; as many reverse ones are used beside them.
-NEIGHBOURS = 20
-#: Random partitions that give the first neighbours, and the rows of one leaf.
-PARTITIONS, LEAF_ROWS = 3, 128
+NEIGHBOURS = 24
+#: Random partitions that give the first neighbours, and the rows of one leaf; leaves dealt by chance have fewer.
+PARTITIONS, LEAF_ROWS, CHANCE_ROWS = 6, 512, 128
 #: Rounds of neighbours of neighbours go on until no more than SETTLED of the neighbours change.
 SETTLED = 0.01
-#: Candidates that a search keeps and expands, and candidates that are measured exactly.
-BEAM, EXACT = 500, 100
+#: Candidates that a search keeps and expands for each doubling of the table, and candidates that are measured exactly.
+BEAM, EXACT = 20, 60
 
 
-def most_rounds(count: int) -> int:
-    """Rounds of a graph or a search over ``count`` nodes after which it is given up with a warning: 8 and 4 for each doubling."""
-    return 8 + 4 * math.ceil(math.log2(max(2, count)))
+def beam_for(count: int) -> int:
+    """Candidates that a search keeps among ``count`` nodes: a graph of more nodes has more places to lose the way."""
+    return max(100, BEAM * math.ceil(math.log2(max(2, count))))
 
 
 @dataclass
@@ -70,7 +76,7 @@ def _leaves(nodes: DataFrame, count: int, dim: int, seed: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(sides.astype(np.int64) * (PARTITIONS + 1) + t), *(batch.column(c) for c in ("node", "code", "scale"))], names=["leaf", "node", "code", "scale"])
 
     planar = nodes.mapInArrow(run, "leaf long, node long, code binary, scale double")
-    groups = max(1, count // LEAF_ROWS)
+    groups = max(1, count // min(LEAF_ROWS, CHANCE_ROWS))
     chance = nodes.select((F.pmod(F.xxhash64("node", F.lit(seed)), F.lit(groups)) * (PARTITIONS + 1) + PARTITIONS).alias("leaf"), "node", "code", "scale")
     return planar.unionAll(chance)
 
@@ -98,58 +104,108 @@ def _first(leaves: DataFrame, k: int) -> DataFrame:
             if u:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (u, v, s)], names=["u", "v", "s"])
 
-    sort = dealt.select("leaf", "block", "node", "code", "scale").repartition("leaf", "block").sortWithinPartitions("leaf", "block")
+    sort = spread(dealt.select("leaf", "block", "node", "code", "scale"), "leaf", "block").sortWithinPartitions("leaf", "block")
     return sort.mapInArrow(run, "u long, v long, s float")
 
 
-def _best(pairs: DataFrame, k: int) -> DataFrame:
-    """The k nearest v of each u, ties to the smaller."""
-    order = Window.partitionBy("u").orderBy(F.desc("s"), "v")
-    return pairs.groupBy("u", "v").agg(F.max("s").alias("s")).withColumn("r", F.row_number().over(order)).where(F.col("r") <= k)
+#: A row of lists: the nearest of node or query ``u``, nearest first, and whether they came in the last round.
+_LISTS = "u long, code binary, scale double, ids array<long>, near array<float>, new array<boolean>"
+
+
+def _nearest_of_each(u: np.ndarray, v: np.ndarray, s: np.ndarray, old: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k nearest v of each u, by u and nearness, ties to the smaller v; of equal pairs an old one stays, then the nearest."""
+    order = np.lexsort((-s, ~old, v, u))
+    a, b = u[order], v[order]
+    order = order[np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))]
+    order = order[np.lexsort((v[order], -s[order], u[order]))]
+    a = u[order]
+    first = np.flatnonzero(np.append(True, a[1:] != a[:-1]))
+    rank = np.arange(len(a)) - np.repeat(first, np.diff(np.append(first, len(a))))
+    return order[rank < k]
+
 
+def _merged(lists: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
+    """Lists with the pairs (u, v, s) taken in, k long at most; only what was not there before is new."""
+    base = lists.select("u", F.lit(None).cast("long").alias("v"), F.lit(None).cast("float").alias("s"), "code", "scale", "ids", "near")
+    none = [F.lit(None).cast(t).alias(c) for c, t in (("code", "binary"), ("scale", "double"), ("ids", "array<long>"), ("near", "array<float>"))]
+    rows = spread(base.unionAll(pairs.select("u", "v", "s", *none)), "u").sortWithinPartitions("u")
+
+    def run(batches):
+        for chunk in whole_groups(batches, ["u"], 100_000):
+            own = chunk.filter(chunk.column("code").is_valid()).combine_chunks()
+            met = chunk.filter(chunk.column("code").is_null())
+            if not len(own):
+                continue
+            key, held = own.column("u").to_numpy(), own.column("ids").combine_chunks()
+            sizes = np.diff(held.offsets.to_numpy())
+            u = np.concatenate([np.repeat(key, sizes), met.column("u").to_numpy()])
+            v = np.concatenate([held.flatten().to_numpy(), met.column("v").to_numpy()])
+            s = np.concatenate([own.column("near").combine_chunks().flatten().to_numpy(), met.column("s").to_numpy()])
+            old = np.arange(len(u)) < sizes.sum()
+            best = _nearest_of_each(u, v, s, old, k) if len(u) else np.zeros(0, np.int64)
+            ends = np.searchsorted(u[best], key, side="right")  # keys ascend
+            offsets = pa.array(np.append(0, ends).astype(np.int32))
+            found = [pa.ListArray.from_arrays(offsets, pa.array(c[best])) for c in (v, s, ~old)]
+            for batch in pa.table([own.column("u"), own.column("code"), own.column("scale"), *found], names=["u", "code", "scale", "ids", "near", "new"]).to_batches():
+                yield batch
 
-def _around(edges: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
-    """Both kinds of neighbours of every node with their codes: w, node, code, scale, worst (the nearness of its own k-th)."""
-    back = edges.select(F.col("v").alias("u"), F.col("u").alias("v"), "s")
-    order = Window.partitionBy("u").orderBy(F.desc("s"), "v")
-    back = back.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k)
-    both = edges.select("u", "v").unionAll(back.select("u", "v")).unionAll(nodes.select(F.col("node").alias("u"), F.col("node").alias("v"))).distinct()
-    worst = edges.groupBy("u").agg(F.when(F.count("*") >= k, F.min("s")).otherwise(F.lit(float("-inf"))).cast("float").alias("worst"))
-    coded = nodes.select("node", "code", "scale").join(worst.withColumnRenamed("u", "node"), "node", "left")
-    return both.select(F.col("u").alias("w"), F.col("v").alias("node")).join(coded, "node").withColumn("worst", F.coalesce("worst", F.lit(float("-inf")).cast("float")))
+    return rows.mapInArrow(run, _LISTS)
+
+
+def _worst(k: int):
+    """The nearness that a newcomer must surpass."""
+    return F.when(F.size("ids") >= k, F.element_at("near", -1)).otherwise(F.lit(float("-inf"))).cast("float").alias("worst")
+
+
+def _around(lists: DataFrame, k: int) -> DataFrame:
+    """Every node and both kinds of its neighbours with their codes: w, node, new, code, scale, worst; reverse neighbours are the k nearest."""
+    edges = lists.select("u", F.inline(F.arrays_zip("ids", "near", "new"))).toDF("u", "v", "s", "new")
+    order = Window.partitionBy("w").orderBy(F.desc("s"), "node")
+    back = edges.select(F.col("v").alias("w"), F.col("u").alias("node"), "s", "new").withColumn("r", F.row_number().over(order)).where(F.col("r") <= k)
+    itself = lists.select(F.col("u").alias("w"), F.col("u").alias("node"), F.lit(False).alias("new"))
+    both = edges.select(F.col("u").alias("w"), F.col("v").alias("node"), "new").unionAll(back.select("w", "node", "new")).unionAll(itself)
+    return both.join(lists.select(F.col("u").alias("node"), "code", "scale", _worst(k)), "node")
 
 
 def _meet(around: DataFrame, k: int) -> DataFrame:
-    """Neighbours of the same node come to know each other, where that is nearer than what they have."""
+    """Neighbours of the same node come to know each other, if one of them is new and that is nearer than what they have: u, v, s."""
 
     def run(batches):
-        for rows in whole_groups(batches, ["w"], 16_384):
-            node, worst = rows.column("node").to_numpy(), rows.column("worst").to_numpy()
+        for rows in whole_groups(batches, ["w"], 50_000):
+            node, worst, new = (rows.column(c).to_numpy() for c in ("node", "worst", "new"))
             x = _decoded(rows.column("code").combine_chunks(), rows.column("scale").to_numpy())
             bounds = [0, *changes(rows, ["w"]).tolist(), len(rows)]
             u, v, s = [], [], []
             for a, b in zip(bounds, bounds[1:]):
+                if not new[a:b].any():
+                    continue
                 near = _nearness(x[a:b], x[a:b])
-                np.fill_diagonal(near, -np.inf)
-                r, c = np.nonzero(near > worst[a:b, None])
+                fresh = (new[a:b, None] | new[a:b]) & (node[a:b, None] != node[a:b])
+                r, c = np.nonzero(fresh & (near > worst[a:b, None]))
                 u.append(node[a:b][r])
                 v.append(node[a:b][c])
                 s.append(near[r, c])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (u, v, s)], names=["u", "v", "s"])
+            if u:
+                u, v, s = (np.concatenate(c) for c in (u, v, s))
+            if len(u):
+                # no more than k for each u leave the task together, also where a node is near very many others
+                best = _nearest_of_each(u, v, s, np.zeros(len(u), bool), k)
+                yield pa.RecordBatch.from_arrays([pa.array(c[best]) for c in (u, v, s)], names=["u", "v", "s"])
 
-    sort = around.select("w", "node", "code", "scale", "worst").repartition("w").sortWithinPartitions("w")
+    sort = spread(around.select("w", "node", "new", "code", "scale", "worst"), "w").sortWithinPartitions("w")
     return sort.mapInArrow(run, "u long, v long, s float")
 
 
 def build(df: DataFrame, key: str, vector: str, neighbours: int = NEIGHBOURS, rounds: int | None = None, seed: int = 11) -> Index:
     """Index every usable vector.
 
-    Rounds go on until the graph has settled; if ``rounds`` (most_rounds of the
-    nodes unless given) do not suffice, a RuntimeWarning says so.
+    Rounds go on until the graph has settled, which it always does, as lists only
+    get nearer; if ``rounds`` are given and do not suffice, a RuntimeWarning says so.
 
     Equal vectors are one node, named by their smallest key.  Null, empty, zero
     and not finite vectors and rows without a key take no part.  All vectors have one length.
     """
+    spark = df.sparkSession
     rows = df.select(F.col(key).cast("long").alias("key"), F.col(vector).alias("vector")).where(F.col(key).isNotNull() & usable(F.col(vector)))
     kind = rows.schema["vector"].dataType.simpleString()
 
@@ -161,30 +217,31 @@ def build(df: DataFrame, key: str, vector: str, neighbours: int = NEIGHBOURS, ro
 
     distinct = rows.groupBy("vector").agg(F.min("key").alias("node")).select("node", "vector")
     nodes = settle(distinct.mapInArrow(coded, f"node long, vector {kind}, code binary, scale double"))
-    members = rows.join(nodes.select("vector", "node"), "vector").select("node", "key").distinct()
+    members = settle(rows.join(nodes.select("vector", "node"), "vector").select("node", "key").distinct())
     size = nodes.agg(F.count("*"), F.max(F.size("vector"))).first()
-    edges = settle(_best(_first(_leaves(nodes, size[0], size[1] or 1, seed), neighbours), neighbours).select("u", "v", "s"))
-    new, total = size[0], 0
-    for _ in range(most_rounds(size[0]) if rounds is None else rounds):
-        met = _meet(_around(edges, nodes, neighbours), neighbours)
-        every = edges.withColumn("old", F.lit(1)).unionAll(met.withColumn("old", F.lit(0)))
-        best = every.groupBy("u", "v").agg(F.max("s").alias("s"), F.max("old").alias("old"))
-        order = Window.partitionBy("u").orderBy(F.desc("s"), "v")
-        edges = settle(best.withColumn("r", F.row_number().over(order)).where(F.col("r") <= neighbours).select("u", "v", "s", "old"))
-        new, total = edges.agg(F.coalesce(F.sum(1 - F.col("old")), F.lit(0)), F.count("*")).first()
-        edges = edges.select("u", "v", "s")
+    alone = nodes.select(F.col("node").alias("u"), "code", "scale", F.array().cast("array<long>").alias("ids"), F.array().cast("array<float>").alias("near"))
+    lists = stored(_merged(alone, _first(_leaves(nodes, size[0], size[1] or 1, seed), neighbours), neighbours), "neighbours")
+    new, total, done = size[0], 0, 0
+    while rounds is None or done < rounds:
+        before, lists = lists, stored(_merged(lists, _meet(_around(lists, neighbours), neighbours), neighbours), "neighbours")
+        discard(before)
+        release(spark)
+        done += 1
+        fresh = F.size(F.filter("new", lambda x: x))
+        new, total = lists.agg(F.coalesce(F.sum(fresh), F.lit(0)), F.coalesce(F.sum(F.size("ids")), F.lit(0))).first()
         if new <= SETTLED * total:
             break
     if new > SETTLED * total:
         warnings.warn(f"the neighbour graph of {size[0]} nodes has not settled: {new} of {total} neighbours are new in the last round", RuntimeWarning, stacklevel=2)
-    beside = _around(edges, nodes, neighbours).where("w <> node")
+    beside = _around(lists, neighbours).where("w <> node").dropDuplicates(["w", "node"])
     packed = F.sort_array(F.collect_list(F.struct("node", "code", "scale")))  # at most 2 * neighbours
     graph = settle(beside.groupBy(F.col("w").alias("node")).agg(packed.alias("near")).select("node", F.col("near.node").alias("ids"), F.col("near.code").alias("codes"), F.col("near.scale").alias("scales")))
+    discard(lists)
     return Index(nodes, members, graph)
 
 
 def _expand(frontier: DataFrame, graph: DataFrame) -> DataFrame:
-    """What lies next to the frontier (q, code, scale, worst, node): q, node, s, if nearer than the worst that q keeps."""
+    """What lies next to the frontier (q, code, scale, worst, node): u (the query), v, s, if nearer than the worst that q keeps."""
     joined = frontier.join(graph, "node").select("q", "code", "scale", "worst", "ids", "codes", "scales")
 
     def run(batches):
@@ -200,20 +257,22 @@ def _expand(frontier: DataFrame, graph: DataFrame) -> DataFrame:
                 q, worst = (np.repeat(rows.column(c).to_numpy(), count) for c in ("q", "worst"))
                 s = -((x - near) ** 2).sum(1)
                 keep = s > worst
-                yield pa.RecordBatch.from_arrays([pa.array(q[keep]), pa.array(ids[keep]), pa.array(s[keep])], names=["q", "node", "s"])
+                yield pa.RecordBatch.from_arrays([pa.array(q[keep]), pa.array(ids[keep]), pa.array(s[keep])], names=["u", "v", "s"])
 
-    return joined.mapInArrow(run, "q long, node long, s float")
+    return joined.mapInArrow(run, "u long, v long, s float")
 
 
-def search(index: Index, queries: DataFrame, k: int, beam: int = BEAM, exact: int = EXACT) -> DataFrame:
+def search(index: Index, queries: DataFrame, k: int, beam: int | None = None, exact: int = EXACT) -> DataFrame:
     """The k nearest keys of every query (q, vector, start: a node of the graph where its search begins).
 
     Greedy search: every round expands all candidates among a query's ``beam``
-    nearest that were not expanded before, until none is left (a RuntimeWarning
-    says if most_rounds of the nodes do not suffice).  The ``exact``
+    nearest (``beam_for`` the nodes unless given) that were not expanded before, until none is left; no candidate is
+    expanded twice, so a search always ends.  The ``exact``
     nearest are then measured on the original vectors in double precision; ties go
     to the smaller key.  A query's own key is no candidate.  Columns: q, rank, key, score.
     """
+    spark = queries.sparkSession
+    beam = beam_for(index.nodes.count()) if beam is None else beam
     # every round reads the graph by node: kept dealt by node, only the frontier moves
     graph = spread(index.graph, "node").persist()
     try:
@@ -224,23 +283,17 @@ def search(index: Index, queries: DataFrame, k: int, beam: int = BEAM, exact: in
                     codes, scale = _codes(matrix(batch.column("vector")))
                     yield pa.RecordBatch.from_arrays([batch.column("q"), batch.column("start"), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(scale)], names=["q", "start", "code", "scale"])
 
-        asked = settle(queries.select("q", "start", "vector").mapInArrow(coded, "q long, start long, code binary, scale double"))
-        codes = asked.select("q", "code", "scale")
-        state = asked.select("q", F.col("start").alias("node"), F.lit(float("-inf")).cast("float").alias("s"), F.lit(0).alias("done"))
-        best = Window.partitionBy("q").orderBy(F.desc("s"), "node")
-        hops = most_rounds(index.nodes.count())
-        for _ in range(hops):
-            worst = state.groupBy("q").agg(F.when(F.count("*") >= beam, F.min("s")).otherwise(F.lit(float("-inf"))).cast("float").alias("worst"))
-            frontier = state.where("done = 0").select("q", "node").join(codes.join(worst, "q"), "q")
-            found = _expand(frontier, graph).withColumn("done", F.lit(0)).unionAll(state.withColumn("done", F.lit(1)))
-            merged = found.groupBy("q", "node").agg(F.max("s").alias("s"), F.max("done").alias("done"))
-            state = settle(merged.withColumn("r", F.row_number().over(best)).where(F.col("r") <= beam).drop("r"))
-            if state.where("done = 0").isEmpty():
-                break
-        else:
-            warnings.warn(f"a search has candidates left after {hops} rounds", RuntimeWarning, stacklevel=2)
-        near = state.withColumn("r", F.row_number().over(best)).where(F.col("r") <= exact).select("q", "node")
-        near = near.unionAll(asked.select("q", F.col("start").alias("node"))).distinct()
+        asked = queries.select("q", "start", "vector").mapInArrow(coded, "q long, start long, code binary, scale double")
+        lowest = F.array(F.lit(float("-inf")).cast("float"))
+        state = stored(asked.select(F.col("q").alias("u"), "code", "scale", F.array("start").alias("ids"), lowest.alias("near"), F.array(F.lit(True)).alias("new")), "search")
+        while not (open_ := state.where(F.exists("new", lambda x: x))).isEmpty():
+            fresh = F.filter(F.arrays_zip("ids", "new"), lambda x: x["new"])
+            frontier = open_.select(F.col("u").alias("q"), "code", "scale", _worst(beam), F.explode(fresh["ids"]).alias("node"))
+            before, state = state, stored(_merged(state, _expand(frontier, graph), beam), "search")
+            discard(before)
+            release(spark)
+        near = state.select(F.col("u").alias("q"), F.explode(F.slice("ids", 1, exact)).alias("node"))
+        near = near.unionAll(queries.select("q", F.col("start").alias("node"))).distinct()
         pairs = near.join(index.nodes.select("node", F.col("vector").alias("there")), "node").join(queries.select("q", "vector"), "q")
         square = F.aggregate(F.zip_with("vector", "there", lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double"))), F.lit(0.0), lambda t, x: t + x)
         measured = pairs.select("q", "node", F.sqrt(square).alias("score"))

@@ -54,6 +54,20 @@ def test_neighbours_of_copies_ties_and_odd_vectors(spark):
     assert neighbours.search(empty, asked, 10).count() == 0
 
 
+def test_neighbours_recall_beyond_the_beam_with_a_hot_cluster(spark):
+    """A third of the rows lies close together, the others are spread evenly; the table is 60 times the beam."""
+    ship(spark)
+    r = np.random.default_rng(8)
+    x = r.normal(size=(6_000, 24))
+    x[:2_000] = x[0] + 0.01 * r.normal(size=(2_000, 24))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    index = neighbours.build(df, "vec_id", "embedding")
+    asked = index.members.where("key % 40 = 0").join(index.nodes, "node").select(F.col("key").alias("q"), "vector", F.col("node").alias("start"))
+    got = neighbours.search(index, asked, 10, beam=100).toPandas().groupby("q").key.apply(set)
+    hit = [len(got[q] & set(nearest(np.arange(len(x)), x, q, 10)[0].tolist())) for q in range(0, len(x), 40)]
+    assert sum(hit[:50]) >= 0.9 * 10 * 50 and sum(hit[50:]) >= 0.9 * 10 * 100
+
+
 def test_neighbours_go_on_until_the_graph_has_settled(spark, monkeypatch):
     """Leaves so small that three rounds leave the graph unfinished (recall 0.37)."""
     ship(spark)
