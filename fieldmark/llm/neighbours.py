@@ -46,18 +46,20 @@ class Index:
 
 
 def _codes(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Components as signed bytes of a vector's own scale; only the graph works on these."""
-    scale = np.abs(x).max(1) / 127
-    return np.rint(x / scale[:, None]).astype(np.int8), scale
+    """Components as 16-bit numbers of a vector's own scale; only the graph works on these."""
+    scale = np.abs(x).max(1) / 32_767
+    return np.rint(x / scale[:, None]).astype(np.int16), scale
 
 
 def _decoded(codes: pa.Array, scales: np.ndarray) -> np.ndarray:
-    raw = np.frombuffer(b"".join(codes.to_pylist()), np.int8).reshape(len(scales), -1)
+    raw = np.frombuffer(b"".join(codes.to_pylist()), np.int16).reshape(len(scales), -1)
     return raw.astype(np.float32) * scales.astype(np.float32)[:, None]
 
 
 def _nearness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Minus the squared distance of every row of ``a`` to every row of ``b``."""
+    middle = b.mean(0)  # near rows far from zero would differ in the last digits only
+    a, b = a - middle, b - middle
     return 2 * a @ b.T - (a * a).sum(1)[:, None] - (b * b).sum(1)
 
 
