@@ -38,18 +38,23 @@ def append_new(batch: DataFrame, table: str, keys: Sequence[str] = KEYS) -> None
     """
     fresh = batch.dropDuplicates(list(keys)).persist()
     try:
-        known = _existing(batch.sparkSession, table)
-        added = fresh
-        if known is not None:
-            years = [r[0] for r in fresh.select("year").distinct().collect()]  # one per folder
-            held = F.col("year").isin(*[y for y in years if y is not None])
-            held = F.coalesce(held, F.lit(False)) | (F.col("year").isNull() if None in years else F.lit(False))
-            added = null_safe_join(fresh, known.where(held).select(*keys), list(keys), "left_anti")
+        added = not_held(fresh, table, keys)
         append_table(added.select(*batch.columns), table, ["year"])
     finally:
         fresh.unpersist()
 
 
+def not_held(fresh: DataFrame, table: str, keys: Sequence[str]) -> DataFrame:
+    """Rows whose key the year-partitioned table lacks; only the years of the rows are read."""
+    known = _existing(fresh.sparkSession, table)
+    if known is None:
+        return fresh
+    years = [r[0] for r in fresh.select("year").distinct().collect()]  # one per folder
+    held = F.col("year").isin(*[y for y in years if y is not None])
+    held = F.coalesce(held, F.lit(False)) | (F.col("year").isNull() if None in years else F.lit(False))
+    return null_safe_join(fresh, known.where(held).select(*keys), list(keys), "left_anti")
+
+
 def _existing(spark: SparkSession, table: str) -> DataFrame | None:
     try:
         return spark.read.parquet(table)

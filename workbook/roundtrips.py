@@ -12,6 +12,7 @@ from fieldmark.plans import bundles
 from fieldmark.session import scratch_path
 from fieldmark.sources import checklists as files
 from fieldmark.sources import polygons, tables
+from fieldmark.streaming.bounded import ingest_within_watermark, read_ingested
 from fieldmark.streaming.ingest import ingest_info_available
 from workbook import histories as H
 from workbook import standins as S
@@ -203,6 +204,36 @@ def ingest_info(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query(
+    S.sql(
+        S.CHECKLISTS,
+        """select year, count(*) as n_lists, count(distinct event_id) as n_events,
+          count(case when event_id % 7 = 0 and year <= (select max(year) from checklists) - 3 then 1 end) as n_late
+        from checklists group by 1""",
+    )
+)
+def ingest_releases(spark: SparkSession, sf: str) -> DataFrame:
+    """A release of all years but the last, then one of the last that repeats the year before and brings late lists of early years.
+
+    Repeats add nothing, late lists come in, and a third run finds nothing to do;
+    the stream's state holds the events of 800 days at most.
+    """
+    root, target, log = scratch_path(spark, "releases"), scratch_path(spark, "visits"), scratch_path(spark, "visits-log")
+    lists = S.checklists(spark, sf)
+    last = lists.agg(F.max("year")).first()[0]
+    given = {"SAMPLING_EVENT_ID": F.col("event_id").cast("string"), "YEAR": F.col("year"), "MONTH": F.col("month"), "DAY": F.col("day")}
+    withheld = (F.col("event_id") % 7 == 0) & (F.col("year") <= last - 3)
+    first = (F.col("year") < last) & ~withheld
+    second = (F.col("year") >= last - 1) | withheld | ((F.col("event_id") % 7 == 1) & (F.col("year") <= last - 3))
+    for release in (first, second):
+        wide = lists.where(release).select(*[given.get(f.name, F.lit("?")).alias(f.name) for f in schemas.CHECKLIST_INFO], F.col("year").alias("folder"))
+        tables.balanced(wide, ["folder"]).write.mode("append").partitionBy("folder").option("header", True).csv(root)
+        ingest_within_watermark(spark, root, target, log, file="*.csv")
+    ingest_within_watermark(spark, root, target, log, file="*.csv")
+    late = F.count(F.when(F.col("late"), 1))
+    return read_ingested(spark, target).groupBy("year").agg(F.count("*").alias("n_lists"), F.countDistinct("SAMPLING_EVENT_ID").alias("n_events"), late.alias("n_late"))
+
+
 @query(
     """select event_type as parameter, round(avg(value), 6) as mean, round(quantile_cont(value, 0.025), 6) as q2_5,
       round(quantile_cont(value, 0.5), 6) as q50, round(quantile_cont(value, 0.975), 6) as q97_5 from events group by 1"""
