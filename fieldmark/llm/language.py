@@ -7,18 +7,17 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fieldmark.llm.common import held_out, query, sample_of_each, table
 from fieldmark.llm.encoding import slices
-from fieldmark.llm.excerpts import spread_pieces
+from fieldmark.llm.vectors import matrix
+from fieldmark.session import settle
 
 #: Texts of each language that teach, and those of them that are landmarks.
 TEXTS, LANDMARKS = 1_000, 48
-#: At most so many pieces of so many bytes of a teaching text; predictions read whole texts.
-PIECES, PIECE_BYTES = 8, 1_024
 #: N-grams of 1 to 3 bytes that occur in this many landmarks at least.
 LENGTHS, IN_LANDMARKS = (1, 2, 3), 2
 RIDGE, SHARPNESS = 1e-2, 6.0
@@ -87,25 +86,29 @@ class Model:
         return [self.languages[i] for i in best], p[np.arange(len(p)), best].astype(np.float64)
 
 
-def learn(texts: list[str], langs: list[str], landmarks: int = LANDMARKS) -> Model:
-    """Nystroem features of the blended-spectrum presence kernel and one ridge regression per language."""
-    languages = sorted(set(langs))
-    y = np.array([languages.index(c) for c in langs])
-    picked = np.concatenate([np.flatnonzero(y == c)[:landmarks] for c in range(len(languages))])
-    sets = [[np.unique(c) for c in codes(texts[i].lower().encode())] for i in picked]
+def distinct_codes(text: str) -> list[np.ndarray]:
+    """The different n-grams of each length of a whole text, ascending."""
+    return [np.unique(c) for c in codes(text.lower().encode())]
+
+
+def from_landmarks(sets: list[list[np.ndarray]], languages: list[str]) -> Model:
+    """A model that knows its landmarks by their n-grams and has no weights yet."""
     grams = []
     for k in range(len(LENGTHS)):
         value, count = np.unique(np.concatenate([s[k] for s in sets]), return_counts=True)
-        grams.append(value[count >= min(IN_LANDMARKS, len(picked))])
+        grams.append(value[count >= min(IN_LANDMARKS, len(sets))])
     held = np.concatenate([np.concatenate([np.isin(g, s[k]) for k, g in enumerate(grams)])[:, None] for s in sets], axis=1).astype(np.float32)
-    model = Model(languages, grams, held, np.zeros((len(picked), len(languages))), np.zeros(len(languages)))
-    among = model.kernel(held.T.copy())
+    return Model(languages, grams, held, np.zeros((len(sets), len(languages))), np.zeros(len(languages)))
+
+
+def regress(model: Model, kernels: np.ndarray, y: np.ndarray) -> Model:
+    """Nystroem features from the kernels of the taught texts, and one ridge regression per language."""
+    among = model.kernel(model.landmarks.T.copy())
     value, vector = np.linalg.eigh(among.astype(np.float64))
     keep = value > 1e-6 * value.max()
     half = vector[:, keep] / np.sqrt(value[keep])
-    phi = np.concatenate([model.kernel(model.presence(texts[i : i + BATCH])) for i in range(0, len(texts), BATCH)]) @ half
-    phi = np.c_[phi, np.ones(len(phi))]
-    target = np.where(y[:, None] == np.arange(len(languages)), 1.0, -1.0)
+    phi = np.c_[kernels @ half, np.ones(len(kernels))]
+    target = np.where(y[:, None] == np.arange(len(model.languages)), 1.0, -1.0)
     weight = 1 / np.bincount(y)[y]  # every language counts alike
     weight = weight / weight.mean()
     w = np.linalg.solve(phi.T @ (phi * weight[:, None]) + RIDGE * len(phi) * np.eye(phi.shape[1]) / 100, phi.T @ (target * weight[:, None]))
@@ -113,28 +116,56 @@ def learn(texts: list[str], langs: list[str], landmarks: int = LANDMARKS) -> Mod
     return model
 
 
+def learn(texts: list[str], langs: list[str], landmarks: int = LANDMARKS) -> Model:
+    """Nystroem features of the blended-spectrum presence kernel and one ridge regression per language, from a few texts in memory."""
+    languages = sorted(set(langs))
+    y = np.array([languages.index(c) for c in langs])
+    picked = np.concatenate([np.flatnonzero(y == c)[:landmarks] for c in range(len(languages))])
+    model = from_landmarks([distinct_codes(texts[i]) for i in picked], languages)
+    kernels = np.concatenate([model.kernel(model.presence(texts[i : i + BATCH])) for i in range(0, len(texts), BATCH)])
+    return regress(model, kernels, y)
+
+
 def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> Model | None:
-    """Learn from a bounded number of documents per language, those with the smallest hashes of the id.
+    """Learn from a bounded number of whole documents per language, those with the smallest hashes of the id.
 
     Held-out rows, rows without a language and texts without a letter teach nothing; None if nothing teaches.
+    Texts are read in tasks: the driver gets the n-grams of the landmarks, and of every other text its
+    kernels with them, however long the text is.
     """
     rows = docs.select(F.col(key).alias("id"), F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang"))
     rows = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("id")))
 
-    def cut(batches):
+    def lettered(batches):
         for batch in batches:
-            got = [b" ".join(spread_pieces(t.encode(), PIECE_BYTES, PIECES)).decode(errors="ignore") if _LETTER.search(t) else None for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("hash"), pa.array(got, pa.string())], names=["lang", "hash", "text"])
+            yield batch.filter(pa.array([_LETTER.search(t) is not None for t in batch.column("text").to_pylist()], pa.bool_()))
 
     hashed = rows.select("text", "lang", F.xxhash64("id", F.lit("language"), "text").alias("hash"))
     # hashes first, so that texts of the chosen rows alone move
     chosen = sample_of_each(hashed.select("lang", "hash").distinct(), "lang", "hash", TEXTS)
-    taught = hashed.join(chosen, ["lang", "hash"]).dropDuplicates(["lang", "hash"])
-    got = taught.mapInArrow(cut, "lang string, hash long, text string").where("text is not null").toArrow()
-    if not len(got):
+    taught = hashed.join(chosen, ["lang", "hash"]).dropDuplicates(["lang", "hash"]).select("text", "lang", "hash").mapInArrow(lettered, "text string, lang string, hash long")
+    taught = settle(taught.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy("hash"))))  # at most TEXTS of a language
+
+    def grams(batches):
+        for batch in batches:
+            found = [distinct_codes(t) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("place"), pa.array([[c.tobytes() for c in s] for s in found], pa.list_(pa.binary()))], names=["lang", "place", "grams"])
+
+    marks = taught.where(F.col("place") <= LANDMARKS).mapInArrow(grams, "lang string, place int, grams array<binary>").toArrow().sort_by([("lang", "ascending"), ("place", "ascending")])
+    if not len(marks):
         return None
-    got = got.sort_by([("hash", "ascending"), ("lang", "ascending")])
-    return learn(got.column("text").to_pylist(), got.column("lang").to_pylist())
+    names = marks.column("lang").to_pylist()
+    model = from_landmarks([[np.frombuffer(c, np.int32) for c in s] for s in marks.column("grams").to_pylist()], sorted(set(names)))
+
+    def kernels(batches):
+        for batch in (cut for whole in batches for cut in slices(whole, "text")):
+            found = model.kernel(model.presence(batch.column("text").to_pylist())).astype(np.float32)
+            yield pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("hash"), pa.array(list(found), pa.list_(pa.float32()))], names=["lang", "hash", "kernel"])
+
+    got = taught.mapInArrow(kernels, "lang string, hash long, kernel array<float>").toArrow().sort_by([("hash", "ascending"), ("lang", "ascending")])
+    places = {c: i for i, c in enumerate(model.languages)}
+    y = np.array([places[c] for c in got.column("lang").to_pylist()])
+    return regress(model, matrix(got.column("kernel")), y)
 
 
 def predict(docs: DataFrame, model: Model | None, text: str = "text", lang: str = "lang_pred", score: str = "score") -> DataFrame:

@@ -100,6 +100,51 @@ def test_language_on_odd_rows(spark, odd, none):
     assert language.predict(none, model).count() == 0
 
 
+def test_language_predictions_by_sets_of_whole_texts(spark, small):
+    """Every prediction and score against n-gram sets of whole texts and a dense regression; some taught texts are long."""
+    ship(spark)
+    rows = spark.read.parquet(f"{small}/documents.parquet").where("lang is not null and doc_id < 160")
+    rows = rows.select("doc_id", F.when(F.col("doc_id") % 10 == 0, F.repeat("text", 20)).otherwise(F.col("text")).alias("text"), "lang")
+    # words of another language stand at the end of a long text only
+    rows = rows.withColumn("text", F.when(F.col("doc_id") % 10 == 0, F.concat("text", F.lit(" zzyzx qwrtp "))).otherwise(F.col("text")))
+    model = language.fit(rows)
+    got = {r.doc_id: r for r in language.predict(rows, model).collect()}
+    known = rows.where(~held_out(F.col("doc_id")) & F.col("text").rlike("[a-zA-Z]")).withColumn("h", F.xxhash64("doc_id", F.lit("language"), "text")).orderBy("h").collect()
+    names = sorted({r.lang for r in known})
+
+    def grams(t):
+        b = t.lower().encode()
+        return {b[i : i + n] for n in language.LENGTHS for i in range(len(b) - n + 1)}
+
+    marks = [grams(r.text) for c in names for r in [x for x in known if x.lang == c][: language.LANDMARKS]]
+    seen = {}
+    for m in marks:
+        for g in m:
+            seen[g] = seen.get(g, 0) + 1
+    kept = {g for g, n in seen.items() if n >= language.IN_LANDMARKS}
+    marks = [m & kept for m in marks]
+
+    def kernel(texts):
+        sets = [grams(t) & kept for t in texts]
+        return np.array([[len(s & m) / np.sqrt(max(1, len(s)) * max(1, len(m))) for m in marks] for s in sets])
+
+    among = np.array([[len(a & b) / np.sqrt(len(a) * len(b)) for b in marks] for a in marks])
+    value, vector = np.linalg.eigh(among)
+    half = vector[:, value > 1e-6 * value.max()] / np.sqrt(value[value > 1e-6 * value.max()])
+    y = np.array([names.index(r.lang) for r in known])
+    weight = 1 / np.bincount(y)[y]
+    weight = np.sqrt(weight / weight.mean())[:, None]
+    phi = np.c_[kernel([r.text for r in known]) @ half, np.ones(len(known))]
+    penalty = np.sqrt(language.RIDGE * len(known) / 100) * np.eye(phi.shape[1])
+    w = np.linalg.lstsq(np.r_[phi * weight, penalty], np.r_[np.where(y[:, None] == np.arange(len(names)), 1.0, -1.0) * weight, np.zeros((len(penalty), len(names)))], rcond=None)[0]
+    asked = [r for r in got.values() if r.text and r.lang_pred != "und"]
+    margin = np.c_[kernel([r.text for r in asked]) @ half, np.ones(len(asked))] @ w
+    p = np.exp(language.SHARPNESS * (margin - margin.max(1, keepdims=True)))
+    p /= p.sum(1, keepdims=True)
+    assert [r.lang_pred for r in asked] == [names[i] for i in margin.argmax(1)] and len(asked) > 100
+    assert np.allclose([r.score for r in asked], p.max(1), atol=0.01)
+
+
 def test_kernel_counts_shared_ngrams():
     texts = ["the cat", "le chat", "the hat", "le rat"]
     model = language.learn(texts, ["en", "fr", "en", "fr"], landmarks=2)
