@@ -1,16 +1,8 @@
-"""Bounded training material from whole texts."""
+"""Whole texts in pieces."""
 
 from __future__ import annotations
 
-import numpy as np
-
 
 def pieces(data: bytes, size: int) -> list[bytes]:
     """The whole text in pieces of ``size`` bytes (an empty text is one empty piece)."""
     return [data[i : i + size] for i in range(0, len(data), size)] or [b""]
-
-
-def spread_pieces(data: bytes, size: int, most: int) -> list[bytes]:
-    """At most ``most`` pieces, at even distances over the whole text."""
-    cut = pieces(data, size)
-    return [cut[i] for i in np.unique(np.linspace(0, len(cut) - 1, min(most, len(cut))).astype(int))]

@@ -7,19 +7,20 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fieldmark.llm.common import held_out, query, sample_of, table
+from fieldmark.llm.common import held_out, query, sample_of, sample_of_each, table
 from fieldmark.llm.encoding import slices
-from fieldmark.llm.excerpts import pieces, spread_pieces
+from fieldmark.llm.excerpts import pieces
 from fieldmark.session import settle
 
 #: Labelled texts of each class for the dictionaries, and in all for the calibration.
 DICTIONARY_TEXTS, CALIBRATION_TEXTS = 3_000, 8_000
-#: Pieces that a labelled text may give to a dictionary; every text is compressed in pieces of this size.
-PIECES, PIECE_BYTES = 8, 2_048
+#: Every text is compressed in pieces of this size; a dictionary is trained on at most so many of them, from anywhere in the texts of its class.
+PIECES, PIECE_BYTES = 12_000, 2_048
 DICTIONARY_BYTES, LEVEL = 112 * 1024, 3
 #: Score from which a document is taken for good.
 THRESHOLD = 0.7
@@ -51,12 +52,16 @@ def sizes(text: str | None, bad: bytes, good: bytes) -> tuple[int, int, int]:
 
 
 def features(found: np.ndarray) -> np.ndarray:
-    """The normalised difference of both sizes, with how far the text compresses and how long it is."""
+    """The normalised difference of both sizes, alone and weighted by how far the text compresses and how long it is.
+
+    Every term carries the difference and is zero where the sizes are equal: length or plain compressibility decide nothing by themselves.
+    """
     bad, good, n = found.astype(np.float64).T
     d = (bad - good) / np.maximum(np.maximum(bad, good), 1)
     r = np.log(np.minimum(bad, good) / np.maximum(n, 1) + 0.01)
     size = np.log(n + 10)
-    return np.stack((d, r, size, d * r, d * size, r * r, d * d, r * size, np.maximum(d, 0), np.maximum(-d, 0)), axis=1)
+    up, down = np.maximum(d, 0), np.maximum(-d, 0)
+    return np.stack([part * by for part in (up, down, d * d, np.sqrt(up), np.sqrt(down)) for by in (np.ones_like(d), r, size)], axis=1)
 
 
 @dataclass
@@ -109,13 +114,17 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     taught = rows.join(F.broadcast(chosen), "id").groupBy("id", "use").agg(F.min(F.struct(F.xxhash64("text").alias("first"), "label", "hash", "text")).alias("one")).select("id", "use", "one.*")
 
     def cut(batches):
-        for batch in batches:
-            got = [spread_pieces((t or "").encode(), PIECE_BYTES, PIECES) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("label"), batch.column("hash"), pa.array(got, pa.list_(pa.binary()))], names=["label", "hash", "pieces"])
+        from xxhash import xxh3_64_intdigest
 
-    got = taught.where("use = 0").mapInArrow(cut, "label int, hash long, pieces array<binary>").toArrow()
-    ordered = got.take(np.lexsort((got.column("label").to_numpy(), got.column("hash").to_numpy()))) if len(got) else got
-    samples = [[p for c, ps in zip(ordered.column("label").to_pylist(), ordered.column("pieces").to_pylist()) if c == k for p in ps] for k in (0, 1)]
+        for batch in batches:
+            for label, hash_, text_ in zip(*(batch.column(c).to_pylist() for c in ("label", "hash", "text"))):
+                got = pieces((text_ or "").encode(), PIECE_BYTES)
+                order = [xxh3_64_intdigest(f"{hash_} {i}".encode()) >> 1 for i in range(len(got))]
+                yield pa.RecordBatch.from_arrays([pa.array([label] * len(got), pa.int32()), pa.array(order, pa.int64()), pa.array(got, pa.binary())], names=["label", "order", "piece"])
+
+    cuts = settle(taught.where("use = 0").select("label", "hash", "text").mapInArrow(cut, "label int, order long, piece binary"))
+    got = sample_of_each(cuts, "label", "order", PIECES).toArrow().sort_by([("order", "ascending")])
+    samples = [got.filter(pc.equal(got.column("label"), k)).column("piece").to_pylist() for k in (0, 1)]
     prior = known.agg(F.avg("label")).first()[0]
     if not (b"".join(samples[0]) and b"".join(samples[1])):
         return Model(b"", b"", np.zeros(0), np.zeros(0), np.zeros(0), 0.5 if prior is None else prior)

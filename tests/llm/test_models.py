@@ -183,10 +183,31 @@ def test_held_out_rule(spark):
     assert {r.doc_id for r in ids.where(held_out(F.col("doc_id"))).collect()} == {i for i in range(50) if zlib.crc32(str(i).encode()) % 4 == 2}
 
 
-@pytest.mark.parametrize("pieces", [0, 1, 5, 100])
-def test_spread_pieces_cover_the_text(pieces):
-    from fieldmark.llm.excerpts import spread_pieces
+@pytest.mark.parametrize("size", [0, 1, 99, 100, 101, 25_000])
+def test_pieces_are_the_whole_text(size):
+    from fieldmark.llm.excerpts import pieces
 
-    data = bytes(range(250)) * pieces
-    got = spread_pieces(data, 100, 8)
-    assert len(got) <= 8 and data.startswith(got[0]) and data.endswith(got[-1])
+    data = (bytes(range(250)) * 100)[:size]
+    got = pieces(data, 100)
+    assert b"".join(got) == data and len(got) == max(1, -(-size // 100)) and max(map(len, got)) <= 100
+
+
+def test_quality_scores_by_direct_compression(spark, small):
+    """Scores against sizes from the compression library itself; texts of equal sizes score alike, however long they are."""
+    import zstandard
+
+    ship(spark)
+    docs = spark.read.parquet(f"{small[:-5]}0.01/documents.parquet").select("doc_id", "text")
+    model = quality.fit(docs, spark.read.parquet(f"{small[:-5]}0.01/labels.parquet"))
+    assert model.prior is None
+    rows = quality.score(docs, model).collect()
+    packers = [zstandard.ZstdCompressor(level=quality.LEVEL, dict_data=zstandard.ZstdCompressionDict(d), write_content_size=False, write_checksum=False) for d in (model.bad, model.good)]
+    for r in rows[::7]:
+        data = (r.text or "").encode()
+        cut = [data[i : i + quality.PIECE_BYTES] for i in range(0, max(1, len(data)), quality.PIECE_BYTES)]
+        bad, good = (sum(len(p.compress(c)) for c in cut) for p in packers)
+        d, least = (bad - good) / max(bad, good, 1), np.log(min(bad, good) / max(len(data), 1) + 0.01)
+        x = np.array([part * by for part in (max(d, 0), max(-d, 0), d * d, max(d, 0) ** 0.5, max(-d, 0) ** 0.5) for by in (1, least, np.log(len(data) + 10))])
+        want = 1 / (1 + np.exp(-(((x - model.centre) / model.scale) @ model.weights[:-1] + model.weights[-1])))
+        assert abs(r.score - want) < 1e-9
+    assert len(set(model.score(np.array([[50, 50, 60], [50, 50, 400], [900, 900, 1_000]])).tolist())) == 1
