@@ -59,6 +59,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Bytes of rows that Spark hands to Python at once; bounds memory, never results.
+ARROW_BYTES = 2_000_000
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Let Spark hand rows to Python in batches of ``ARROW_BYTES``, a longer row by itself.
+
+    Spark's own bound of 64 MB is held several times over by the JVM and by each
+    Python worker, and neither gives such buffers back.  A bound that the session names stays.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name, None) is None:
+        spark.conf.set(name, str(ARROW_BYTES))
+
+
 def vocabulary(path: str) -> bytes:
     """A local vocabulary file of bounded size, read on the driver and sent to tasks with the plan."""
     with open(path, "rb") as f:

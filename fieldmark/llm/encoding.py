@@ -165,12 +165,12 @@ class WordEncoder:
 _ENCODERS: dict[tuple, WordEncoder] = {}
 
 
-def worker_encoder(vocabulary: bytes, spaced: bool) -> WordEncoder:
+def worker_encoder(vocabulary: bytes, spaced: bool, memory_words: int = MEMORY_WORDS) -> WordEncoder:
     """The encoder of this Python worker, kept from task to task."""
-    key = (hash(vocabulary), len(vocabulary), spaced)
+    key = (hash(vocabulary), len(vocabulary), spaced, memory_words)
     if key not in _ENCODERS:
         _ENCODERS.clear()
-        _ENCODERS[key] = WordEncoder(vocabulary, spaced)
+        _ENCODERS[key] = WordEncoder(vocabulary, spaced, memory_words)
     return _ENCODERS[key]
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldmark.llm.common import query, table, vocabulary
-from fieldmark.llm.encoding import slices, worker_encoder
+from fieldmark.llm.encoding import MEMORY_WORDS, slices, worker_encoder
 
 #: Text bytes whose pieces are packed together; the loss against one packing of all is below one bin per share.
 SHARE_BYTES = 12_000_000
@@ -56,15 +56,16 @@ def best_fit(lengths: np.ndarray, capacity: np.ndarray, weights: np.ndarray, rul
     return bins, places
 
 
-def pieces(docs: DataFrame, vocab: bytes, end_id: int, size: int, key: str = "doc_id", text: str = "text", spaced: bool = False) -> DataFrame:
+def pieces(docs: DataFrame, vocab: bytes, end_id: int, size: int, key: str = "doc_id", text: str = "text", spaced: bool = False, memory_words: int = MEMORY_WORDS) -> DataFrame:
     """Documents as pieces of at most ``size`` ids, only longer documents cut.
 
     A document's ids are those of its text and ``end_id``; a null or empty text
-    has the end id alone.  Columns: key, piece, start, length, ids (little-endian u32 bytes).
+    has the end id alone.  A worker remembers ``memory_words`` words, whatever
+    their number the ids are the same.  Columns: key, piece, start, length, ids (little-endian u32 bytes).
     """
 
     def run(batches):
-        encoder = worker_encoder(vocab, spaced)
+        encoder = worker_encoder(vocab, spaced, memory_words)
         for batch in batches:
             for cut in slices(batch, text):
                 flat, offsets = encoder.encode(cut.column(text))
@@ -96,6 +97,7 @@ def pack(
     key: str = "doc_id",
     text: str = "text",
     share_bytes: int = SHARE_BYTES,
+    memory_words: int = MEMORY_WORDS,
 ) -> DataFrame:
     """Pack every piece of every document into sequences under three capacities.
 
@@ -112,7 +114,7 @@ def pack(
     size = min(tokens, math.isqrt(attention))
     n_bytes = docs.agg(F.sum(F.octet_length(text) + 8)).first()[0] or 0
     shares = max(1, math.ceil(n_bytes / share_bytes))
-    cut = pieces(docs, vocab, end_id, size, key, text)
+    cut = pieces(docs, vocab, end_id, size, key, text, memory_words=memory_words)
     dealt = cut.withColumn("share", F.pmod(F.xxhash64(key, "piece", F.crc32("ids")), F.lit(shares)))
     capacity = np.array([tokens, documents, attention], np.float64)
     heavy = np.array(weights, np.float64)

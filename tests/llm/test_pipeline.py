@@ -3,12 +3,13 @@
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline as cp
-from fieldmark.llm import line_dedup, quality, repeats
-from fieldmark.llm.common import ship, stored
+from fieldmark.llm import line_dedup, packing, quality, repeats
+from fieldmark.llm.common import ARROW_BYTES, bounded_batches, ship, stored, vocabulary
 from tests.llm.conftest import odd_texts, words
 from tests.llm.test_duplicates import brute_print, brute_spans, roots
 from tests.llm.test_tokens import WORD, library
@@ -122,3 +123,31 @@ def test_exact_copies_of_a_third_of_all_rows(spark, small):
     got = {r.doc_id for r in BY_NAME["SimHash near-dedup"](spark, df, small).collect()}
     assert got == {0} | {i for i in range(90) if i % 3}
     assert BY_NAME["line dedup"](spark, df, small).where(F.length("text") == 0).count() == 0
+
+
+@pytest.mark.parametrize("name", [n for n in BY_NAME if n != "line dedup"])
+def test_python_gets_rows_in_bounded_batches(spark, none, small, name):
+    own = spark.newSession()
+    BY_NAME[name](own, own.createDataFrame([], none.schema), small)
+
+    def measured(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([len(batch)]), pa.array([batch.nbytes])], names=["n", "bytes"])
+
+    rows = own.range(0, 3_000, 1, 1).select(F.repeat(F.lit("word "), 400).alias("text")).mapInArrow(measured, "n long, bytes long").collect()
+    assert sum(r.n for r in rows) == 3_000
+    assert max(r.bytes for r in rows) <= ARROW_BYTES < 3_000 * 2_000
+
+
+def test_a_bound_that_the_session_names_stays(spark):
+    own = spark.newSession()
+    own.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "5000000")
+    bounded_batches(own)
+    assert own.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == "5000000"
+
+
+def test_few_remembered_words_give_the_same_pieces(spark, odd):
+    ship(spark)
+    vocab = vocabulary(WORD)
+    few, many = (packing.pack(odd, vocab, cp.END_ID, 64, memory_words=n).drop("sequence_id", "offset").collect() for n in (10, packing.MEMORY_WORDS))
+    assert Counter(few) == Counter(many)
