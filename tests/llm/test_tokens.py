@@ -48,6 +48,41 @@ def test_memory_starts_anew(encoders):
         assert ids.tolist() == encoders[0][1](t)
 
 
+@pytest.mark.parametrize("text", ["a İ. xİ,", "T\u0308. t\u0308. É.", "ẞ. ß!", "it's. 's.", "12, ½.", "a***\nB*** a\n\nb.", "x\x1cy. z\xa0."])
+def test_marks_after_odd_letters(encoders, text):
+    for own, whole in encoders:
+        assert own.encode(pa.array([text, text]))[0].tolist() == 2 * whole(text)
+
+
+class Recorded:
+    """A tokenizer that notes the texts it gets."""
+
+    def __init__(self, tokenizer):
+        self.tokenizer, self.seen = tokenizer, []
+
+    def encode_batch_fast(self, texts, **options):
+        self.seen += texts
+        return self.tokenizer.encode_batch_fast(texts, **options)
+
+
+def test_marked_words_are_learnt_once():
+    for path, spaced, forms in ((BYTE, True, "zq zq. zq, zq*** zq?!"), (WORD, False, "zq Zq. ZQ, zq***\nZq?! zq")):
+        own, whole = WordEncoder(vocabulary(path), spaced), library(path)
+        own.tokenizer = Recorded(own.tokenizer)
+        assert own.encode(pa.array([f"on {forms}"]))[0].tolist() == whole(f"on {forms}")
+        assert sum(t.lower().count("zq") for t in own.tokenizer.seen) == 1
+
+
+def test_words_that_come_again_are_kept():
+    own, whole = WordEncoder(vocabulary(BYTE), True, memory_words=100), library(BYTE)
+    for k in range(50):  # the last ones go beyond 100 words
+        text = f"on new{k}x other{k}x" + " again" * (k < 40)
+        assert own.encode(pa.array([text]))[0].tolist() == whole(text)
+    own.tokenizer = Recorded(own.tokenizer)
+    assert own.encode(pa.array(["on again new0x"]))[0].tolist() == whole("on again new0x")
+    assert "".join(own.tokenizer.seen) == " new0x"
+
+
 def test_rank_file_encoding_and_raw_bytes(odd, none):
     ranks = vocabulary(RANKS)
     merges = {base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks.splitlines())}
