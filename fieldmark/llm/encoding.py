@@ -154,8 +154,9 @@ class WordEncoder:
         if self.spaced:
             return pc.split_pattern(pc.replace_substring(texts, "\n", " \n"), " ")
         # small and capital letters have the same ids where nothing can be composed
+        texts = pc.replace_substring(texts, "\n", " ")  # also a copy: ascii_lower misreads an array whose first text is not at byte 0
         plain = pc.invert(pc.match_substring_regex(texts, _BEYOND))
-        return pc.split_pattern(pc.replace_substring(pc.if_else(plain, pc.ascii_lower(texts), texts), "\n", " "), " ")
+        return pc.split_pattern(pc.if_else(plain, pc.ascii_lower(texts), texts), " ")
 
     def encode(self, texts: pa.Array) -> Ids:
         """Ids of all texts one after the other, and the n + 1 places where texts start and end.

@@ -54,6 +54,15 @@ def test_marks_after_odd_letters(encoders, text):
         assert own.encode(pa.array([text, text]))[0].tolist() == 2 * whole(text)
 
 
+def test_slices_of_an_array(encoders):
+    texts = ["É one. TWO", "Three four", "", "five, Sıx", "Seven É\neight"]
+    for own, whole in encoders:
+        for a in range(len(texts)):
+            some = pa.array(texts).slice(a, 2)
+            ids, at = own.encode(some)
+            assert [ids[i:j].tolist() for i, j in zip(at, at[1:])] == [whole(t) for t in some.to_pylist()]
+
+
 class Recorded:
     """A tokenizer that notes the texts it gets."""
 
