@@ -118,14 +118,13 @@ def accelerated(step: Step, start: DataFrame, key: str = "species", iterations:
 
 def _scores_around(score: Score, thetas: DataFrame, key: str, width: float) -> DataFrame:
     """(key, __scores): the scores at theta shifted down and up by ``width`` in each place, one after the other; one job for all rows."""
-    n = F.size("theta")
-    shifts = F.flatten(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.array(F.struct(i.alias("at"), F.lit(-1).alias("sign")), F.struct(i.alias("at"), F.lit(1).alias("sign")))))
-    shifted = thetas.select(F.col(key).alias("__of"), "theta", F.inline(shifts)).select(
-        F.struct("__of", "at", "sign").alias(key), F.transform("theta", lambda x, i: F.when(i == F.col("at"), x + F.col("sign") * width).otherwise(x)).alias("theta")
+    # in SQL, as a fit makes this plan anew in every pass
+    shifts = "inline(flatten(transform(sequence(0, size(theta) - 1), i -> array(named_struct('at', i, 'sign', -1), named_struct('at', i, 'sign', 1)))))"
+    shifted = thetas.selectExpr(f"`{key}` as __of", "theta", shifts).selectExpr(
+        f"struct(__of, at, sign) as `{key}`", f"transform(theta, (x, i) -> if(i = at, x + sign * {width!r}D, x)) as theta"
     )
-    slopes = score(settle(shifted)).select(F.col(f"{key}.__of").alias(key), F.col(f"{key}.at").alias("at"), F.col(f"{key}.sign").alias("sign"), "score")
-    ordered = F.array_sort(F.collect_list(F.struct("at", "sign", "score")))
-    return slopes.groupBy(key).agg(F.flatten(F.transform(ordered, lambda x: x["score"])).alias("__scores"))
+    slopes = score(shifted).selectExpr(f"`{key}`.__of as `{key}`", f"struct(`{key}`.at, `{key}`.sign, score) as __s")
+    return slopes.groupBy(key).agg(F.expr("flatten(transform(array_sort(collect_list(__s)), x -> x.score)) as __scores"))
 
 
 def information(scores: list[float], width: float) -> tuple[np.ndarray, np.ndarray]:

@@ -2,7 +2,8 @@
 
 A history is one row per species and site with an array of yearly structs
 ``(t, k)``: replicates and detections.  The two-state chain runs inside the
-row; sums over sites are hash aggregates by species.  Years are few (a survey's
+row; sums over sites are hash aggregates by species.  The fits walk blocks of
+histories at once (:mod:`history_blocks`).  Years are few (a survey's
 length), so a history is short whatever the number of visits behind it.
 """
 
@@ -15,8 +16,9 @@ from fieldmark.functions.columns import ratio
 from fieldmark.operators.pruning import visit_days
 from fieldmark.operators.replicates import site_day_species, species_shares
 from fieldmark.plans import fitting
+from fieldmark.plans.history_blocks import chain_sums, history_blocks
 from fieldmark.plans.scores import per_species
-from fieldmark.session import checked_broadcast, settle, spread
+from fieldmark.session import BROADCAST_ROWS, checked_broadcast, settle, spread
 
 EDGE = 1e-6
 
@@ -25,6 +27,11 @@ def clamp(c: Column) -> Column:
     return F.greatest(F.lit(EDGE), F.least(F.lit(1 - EDGE), c))
 
 
+def _clamped(c: str) -> str:
+    """The same in SQL."""
+    return f"greatest({EDGE!r}D, least({1 - EDGE!r}D, {c}))"
+
+
 # -- trajectories -------------------------------------------------------------
 
 
@@ -126,14 +133,9 @@ def site_histories(
     )
     blank = F.transform("__unseen", lambda s: F.struct(s.alias("species"), F.create_map().cast("map<int,int>").alias("k")))
     rows = sites.select(site, "__t", F.inline(F.concat("__hits", blank)))
-    zero = F.lit(0)
-    h = F.transform(
-        F.sequence(F.lit(0), F.lit(len(years) - 1)),
-        lambda i: F.struct(
-            F.coalesce(F.try_element_at("__t", i), zero).alias("t"),
-            F.coalesce(F.try_element_at("k", i), zero).alias("k"),
-        ),
-    )
+    count = lambda c, i: F.coalesce(F.try_element_at(c, F.lit(i)), F.lit(0))
+    # spelt out year by year, as generated code is several times faster than a lambda
+    h = F.array(*[F.struct(count("__t", i).alias("t"), count("k", i).alias("k")) for i in range(len(years))])
     return rows.select(site, "species", h.alias("h"))
 
 
@@ -283,44 +285,28 @@ def smoothed_occupancy(histories: DataFrame, parameters: DataFrame, years: range
 # -- expectation-maximisation -------------------------------------------------
 
 
-def em_sums(grouped: DataFrame, parameters: DataFrame, n: int) -> DataFrame:
+def em_sums(grouped: DataFrame, parameters: DataFrame, n: int, few: bool | None = None) -> DataFrame:
     """Expected sufficient statistics by species and year.
 
-    ``parameters`` is settled already.  Histories are expanded over years inside the task and combined map-side, so
-    a hot species sends one partial row per year and task.
+    ``grouped`` are weighted histories or their blocks (:func:`history_blocks`), which callers with several
+    passes make once.  ``parameters`` is settled already; ``few`` says whether it has few enough rows for a broadcast, else they are counted.
+    Sums over the histories of a block are made inside the task and combined for the blocks it has at hand, so
+    a hot species sends few rows per year and task.
     """
-    joined = grouped.join(checked_broadcast(parameters, settled=True), "species").withColumn("e", emissions())
-    rows = (
-        chained(joined, n)
-        .select("species", "w", "h", F.col("fwd")["ll"].alias("ll"), F.posexplode_outer("bwd").alias("i", "b"))
-    )
-    s, w = F.col("b")["s"], F.col("w")
-    t, k = F.get("h", F.col("i"))["t"], F.get("h", F.col("i"))["k"]
-    moved = F.col("b")["x11"].isNotNull()
-    return rows.groupBy("species", "i").agg(
-        F.sum(w).alias("n"),
-        F.sum(w * s).alias("s"),
-        F.sum(w * s * k).alias("sk"),
-        F.sum(w * s * t).alias("st"),
-        F.sum(w * F.col("b")["x11"]).alias("x11"),
-        F.sum(w * F.col("b")["x01"]).alias("x01"),
-        F.sum(F.when(moved, w * s)).alias("from1"),
-        F.sum(F.when(moved, w * (1 - s))).alias("from0"),
-        F.sum(F.when(F.col("i") == 0, w * F.col("ll"))).alias("ll"),
-    )
+    blocks = grouped if "codes" in grouped.columns else history_blocks(grouped, n)
+    table = checked_broadcast(parameters, settled=True) if few is None else F.broadcast(parameters) if few else parameters
+    return chain_sums(blocks, table, n)
 
 
 def em_maximise(sums: DataFrame, n: int, by_year: bool) -> DataFrame:
     """New parameters from the expected statistics; ``loglik`` is that of the old ones."""
     parts = {"phi": ("x11", "from1"), "gamma": ("x01", "from0"), "p": ("sk", "st")}
-    first = F.col("i") == 0
-    psi1 = clamp(F.max(F.when(first, F.col("s") / F.col("n")))).alias("psi1")
-    loglik = F.sum("ll").alias("loglik")
+    psi1 = F.expr(f"{_clamped('max(case when i = 0 then s / n end)')} as psi1")
+    loglik = F.expr("sum(ll) as loglik")
     if not by_year:
-        pooled = {c: clamp(F.coalesce(F.try_divide(F.sum(a), F.sum(b)), F.lit(0.5))) for c, (a, b) in parts.items()}
-        return sums.groupBy("species").agg(
-            psi1, *[F.array_repeat(v, n).alias(c) for c, v in pooled.items()], loglik
-        ).select("species", "psi1", "phi", "gamma", "p", "loglik")
+        # in SQL, as a fit makes this plan anew in every pass
+        pooled = [f"array_repeat({_clamped(f'coalesce(try_divide(sum({a}), sum({b})), 0.5D)')}, {n}) as {c}" for c, (a, b) in parts.items()]
+        return sums.groupBy("species").agg(psi1, *map(F.expr, pooled), loglik)
     yearly = sums.groupBy("species").agg(
         psi1,
         *[
@@ -352,7 +338,7 @@ def fit_dynamic(
 ) -> DataFrame:
     """Maximum likelihood (the posterior mode under uniform priors) by EM.
 
-    Histories are merged and settled once.  Each iteration is one job over
+    Histories are merged and packed into blocks once.  Each iteration is one job over
     those of the species that still move; its result, one row per species, is
     settled in the shared folder, so the plan does not grow and only the number of
     species left reaches the driver.  A species stops when its own
@@ -361,7 +347,7 @@ def fit_dynamic(
     that still moves after ``iterations`` is returned as not converged.
     ``loglik`` belongs to the returned parameters.
     """
-    grouped = settle(spread(grouped_histories(histories), "species", "h"))
+    grouped = history_blocks(settle(grouped_histories(histories)), n)
     names = ["species", "psi1", "phi", "gamma", "p"]
     first = (start if start is not None else start_parameters(grouped, n)).select(*names)
     none = F.lit(None).cast("double")
@@ -395,27 +381,25 @@ _RATES = ("psi1", "phi", "gamma", "p")
 
 def _from_theta(thetas: DataFrame, n: int) -> DataFrame:
     """Logits of psi1, phi, gamma, p -> the parameter table of the chain."""
-    rates = [clamp(1 / (1 + F.exp(-F.get("theta", F.lit(i))))).alias(c) for i, c in enumerate(_RATES)]
-    return constant_parameters(thetas.select("species", *rates), n)
+    rates = thetas.selectExpr("species", f"transform(theta, x -> {_clamped('1 / (1 + exp(-x))')}) as r")
+    return rates.selectExpr("species", "get(r, 0) as psi1", *[f"array_repeat(get(r, {i}), {n}) as {c}" for i, c in enumerate(_RATES) if i])
 
 
-def _em_step(grouped: DataFrame, thetas: DataFrame, n: int) -> DataFrame:
-    new = em_maximise(em_sums(grouped, _from_theta(thetas, n), n), n, by_year=False)
-    logit = lambda c: F.ln(c / (1 - c))
-    return new.select("species", F.col("loglik").alias("objective"), F.array(logit(F.col("psi1")), *[logit(F.get(c, F.lit(0))) for c in _RATES[1:]]).alias("next"))
+def _em_step(grouped: DataFrame, thetas: DataFrame, n: int, few: bool | None = None) -> DataFrame:
+    new = em_maximise(em_sums(grouped, _from_theta(thetas, n), n, few), n, by_year=False)
+    rates = ", ".join(["psi1", *(f"get({c}, 0)" for c in _RATES[1:])])
+    return new.selectExpr("species", "loglik as objective", f"transform(array({rates}), x -> ln(x / (1 - x))) as next")
 
 
-def _em_score(grouped: DataFrame, shifted: DataFrame, n: int) -> DataFrame:
+def _em_score(grouped: DataFrame, shifted: DataFrame, n: int, few: bool | None = None) -> DataFrame:
     """Gradient of the log-likelihood in the logits, from the same sums (Fisher's identity); the rows' species are structs with a shift."""
-    shifts = [F.struct(F.col("species").alias("__of"), F.lit(i).alias("at"), F.lit(s).alias("sign")) for i in range(len(_RATES)) for s in (-1, 1)]
-    copies = grouped.withColumn("species", F.explode(F.array(*shifts)))
     parameters = _from_theta(shifted, n)
-    sums = em_sums(copies, parameters, n).groupBy("species").agg(
-        F.sum(F.when(F.col("i") == 0, F.col("s"))).alias("s"), F.sum(F.when(F.col("i") == 0, F.col("n"))).alias("n"), *[F.sum(c).alias(c) for c in ("x11", "from1", "x01", "from0", "sk", "st")]
-    )
-    pairs = (("s", "n", F.col("psi1")), *[(a, b, F.get(c, F.lit(0))) for (a, b), c in zip((("x11", "from1"), ("x01", "from0"), ("sk", "st")), _RATES[1:])])
-    slope = lambda a, b, rate: F.coalesce(F.col(a), F.lit(0.0)) - F.coalesce(F.col(b), F.lit(0.0)) * rate
-    return sums.join(parameters, "species").select("species", F.array(*[slope(*x) for x in pairs]).alias("score"))
+    first = [f"sum(case when i = 0 then {c} end) as {c}" for c in ("s", "n")]
+    rest = [f"sum({c}) as {c}" for c in ("x11", "from1", "x01", "from0", "sk", "st")]
+    sums = em_sums(grouped, parameters, n, few).groupBy("species").agg(*map(F.expr, first + rest))
+    pairs = (("s", "n", "psi1"), ("x11", "from1", "get(phi, 0)"), ("x01", "from0", "get(gamma, 0)"), ("sk", "st", "get(p, 0)"))
+    slopes = ", ".join(f"coalesce({a}, 0D) - coalesce({b}, 0D) * {rate}" for a, b, rate in pairs)
+    return sums.join(F.broadcast(parameters) if few else parameters, "species").selectExpr("species", f"array({slopes}) as score")
 
 
 def fit_dynamic_with_errors(histories: DataFrame, n: int, iterations: int = 200, tolerance: float = 1e-4) -> DataFrame:
@@ -426,10 +410,12 @@ def fit_dynamic_with_errors(histories: DataFrame, n: int, iterations: int = 200,
     observed information, null where a rate lies at its bound.  A species has
     converged when an EM step moves no logit by more than ``tolerance`` or no longer raises the log-likelihood.
     """
-    grouped = settle(spread(grouped_histories(histories), "species", "h"))
+    grouped = history_blocks(settle(grouped_histories(histories)), n)
     start = start_parameters(grouped, n).select("species", F.expr("array(psi1, phi[0], gamma[0], p[0])").alias("r"))
     thetas = start.select("species", F.transform("r", lambda x: F.ln(x / (1 - x))).alias("theta"))
-    step, score = (lambda t: _em_step(grouped, t, n)), (lambda t: _em_score(grouped, t, n))
+    rows = thetas.count()
+    step = lambda t: _em_step(grouped, t, n, rows <= BROADCAST_ROWS)
+    score = lambda t: _em_score(grouped, t, n, 2 * len(_RATES) * rows <= BROADCAST_ROWS)
     full = fitting.with_errors(score, fitting.finished(step, score, thetas, iterations=iterations, tolerance=tolerance))
     rates = [clamp(1 / (1 + F.exp(-F.get("theta", F.lit(i))))).alias(c) for i, c in enumerate(_RATES)]
     return full.select("species", *rates, F.col("objective").alias("loglik"), "iterations", "converged", "errors")

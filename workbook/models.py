@@ -382,7 +382,8 @@ def _sum(prefix: str, n: int, factor: str = "") -> str:
 
 
 def histories(spark: SparkSession, sf: str) -> DataFrame:
-    return O.site_histories(S.season(spark, sf), S.records(spark, sf), S.species(spark, sf), S.YEARS)
+    lists = S.season(spark, sf)
+    return O.site_histories(lists, S.records(spark, sf, lists), S.species(spark, sf), S.YEARS)
 
 
 @query(

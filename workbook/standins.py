@@ -77,9 +77,11 @@ def season(spark: SparkSession, sf: str) -> DataFrame:
     return checklists(spark, sf).where(in_season(protocols=PROTOCOLS, primary=1, flag="primary_flag"))
 
 
-def records(spark: SparkSession, sf: str) -> DataFrame:
-    """(event_id, species) as recorded, repeats included: for jobs that reduce to sets themselves."""
+def records(spark: SparkSession, sf: str, lists: DataFrame | None = None) -> DataFrame:
+    """(event_id, species) as recorded, repeats included: for jobs that reduce to sets themselves; with ``lists`` only theirs, cut before species are looked up."""
     line, part = table(spark, sf, "lineitem"), table(spark, sf, "part")
+    if lists is not None:
+        line = line.join(lists.select(F.col("event_id").alias("l_orderkey")), "l_orderkey", "left_semi")
     return line.join(part, F.col("l_partkey") == F.col("p_partkey")).select(
         F.col("l_orderkey").alias("event_id"), F.col("p_brand").alias("species")
     )
