@@ -108,7 +108,8 @@ def accelerated(step: Step, start: DataFrame, key: str = "species", iterations:
     )
     for _ in range(iterations):
         moving = state.where("not done")
-        found = step(moving.select(key, F.col("here").alias("theta"))).select(key, "objective", "next")
+        # merged: tables of this size in one partition each are not worth a broadcast, which is a job of its own
+        found = step(moving.select(key, F.col("here").alias("theta"))).select(key, "objective", "next").hint("merge")
         # rows that are done pass through the same join: a union would add partitions at every step
         state = settle(_stepped(state.join(found, key, "left"), key, tolerance, leaps, gain))
         if state.where("not done").isEmpty():
@@ -155,8 +156,8 @@ def newton_steps(step: Step, score: Score, key: str = "species", width: float =
             yield pa.RecordBatch.from_arrays([batch.column(key), batch.column("objective"), pa.array(out, _ARROW["array<double>"])], names=[key, "objective", "next"])
 
     def newton(thetas: DataFrame) -> DataFrame:
-        around = thetas.join(_scores_around(score, thetas, key, width), key)
-        rows = around.join(step(thetas).select(key, "objective"), key).select(key, "objective", "theta", "__scores")
+        around = thetas.join(_scores_around(score, thetas, key, width).hint("merge"), key)
+        rows = around.join(step(thetas).select(key, "objective").hint("merge"), key).select(key, "objective", "theta", "__scores")
         return rows.mapInArrow(run, f"`{key}` {dict(thetas.dtypes)[key]}, objective double, next array<double>")
 
     return newton

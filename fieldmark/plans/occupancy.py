@@ -103,13 +103,10 @@ def site_histories(
     Visits outside ``years`` take no part; ``visits_outside`` counts them.
     """
     lists = checklists.where(F.col("year").between(years.start, years.stop - 1))
-    index = (F.col("year") - F.lit(years.start)).cast("int")
+    # a sum per year, and not a collected map: such groups are hashed and not sorted
+    by_year = lambda c: F.array(*[F.coalesce(F.sum(F.when(F.col("year") == y, F.col(c))), F.lit(0)).cast("int") for y in years])
     days = visit_days(lists, site).groupBy(site, "year").agg(F.count("*").alias("t"))
-    effort = (
-        spread(days, site)
-        .groupBy(site)
-        .agg(F.map_from_entries(F.collect_list(F.struct(index, F.col("t").cast("int")))).alias("__t"))
-    )
+    effort = spread(days, site).groupBy(site).agg(by_year("t").alias("__t"))
     found = (
         site_day_species(lists, detections, site, event)
         .where(F.col("species").isNotNull())
@@ -119,11 +116,11 @@ def site_histories(
     hits = (
         spread(found, site)
         .groupBy(site, "species")
-        .agg(F.map_from_entries(F.collect_list(F.struct(index, F.col("k").cast("int")))).alias("k"))
+        .agg(by_year("k").alias("k"))
         .groupBy(site)
         .agg(F.collect_list(F.struct("species", "k")).alias("__hits"))
     )
-    known = F.coalesce("__hits", F.array().cast("array<struct<species:string,k:map<int,int>>>"))
+    known = F.coalesce("__hits", F.array().cast("array<struct<species:string,k:array<int>>>"))
     dealt = species_shares(effort.join(hits, site, "left").withColumn("__hits", known), species)
     sites = dealt.select(
         site,
@@ -131,12 +128,10 @@ def site_histories(
         F.filter("__hits", lambda x: F.array_contains("__names", x["species"])).alias("__hits"),
         F.array_except("__names", F.transform("__hits", lambda x: x["species"])).alias("__unseen"),
     )
-    blank = F.transform("__unseen", lambda s: F.struct(s.alias("species"), F.create_map().cast("map<int,int>").alias("k")))
-    rows = sites.select(site, "__t", F.inline(F.concat("__hits", blank)))
-    count = lambda c, i: F.coalesce(F.try_element_at(c, F.lit(i)), F.lit(0))
-    # spelt out year by year, as generated code is several times faster than a lambda
-    h = F.array(*[F.struct(count("__t", i).alias("t"), count("k", i).alias("k")) for i in range(len(years))])
-    return rows.select(site, "species", h.alias("h"))
+    zeros = F.array_repeat(F.lit(0), len(years))
+    blank = F.transform("__unseen", lambda s: F.struct(s.alias("species"), zeros.alias("k")))
+    rows = sites.select(F.col(site).alias("__site"), F.col("__t").alias("t"), F.inline(F.concat("__hits", blank)))
+    return rows.select(F.col("__site").alias(site), "species", F.arrays_zip("t", "k").alias("h"))
 
 
 def visits_outside(checklists: DataFrame, years: range) -> DataFrame:
