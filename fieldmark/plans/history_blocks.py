@@ -103,18 +103,18 @@ def walked(t: np.ndarray, k: np.ndarray, codes: np.ndarray, w: np.ndarray, psi1:
         moved = i + 1 < n
         if moved:
             after, f = s / pred[i + 1], filt[i]
-            stay, arrive = w * f * phi[i] * after, w * (1 - f) * gamma[i] * after
-            s = f * phi[i] * after + f * (1 - phi[i]) * ((1 - s) / (1 - pred[i + 1]))
+            stay, arrive = f * phi[i] * after, (1 - f) * gamma[i] * after
+            s = stay + f * (1 - phi[i]) * ((1 - s) / (1 - pred[i + 1]))
         ws = w * s
         if whole:
             by_pair = np.bincount(codes[i], ws, len(k))
             out[i, 1:4] = ws.sum(), by_pair @ k, by_pair @ t
             if moved:
-                out[i, 4:8] = stay.sum(), arrive.sum(), out[i, 1], w.sum() - out[i, 1]
+                out[i, 4:8] = w @ stay, w @ arrive, out[i, 1], out[i, 0] - out[i, 1]
         else:
             out[i, 1:4] = [_known(x) for x in (ws, ws * k[codes[i]], ws * t[codes[i]])]
             if moved:
-                out[i, 4:8] = [_known(x) for x in (stay, arrive, ws + 0 * stay, w - ws + 0 * stay)]
+                out[i, 4:8] = [_known(x) for x in (w * stay, w * arrive, ws + 0 * stay, w - ws + 0 * stay)]
     return out
 
 
